@@ -52,11 +52,6 @@ def path_parts(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
 
 
-def suffix(path: Column) -> Column:
-    """Extension with its dot: from the last dot of the name, unless it leads the name."""
-    return F.regexp_extract(file_name(path), r"(?s)^.*[^.].*?(\.[^.]*)$|^[^.].*?(\.[^.]*)$", 1)
-
-
 def extension(path: Column) -> Column:
     """Lower-case extension of the file name, empty for dot files and bare names."""
     return F.lower(F.regexp_extract(file_name(path), r"(?s)[^.].*?(\.[^.]+)\z", 1))

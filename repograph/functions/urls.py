@@ -60,9 +60,9 @@ def parse_repository(address: Column) -> Column:
                 .when(origin.contains("gitlab.com") | origin.contains("gitlab."), "gitlab")
                 .when(origin.contains("bitbucket.org") | origin.contains("bitbucket."), "bitbucket")
                 .otherwise("web"))
+    unix_parts = F.filter(F.split(text, "/"), lambda p: p != "")
     local_repo = F.when(windows, F.element_at(F.split(text, r"\\\\"), -1)).otherwise(
-        F.element_at(F.filter(F.split(text, "/"), lambda p: p != ""), -1)
-        if False else F.get(F.reverse(F.filter(F.split(text, "/"), lambda p: p != "")), F.lit(0)))
+        F.get(unix_parts, F.size(unix_parts) - 1))
     is_local = windows | unix
     owner = F.when(is_local, F.lit("local")).when(hosted, nonempty(strip(part_of(2))))
     repo = F.when(is_local, F.coalesce(nonempty(local_repo), F.lit("local-repo"))).when(
