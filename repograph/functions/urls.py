@@ -61,7 +61,7 @@ def parse_repository(address: Column) -> Column:
                 .when(origin.contains("bitbucket.org") | origin.contains("bitbucket."), "bitbucket")
                 .otherwise("web"))
     unix_parts = F.filter(F.split(text, "/"), lambda p: p != "")
-    local_repo = F.when(windows, F.element_at(F.split(text, r"\\\\"), -1)).otherwise(
+    local_repo = F.when(windows, F.element_at(F.split(text, r"\\"), -1)).otherwise(
         F.get(unix_parts, F.size(unix_parts) - 1))
     is_local = windows | unix
     owner = F.when(is_local, F.lit("local")).when(hosted, nonempty(strip(part_of(2))))
