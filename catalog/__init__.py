@@ -1,4 +1,4 @@
 """Registered queries: each pairs a Spark query with SQL that computes the same answer."""
 
-from catalog import findings_queries, report_queries  # noqa: F401
+from catalog import corpus_queries, findings_queries, report_queries  # noqa: F401
 from catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -123,12 +123,12 @@ SELECT run_id, file AS id, CASE WHEN file LIKE '%test%' OR file LIKE '%spec%' TH
     WHEN 1 THEN 'note' ELSE 'none' END AS severity_max
 FROM deduped GROUP BY ALL""")
 def file_nodes(spark, sf):
-    return ops.file_nodes(deduped(spark, sf))
+    return ops.file_nodes(deduped(spark, sf)).drop("place")
 
 
-@query("artifact_files", f"{DEDUP} SELECT DISTINCT run_id, file AS uri FROM deduped")
+@query("artifact_files", f"WITH f AS ({FINDINGS}) SELECT DISTINCT run_id, file AS uri FROM f")
 def artifact_files(spark, sf):
-    return ops.artifacts(deduped(spark, sf))
+    return ops.artifacts(views.findings(spark, sf))
 
 
 # Tool runs before merging: a report for every 64 events.
@@ -323,7 +323,7 @@ def runs_with_findings(spark, sf):
 @query("unified_sarif", f"""{DEDUP},
 tools AS (SELECT DISTINCT run_id, tool FROM findings_v),
 rules AS (SELECT run_id, tool, rule_id, min(seq) AS seq FROM findings_v GROUP BY ALL),
-files AS (SELECT DISTINCT run_id, file FROM deduped),
+files AS (SELECT DISTINCT run_id, file FROM findings_v),
 lines AS (
   SELECT run_id, 0 AS section, '' AS tool, '{{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json","version":"2.1.0","runs":[' AS text
   FROM (SELECT DISTINCT run_id FROM tools)
@@ -357,7 +357,7 @@ def unified_sarif(spark, sf):
         "run_id", "tool", "rule_id", "rule_idx", F.lit(0).cast("bigint").alias("doc_idx"),
         F.lit(0).alias("run_idx"), F.col("rule_id").alias("name"), F.lit("").alias("description"),
         F.lit("warning").alias("level"))
-    out = sarif.unified_document(findings, rules, merged, ops.artifacts(findings))
+    out = sarif.unified_document(findings, rules, merged, ops.artifacts(every))
     last = F.col("tool") == "\U0010ffff"
     return out.select("run_id", F.when(last, 9).otherwise(F.col("section")).alias("section"),
                       F.when(last, "").otherwise(F.col("tool")).alias("tool"), "text")

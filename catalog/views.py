@@ -91,3 +91,36 @@ FROM ({FINDINGS}) f GROUP BY run_id, tool"""
 
 def tool_results(spark, sf) -> DataFrame:
     return _sql(spark, sf, TOOL_RESULTS, "events")
+
+
+# Files with code in them: Python files import others, scripts have a header comment.
+CODE_FILES = f"""
+SELECT doc_id, concat('run-', cast(doc_id % 2 AS string)) AS run_id, source AS repo, lang, path,
+  CASE doc_id % 8
+    WHEN 0 THEN concat(CASE doc_id % 3 WHEN 0 THEN concat('\"\"\"Doc ', cast(doc_id AS string), '.',
+      chr(10), 'more\"\"\"') ELSE '# none' END, chr(10), 'import os.path', chr(10), '  from src.',
+      source, '.', lang, '.mod_', cast(doc_id AS string), ' import x', chr(10), content)
+    WHEN 1 THEN concat(CASE doc_id % 3 WHEN 0 THEN '/* */' ELSE concat('/**', chr(10), ' * Script ',
+      cast(doc_id AS string), chr(10), ' * @x */') END, chr(10), content)
+    ELSE content END AS content
+FROM ({FILES}) files_v"""
+
+
+def code_files(spark, sf) -> DataFrame:
+    return _sql(spark, sf, CODE_FILES, "documents")
+
+
+# Findings of FINDINGS placed in the files of CODE_FILES.
+FILE_FINDINGS = f"""
+code_files AS ({CODE_FILES}),
+file_findings AS (SELECT v.seq, c.run_id, v.tool, v.rule_id, v.level, c.path AS file, v.line,
+  v.message FROM levelled v JOIN code_files c ON c.doc_id = v.seq % 1000)"""
+
+
+def file_findings(spark, sf) -> DataFrame:
+    base = findings(spark, sf).drop("run_id").withColumn("line", F.get(
+        "locations", F.lit(0))["start_line"])
+    paths = code_files(spark, sf).select("doc_id", "run_id", "path")
+    placed = base.join(paths, F.col("doc_id") == F.col("result_idx") % 1000)
+    return placed.withColumn("locations", one_location(F.col("path"), F.col("line"))).drop(
+        "line", "doc_id", "path")

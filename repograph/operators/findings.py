@@ -245,15 +245,19 @@ def runs_with_findings(runs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def file_nodes(findings: DataFrame) -> DataFrame:
-    """One node per file, counting every location of every finding."""
+    """One node per file, counting every location of every finding.
+
+    `place` is where the file was first named; nodes are listed in that order.
+    """
     places = findings.select(
-        "run_id", level_rank(level_or_warning()).alias("rank"),
-        F.explode("locations").alias("place"))
-    return places.where(text.nonempty(F.col("place.uri")).isNotNull()).groupBy(
-        "run_id", F.col("place.uri").alias("id")).agg(
-        F.count(F.lit(1)).alias("finding_count"), F.max("rank").alias("rank")).select(
+        "run_id", *MERGED_ORDER, level_rank(level_or_warning()).alias("rank"),
+        F.posexplode("locations").alias("nth", "location"))
+    return places.where(text.nonempty(F.col("location.uri")).isNotNull()).groupBy(
+        "run_id", F.col("location.uri").alias("id")).agg(
+        F.count(F.lit(1)).alias("finding_count"), F.max("rank").alias("rank"),
+        F.min(F.struct(*MERGED_ORDER, "nth")).alias("place")).select(
         "run_id", "id", paths.classify_file(F.col("id")).alias("type"), "finding_count",
-        level_name(F.col("rank")).alias("severity_max"))
+        level_name(F.col("rank")).alias("severity_max"), "place")
 
 
 def artifacts(findings: DataFrame) -> DataFrame:
