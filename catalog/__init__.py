@@ -1,4 +1,5 @@
 """Registered queries: each pairs a Spark query with SQL that computes the same answer."""
 
-from catalog import corpus_queries, findings_queries, report_queries, vector_queries  # noqa: F401
+from catalog import (  # noqa: F401
+    chat_queries, corpus_queries, findings_queries, report_queries, vector_queries)
 from catalog.registry import ORACLES, QUERIES  # noqa: F401
