@@ -8,6 +8,7 @@ from repograph.functions.research import FINAL_ITERATION, RESEARCH_TAG, without_
 from repograph.functions.text import nonempty, strip, token_count
 from repograph.functions.urls import short_name
 from repograph.operators.ordering import ordered_text
+from repograph.stage import staged
 
 # Fixed value: questions above this many tokens are answered without retrieval.
 MAX_QUESTION_TOKENS = 8000
@@ -183,6 +184,7 @@ def assemble_prompts(fragments: DataFrame, max_chars: int = 4_000_000) -> tuple[
     Lengths are summed first, so only fragments of bounded total size are gathered. The longer
     prompts lose nothing: they stay fragments, to be written in order.
     """
+    fragments = staged(fragments)
     sizes = fragments.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
     short = sizes.where(F.col("chars") <= max_chars).select("conv_id")
     whole = fragments.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from repograph.functions.text import nonempty
+from repograph.stage import staged
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -102,13 +103,14 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame, embedder: Embedder | N
     """Chunks with vectors, and the cache rows `(text_hash, vector)` this added.
 
     Each distinct text that the cache lacks is embedded once. Failed texts are not cached.
-    Write the new rows before using them twice, or the embedder runs again.
+    The new rows are written out before use: the embedder runs once for them.
     """
     keyed = chunks.withColumn("text_hash", F.sha2("text", 256))
     known = cache.limit(0) if force else cache
     missing = keyed.join(known.select("text_hash"), "text_hash", "left_anti").groupBy(
         "text_hash").agg(F.first("text").alias("text"))
-    added = embed(missing, embedder).where(F.size("vector") > 0).select("text_hash", "vector")
+    added = staged(embed(missing, embedder).where(F.size("vector") > 0).select(
+        "text_hash", "vector"))
     return with_cached_vectors(keyed, known.unionByName(added)).drop("text_hash"), added
 
 

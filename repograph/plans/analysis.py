@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from repograph.normalize import Converter, normalise
 from repograph.operators import findings as ops, merge, sarif
+from repograph.stage import staged
 
 
 @dataclass(frozen=True)
@@ -27,19 +28,16 @@ class Analysis:
 
 
 def analyse(reports: DataFrame, tools: list[str] | None = None,
-            extra: dict[str, Converter] | None = None, store: str | None = None) -> Analysis:
+            extra: dict[str, Converter] | None = None, keep: bool = True) -> Analysis:
     """Normalise, merge by tool, deduplicate and count.
 
     Findings need no shuffle for the merge: sorting by tool name is the merged order. The only
-    shuffle of findings is the one on (run, fingerprint). With `store`, normalised findings are
-    written there first so that later actions do not parse the reports again.
+    shuffle of findings is the one on (run, fingerprint). Normalised findings are written out
+    first, so that the several results do not parse the reports again; `keep=False` leaves
+    everything lazy.
     """
     raw = normalise(reports, tools, extra)
-    findings = raw.findings
-    if store:
-        path = f"{store}/normalised"
-        findings.write.mode("overwrite").partitionBy("run_id").parquet(path)
-        findings = reports.sparkSession.read.schema(findings.schema).parquet(path)
+    findings = staged(raw.findings) if keep else raw.findings
     unique = ops.deduplicate(ops.with_fingerprint(findings)).drop("fp")
     return Analysis(
         findings=unique, rules=merge.merge_rules(raw.rules, raw.runs),

@@ -8,6 +8,7 @@ from repograph.operators import corpus
 from repograph.operators.chunks import split_documents
 from repograph.operators.embedding import Embedder, embed
 from repograph.operators.vectors import valid_vectors
+from repograph.stage import staged
 
 
 def corpus_chunks(files: DataFrame, **filters) -> DataFrame:
@@ -19,9 +20,8 @@ def corpus_chunks(files: DataFrame, **filters) -> DataFrame:
 def corpus_index(files: DataFrame, embedder: Embedder | None = None, **filters) -> DataFrame:
     """Chunks with a usable vector, one vector size per repository.
 
-    The size check reads the vectors twice; store the embedded chunks first (`save_chunks`)
-    when the embedder is expensive.
+    The size check reads the vectors twice, so the embedded chunks are written out first.
     """
-    embedded = embed(corpus_chunks(files, **filters), embedder)
+    embedded = staged(embed(corpus_chunks(files, **filters), embedder))
     placed = embedded.withColumn("_place", F.struct("path", "chunk_no"))
     return valid_vectors(placed, ["repo"], "_place").drop("_place")
