@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.registry import query, table
+from catalog.registry import query, spread, table
 from catalog.views import FILES
 from repograph.operators import embedding, vectors
 from repograph.operators.chunks import split_documents
@@ -28,8 +28,8 @@ def sparse(source, keys, name):
 
 
 def document_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", c("source").alias("repo"), "text")
-    return split_documents(docs)
+    docs = spread(table(spark, sf, "documents"))
+    return split_documents(docs.select("doc_id", c("source").alias("repo"), "text"))
 
 
 @query("document_chunks", f"""WITH {CHUNKS}
@@ -197,7 +197,7 @@ def refreshed_chunks(spark, sf):
     one = F.when(c("repo") != "src4", F.array(F.lit(9.0))).otherwise(F.array()).cast("array<float>")
     stored = document_chunks(spark, sf).where(c("repo").isin("src1", "src2", "src3", "src4")).select(
         "repo", "doc_id", "chunk_no", "text", one.alias("vector"))
-    docs = table(spark, sf, "documents").select("doc_id", c("source").alias("repo"), "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", c("source").alias("repo"), "text")
     return refresh(stored, docs).select("repo", "doc_id", "chunk_no", F.when(
         F.size("vector") == 1, "stored").otherwise("fresh").alias("origin"))
 
@@ -226,6 +226,6 @@ SELECT source AS repo, path, type, unnest(generate_series(0,
   greatest(ceil((len(words) - 350) / 250.0), 0)::BIGINT))::INT AS chunk_no, 256 AS size FROM split""")
 def corpus_index(spark, sf):
     from repograph.plans.corpus_index import corpus_index as index
-    files = views.files(spark, sf).withColumnRenamed("source", "repo")
+    files = spread(views.files(spark, sf)).withColumnRenamed("source", "repo")
     return index(files, excluded_dirs=["fr"]).select(
         "repo", "path", "type", "chunk_no", F.size("vector").alias("size"))

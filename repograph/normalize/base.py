@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repograph.functions import text
 from repograph.model import LOCATION
+from repograph.operators.once import compute_once
 
 KEYS = ["run_id", "doc_idx"]
 
@@ -78,18 +79,18 @@ def explode_items(df: DataFrame, items: Column, name: str = "item") -> DataFrame
 
 def parse_lines(df: DataFrame) -> DataFrame:
     """`doc` as the array of stripped report lines."""
-    return df.withColumn("doc", F.transform(text.lines(F.col("raw")), text.strip))
+    return compute_once(df, "doc", F.transform(text.lines(F.col("raw")), text.strip))
 
 
 def json_lines(df: DataFrame, schema: str) -> DataFrame:
     """One row per report line that is a JSON object of the expected shape."""
     rows = explode_items(df, F.col("doc"), "line").where(F.col("line").startswith("{"))
-    parsed = rows.withColumn("item", text.json_struct(F.col("line"), schema)).drop("line")
+    parsed = compute_once(rows, "item", text.json_struct(F.col("line"), schema)).drop("line")
     return parsed.where(F.col("item").isNotNull() & F.col("item._corrupt").isNull())
 
 
 def parse_json(schema: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumn("doc", text.json_struct(F.col("raw"), schema))
+    return lambda df: compute_once(df, "doc", text.json_struct(F.col("raw"), schema))
 
 
 def json_reason() -> Column:
@@ -97,6 +98,12 @@ def json_reason() -> Column:
             .when(F.col("doc._corrupt").isNotNull(), "not JSON of the expected structure"))
 
 
+def captured(line: Column, pattern: str, groups: int) -> Column:
+    """All groups of an anchored pattern in one pass; an unused group is empty."""
+    joined = "\x00".join(f"${n}" for n in range(1, groups + 1))
+    return F.split(F.regexp_replace(line, pattern, joined), "\x00")
+
+
 def as_int(c: Column) -> Column:
     return c.try_cast("int")
 

@@ -10,6 +10,7 @@ from repograph.model import one_location
 from repograph.normalize.base import (
     KEYS, Converter, Rule, as_int, drop_null_values, explode_items, fields, finish, json_reason,
     parse_json)
+from repograph.operators.once import compute_once
 
 UNKNOWN = "unknown"
 
@@ -145,7 +146,7 @@ def _shellcheck(df: DataFrame) -> DataFrame:
 def _parse_shellcheck(df: DataFrame) -> DataFrame:
     # The report is a bare array: name it so that it parses like the other documents.
     wrapped = F.concat(F.lit('{"items":'), F.col("raw"), F.lit("}"))
-    return df.withColumn("doc", text.json_struct(
+    return compute_once(df, "doc", text.json_struct(
         wrapped, "items array<struct<file:string,line:string,`column`:string,endLine:string,"
                  "endColumn:string,level:string,code:string,message:string>>"))
 
@@ -219,7 +220,7 @@ def lizard(threshold: int = 10) -> Converter:
         wrapped = F.when(F.col("body").startswith("["), F.concat(
             F.lit('{"files":'), F.col("body"), F.lit("}"))).when(
             F.col("body").startswith("{"), F.col("body"))
-        return df.withColumn("body", trimmed()).withColumn("doc", text.json_struct(
+        return compute_once(compute_once(df, "body", trimmed()), "doc", text.json_struct(
             wrapped, f"files array<{_FILE}>, filename string, function_list array<{_FUNCTION}>"))
 
     def json_functions(df: DataFrame) -> DataFrame:
@@ -237,29 +238,29 @@ def lizard(threshold: int = 10) -> Converter:
     def csv_functions(df: DataFrame) -> DataFrame:
         schema = ", ".join(f"c{i} string" for i in range(_CSV_WIDTH))
         cells = lambda line: F.from_csv(line, schema)
-        as_array = lambda c: F.transform(
-            F.array(*[c[f"c{i}"] for i in range(_CSV_WIDTH)]), text.strip)
-        split = df.where(~is_json()).withColumn("rows", text.lines(F.col("body")))
-        head = split.withColumn("first", cells(F.get("rows", F.lit(0)))).withColumn(
-            "first", F.transform(as_array(F.col("first")), lambda x: F.lower(x)))
+        as_array = lambda c: F.array(*[c[f"c{i}"] for i in range(_CSV_WIDTH)])
+        split = compute_once(df.where(~is_json()), "rows", text.lines(F.col("body")))
+        head = compute_once(split, "first", cells(F.get("rows", F.lit(0)))).withColumn(
+            "first", F.transform(as_array(F.col("first")), lambda x: F.lower(text.strip(x))))
         titled = F.arrays_overlap(F.col("first"), F.array(*[F.lit(x) for x in (
             "ccn", "nloc", "cyclomatic_complexity")]))
-        named = head.withColumn("titled", F.coalesce(titled, F.lit(False))).withColumn(
+        named = compute_once(head, "titled", F.coalesce(titled, F.lit(False))).withColumn(
             "header", F.when(F.col("titled"), F.col("first")).otherwise(
                 F.array(*[F.lit(x) for x in _CSV_COLUMNS])))
         rows = named.select(*KEYS, "titled", "header", F.posexplode("rows").alias("no", "line"))
         rows = rows.where(~(F.col("titled") & (F.col("no") == 0))
                           & (F.regexp_replace("line", r"[,\s]", "") != ""))
-        rows = rows.withColumn("cells", cells(F.col("line"))).withColumn(
-            "cells", as_array(F.col("cells")))
-        value = lambda k: F.get("cells", (F.array_position("header", F.lit(k)) - 1).cast("int"))
-        at = lambda k: F.when(F.array_contains("header", k), value(k))
+        rows = compute_once(rows, "cells", cells(F.col("line")))
+        rows = compute_once(rows, "cells", as_array(F.col("cells")))
+        # Position 0 means the column is missing; reading cell -1 gives null.
+        at = lambda k: text.strip(F.get("cells", (F.array_position("header", F.lit(k)) - 1)
+                                        .cast("int")))
         return assess(rows, at, at("filename"), F.col("no").cast("bigint"))
 
     def assess(rows: DataFrame, value, filename: Column, place: Column) -> DataFrame:
-        number = lambda *keys: F.coalesce(*[as_int(text.strip(value(k))) for k in keys])
-        counted = rows.withColumn("cc_value", number("ccn", "cyclomatic_complexity", "cc")).where(
-            F.col("cc_value") > threshold)
+        number = lambda *keys: F.coalesce(*[as_int(value(k)) for k in keys])
+        complexity = number("ccn", "cyclomatic_complexity", "cc")
+        counted = compute_once(rows, "cc_value", complexity).where(F.col("cc_value") > threshold)
         cc = F.col("cc_value").cast("string")
         name = text.first_nonempty(value("name"), value("function"), value("function_name"))
         start = F.coalesce(F.nullif(number("start_line", "start", "line"), F.lit(0)), F.lit(1))

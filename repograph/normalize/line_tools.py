@@ -8,8 +8,9 @@ from repograph.functions import text
 from repograph.functions.severity import map_severity
 from repograph.model import one_location
 from repograph.normalize.base import (
-    KEYS, Converter, Rule, as_int, drop_null_values, explode_items, fields, finish, json_lines,
-    parse_lines)
+    KEYS, Converter, Rule, as_int, captured, drop_null_values, explode_items, fields, finish,
+    json_lines, parse_lines)
+from repograph.operators.once import compute_once
 
 
 def _or(c: Column, default) -> Column:
@@ -147,16 +148,14 @@ _LAYERS = r"\(([^)]+?)\s*->\s*([^)]+?)\)\s*\z"
 def _deptrac(df: DataFrame) -> DataFrame:
     d = explode_items(df, F.col("doc"), "line")
     line = F.col("line")
-    with_line, with_file, plain = line.rlike(_WITH_LINE), line.rlike(_WITH_FILE), line.rlike(_PLAIN)
-    part = lambda pattern, n: F.regexp_extract(line, pattern, n)
-    d = d.where(with_line | with_file | plain).select(*KEYS, "result_idx", *fields(
-        file=F.when(with_line, part(_WITH_LINE, 1)).when(with_file, part(_WITH_FILE, 1))
-        .otherwise(""),
-        at=F.when(with_line, F.coalesce(as_int(part(_WITH_LINE, 2)), F.lit(1))).otherwise(1),
-        message=F.when(with_line, text.strip(part(_WITH_LINE, 3)))
-        .when(with_file, text.strip(part(_WITH_FILE, 2)))
-        .otherwise(F.concat_ws(" ", part(_PLAIN, 1), part(_PLAIN, 2))))).where(
-        F.col("message") != "")
+    # The first shape that fits gives (file, line, message); the plain shape names no file.
+    fits = F.when(line.rlike(_WITH_LINE), captured(line, _WITH_LINE, 3)).when(
+        line.rlike(_WITH_FILE), F.array_insert(captured(line, _WITH_FILE, 2), 2, F.lit("1"))).when(
+        line.rlike(_PLAIN), F.array(F.lit(""), F.lit("1"), F.array_join(
+            captured(line, _PLAIN, 2), " ")))
+    d = compute_once(d, "g", fits).where(F.col("g").isNotNull()).select(*KEYS, "result_idx", *fields(
+        file=F.get("g", F.lit(0)), at=F.coalesce(as_int(F.get("g", F.lit(1))), F.lit(1)),
+        message=text.strip(F.get("g", F.lit(2))))).where(F.col("message") != "")
     layered = F.col("message").rlike(_LAYERS)
     layer = lambda n: F.when(layered, text.strip(F.regexp_extract("message", _LAYERS, n)))
     mark = F.sha2(F.concat_ws(":", "file", F.col("at").cast("string"), "message"), 256)
@@ -174,7 +173,7 @@ DEPTRAC = Converter("deptrac", "deptrac", parse_lines, _deptrac, always=_DEPTRAC
 # --- taplo -------------------------------------------------------------------------------
 
 _DIAG = r"\A(error|warning|info)\[([^\]]+)\]:\s*(.+)\z"
-_WHERE = r"\A\s*-->\s*([^:]+):(\d+):(\d+)"
+_WHERE = r"(?s)\A\s*-->\s*([^:]+):(\d+):(\d+).*\z"
 
 
 def _taplo(df: DataFrame) -> DataFrame:
@@ -182,13 +181,15 @@ def _taplo(df: DataFrame) -> DataFrame:
     following = F.arrays_zip(F.col("doc").alias("line"), F.slice(
         F.concat("doc", F.array(F.lit(""))), 2, F.size("doc")).alias("next"))
     d = explode_items(df, following)
-    part = lambda n: F.regexp_extract("item.line", _DIAG, n)
-    place = lambda n: F.regexp_extract("item.next", _WHERE, n)
-    d = d.where(F.col("item.line").rlike(_DIAG))
+    d = d.where(F.col("item.line").rlike(_DIAG)).withColumns({
+        "g": captured(F.col("item.line"), _DIAG, 3),
+        "at": F.when(F.col("item.next").rlike(_WHERE), captured(F.col("item.next"), _WHERE, 3))})
+    part = lambda n: F.get("g", F.lit(n - 1))
+    place = lambda n: F.get("at", F.lit(n - 1))
     return finish(d.select(*KEYS, "result_idx", *fields(
         rule_id=F.concat(F.lit("taplo/"), part(2)), level=map_severity("taplo", part(1)),
         message=part(3),
-        locations=F.when(F.col("item.next").rlike(_WHERE), one_location(
+        locations=F.when(F.col("at").isNotNull(), one_location(
             place(1), as_int(place(2)), as_int(place(3)))),
         rule_name=part(2), rule_description=F.concat(F.lit("taplo lint: "), part(2)))), "taplo")
 
@@ -203,8 +204,9 @@ _CHKTEX = (r"\A([^:]+):(\d+):(\d+):\s*(\w+):\s*(.+?)(?:\s*\(Warning\s+(\d+)\))?\
 
 
 def _chktex(df: DataFrame) -> DataFrame:
-    d = explode_items(df, F.col("doc"), "line").where(F.col("line").rlike(_CHKTEX))
-    part = lambda n: F.regexp_extract("line", _CHKTEX, n)
+    d = explode_items(df, F.col("doc"), "line").where(F.col("line").rlike(_CHKTEX)).withColumn(
+        "g", captured(F.col("line"), _CHKTEX, 6))
+    part = lambda n: F.get("g", F.lit(n - 1))
     code = F.coalesce(text.nonempty(part(6)), F.lit("0"))
     return finish(d.select(*KEYS, "result_idx", *fields(
         rule_id=F.concat(F.lit("chktex/W"), code), level=map_severity("chktex", part(4)),
@@ -225,8 +227,9 @@ _LACHECK_RULE = Rule("lacheck/warning", "lacheck warning",
 
 
 def _lacheck(df: DataFrame) -> DataFrame:
-    d = explode_items(df, F.col("doc"), "line").where(F.col("line").rlike(_LACHECK))
-    part = lambda n: F.regexp_extract("line", _LACHECK, n)
+    d = explode_items(df, F.col("doc"), "line").where(F.col("line").rlike(_LACHECK)).withColumn(
+        "g", captured(F.col("line"), _LACHECK, 3))
+    part = lambda n: F.get("g", F.lit(n - 1))
     return finish(d.select(*KEYS, "result_idx", *fields(
         rule_id=F.lit(_LACHECK_RULE.rule_id), level=F.lit("warning"), message=part(3),
         locations=one_location(part(1), as_int(part(2))))), "lacheck")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.functions import text
 from repograph.model import LOCATION, SARIF_VERSION
 from repograph.normalize.base import KEYS, as_int
+from repograph.operators.once import compute_once
 
 # What each native tool is for.
 CATEGORIES = {
@@ -28,7 +29,7 @@ _DOCUMENT = ("`$schema` string, version string, runs array<struct<tool:struct<dr
 
 
 def parse(reports: DataFrame) -> DataFrame:
-    return reports.withColumn("doc", text.json_struct(F.col("raw"), _DOCUMENT))
+    return compute_once(reports, "doc", text.json_struct(F.col("raw"), _DOCUMENT))
 
 
 def reason() -> Column:

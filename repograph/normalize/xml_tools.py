@@ -8,6 +8,7 @@ from repograph.functions import text
 from repograph.functions.severity import map_severity
 from repograph.model import one_location
 from repograph.normalize.base import KEYS, Converter, as_int, fields, finish
+from repograph.operators.once import compute_once
 
 _ITEM = ("struct<_tag:string,_line:string,_column:string,_severity:string,_message:string,"
          "_source:string>")
@@ -18,7 +19,7 @@ def _parse(df: DataFrame) -> DataFrame:
     opened = F.regexp_replace("raw", r"<(?!(?:checkstyle|file)\b)([A-Za-z][\w.-]*)",
                               '<item tag="$1"')
     same = F.regexp_replace(opened, r"</(?!(?:checkstyle|file)\b)[A-Za-z][\w.-]*", "</item")
-    return df.withColumn("doc", F.from_xml(
+    return compute_once(df, "doc", F.from_xml(
         same, f"_version string, file array<struct<_name:string,item:array<{_ITEM}>>>, "
               "_corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
 

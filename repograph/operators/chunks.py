@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from repograph.operators.once import compute_once
+
 # Chunk length and overlap in words.
 CHUNK_WORDS = 350
 OVERLAP_WORDS = 100
@@ -24,4 +26,5 @@ def split_documents(docs: DataFrame, text: str = "text", words: int = CHUNK_WORD
     # The outer one-entry transform binds the word array, so the text is split once per row.
     pieces = F.get(F.transform(F.array(F.split(text, " ")), cut), F.lit(0))
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(pieces).alias("chunk_no", text))
+    cut_once = compute_once(docs, text, pieces)
+    return cut_once.select(*others, F.posexplode(text).alias("chunk_no", text))

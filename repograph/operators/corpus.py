@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.functions import paths
 from repograph.functions.ignore import compiled_pattern
 from repograph.functions.text import lines, token_count
+from repograph.operators.once import compute_once
 
 # Directories and files left out of the corpus by default.
 EXCLUDED_DIRS = [
@@ -112,7 +113,7 @@ def scannable(files: DataFrame, extra_dirs: list[str] | None = None) -> DataFram
 def ignore_rules(ignore_files: DataFrame) -> DataFrame:
     """Compiled patterns of each ignore file `(repo, dir, content)`; the root's `dir` is empty."""
     patterns = ignore_files.select("repo", "dir", F.posexplode(lines(F.col("content"))).alias(
-        "n", "line")).withColumn("p", compiled_pattern("line"))
+        "n", "line")).withColumn("p", compiled_pattern.asNondeterministic()("line"))
     # One file's patterns make one array, kept in file order.
     return patterns.where(F.col("p.regex").isNotNull()).groupBy("repo", "dir").agg(
         F.array_sort(F.collect_list(F.struct("n", "p.regex", "p.negated"))).alias("patterns"))
@@ -131,7 +132,8 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.transform(F.sequence(i + 1, depth), lambda j: F.concat(
             F.array_join(F.slice(parts, i + 1, j - i), "/"),
             F.when(j < depth, "/").otherwise(""))).alias("targets")))
-    asked = files.select("repo", "path", F.explode(above).alias("a")).select(
+    asked = compute_once(files.select("repo", "path"), "above", above).select(
+        "repo", "path", F.explode("above").alias("a")).select(
         "repo", "path", "a.dir", "a.targets")
     decide = lambda t: F.aggregate("patterns", F.lit(False), lambda hit, p: F.when(
         F.regexp_like(t, p["regex"]), ~p["negated"]).otherwise(hit))

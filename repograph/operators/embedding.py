@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from repograph.functions.text import nonempty
+from repograph.operators.once import compute_once
 from repograph.stage import staged
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -84,7 +85,9 @@ def embed(chunks: DataFrame, embedder: Embedder | None = None, text: str = "text
                 rows += [(v, error, name) for v in got]
             yield pd.DataFrame(rows, columns=["vector", "error", "batch"])
 
-    return chunks.withColumn("_e", vectors(F.col(text))).select(
+    # Marked as not deterministic, so that a filter on the vector does not call it again.
+    call_once = vectors.asNondeterministic()
+    return chunks.withColumn("_e", call_once(F.col(text))).select(
         *chunks.columns, F.col("_e.vector").alias("vector"),
         F.col("_e.error").alias("embed_error"), F.col("_e.batch").alias("batch"))
 
@@ -130,8 +133,8 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
     held = lambda c: F.coalesce(F.get_json_object(c, "$.embedding"),
                                 F.get_json_object(c, "$.embeddings"))
     floats = lambda c: F.from_json(c, "array<float>")
-    parsed = responses.withColumn("_value", held(F.col(column))).withColumn(
-        "_items", F.from_json("_value", "array<string>"))
+    parsed = compute_once(responses, "_value", held(F.col(column)))
+    parsed = compute_once(parsed, "_items", F.from_json("_value", "array<string>"))
     first = F.get("_items", F.lit(0))
     numbered = F.transform("_items", lambda x, i: F.struct(i.alias("index"), F.when(
         x.startswith("["), floats(x)).alias("vector")))
@@ -142,5 +145,6 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
              .when(first.startswith("{"), F.transform(objects, lambda v, i: F.struct(
                  i.alias("index"), v.alias("vector"))))
              .when(nonempty(first).isNotNull(), one))
-    return parsed.select(*responses.columns, F.explode(found).alias("_v")).select(
+    return compute_once(parsed, "_found", found).select(
+        *responses.columns, F.explode("_found").alias("_v")).select(
         *responses.columns, F.col("_v.index").alias("index"), F.col("_v.vector").alias("vector"))

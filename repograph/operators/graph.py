@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from repograph.operators.once import compute_once
+
 # Fixed value: what counts as an import line. Line ends are plain newlines only.
 _IMPORT = r"(?Umd)^\s*(?:from|import)\s+([\w.]+)"
 
@@ -16,9 +18,9 @@ def import_edges(files: DataFrame, known: DataFrame) -> DataFrame:
     """
     ids = known.select("run_id", "id").distinct().withColumn("hit", F.lit(True))
     python = files.where(F.col("path").endswith(".py")).select(
-        "run_id", F.col("path").alias("source"),
-        F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)).alias("modules"))
-    python = python.where(F.size("modules") > 0)
+        "run_id", F.col("path").alias("source"), "content")
+    python = compute_once(python, "modules", F.regexp_extract_all(
+        "content", F.lit(_IMPORT), F.lit(1))).drop("content").where(F.size("modules") > 0)
     by_source = ids.select("run_id", F.col("id").alias("source"), F.col("hit").alias("source_hit"))
     by_target = ids.select("run_id", F.col("id").alias("target"), F.col("hit").alias("target_hit"))
     edges = python.join(by_source, ["run_id", "source"], "left").select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.functions import paths
 from repograph.functions.text import nonempty, strip
 from repograph.model import MERGED_ORDER
+from repograph.operators.once import compute_once
 from repograph.operators.ordering import first_n
 
 _HEAD_CHARS = 4096
@@ -47,9 +48,9 @@ def module_summaries(files: DataFrame, findings: DataFrame, max_files: int = 20,
     without any of these are left out, and so are findings outside the tree.
     """
     told = files.select("run_id", "path", paths.directory(F.col("path")).alias("module"),
-                        paths.file_name(F.col("path")).alias("name"),
-                        file_purpose(F.col("path"), F.col("content")).alias("purpose"))
-    told = told.where(F.col("purpose").isNotNull())
+                        paths.file_name(F.col("path")).alias("name"), "content")
+    told = compute_once(told, "purpose", file_purpose(F.col("path"), F.col("content")))
+    told = told.drop("content").where(F.col("purpose").isNotNull())
     shown = first_n(told, ["run_id", "module"], ["name"], max_files).groupBy(
         "run_id", "module").agg(F.transform(F.array_sort(F.collect_list(F.struct(
             "name", F.concat_ws(": ", "name", "purpose").alias("text")))),

@@ -30,7 +30,7 @@ def dense_index(df: DataFrame, group: list[str], major: list[str], minor: str, n
                 block_rows: int = 4096) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... in (major, minor) order.
 
-    `minor` is an integer unique within (group, major). Rows fall into blocks of at most
+    `minor` is an integer unique within (group, major); no key is null. Rows fall into blocks of at most
     `block_rows` consecutive minor values; only block counts are summed per group, so no task
     ever sorts a whole group.
     """
@@ -41,16 +41,11 @@ def dense_index(df: DataFrame, group: list[str], major: list[str], minor: str, n
         Window.unboundedPreceding, -1)
     offsets = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # Group keys such as a tool name may be null: compare them null-safe.
-    left = blocked.withColumn(
-        "_row", F.row_number().over(Window.partitionBy(*keys).orderBy(minor)) - 1).alias("l")
-    right = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_offset")
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & F.col(f"l.{k}").eqNullSafe(F.col(f"_k{i}"))
-    joined = left.join(right, match)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns],
-                         (F.col("_offset") + F.col("_row")).cast("bigint").alias(name))
+    rows = blocked.withColumn(
+        "_row", F.row_number().over(Window.partitionBy(*keys).orderBy(minor)) - 1)
+    # The window above and this join share their keys: the rows are shuffled once.
+    return rows.join(offsets, keys).select(
+        *df.columns, (F.col("_offset") + F.col("_row")).cast("bigint").alias(name))
 
 
 def ordered_text(parts: Column, separator: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repograph.functions.text import (
     nonempty, page_summary, strip_control_characters, strip_xml_fences)
+from repograph.operators.once import compute_once
 from repograph.operators.ordering import first_n, first_n_salted, ordered_text
 from repograph.stage import staged
 
@@ -61,7 +62,8 @@ def parse_structures(responses: DataFrame) -> WikiStructure:
                      f"title string, description string, pages struct<page:array<{_PAGE}>>, "
                      f"sections struct<section:array<{_SECTION}>>, _corrupt string",
                      {"columnNameOfCorruptRecord": "_corrupt", "ignoreSurroundingSpaces": "false"})
-    read = responses.select("wiki_id", block.alias("block")).withColumn("doc", doc).withColumn(
+    blocks = compute_once(responses.select("wiki_id", "response"), "block", block)
+    read = compute_once(blocks, "doc", doc).withColumn(
         "reason", F.when(F.col("block").isNull(), "no structure block").when(
             F.col("doc").isNull() | F.col("doc._corrupt").isNotNull(), "not well-formed"))
     good = read.where(F.col("reason").isNull())
