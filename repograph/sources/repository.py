@@ -1,29 +1,84 @@
-"""Repository folders as tables of files."""
+"""Repository folders as tables of files.
+
+Spark's own file sources leave out empty files and every name that starts with a dot or an
+underscore, `__init__.py` among them. So tasks list and read the folders through Arrow's file
+systems, which know local paths and the usual object stores.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from repograph.functions.paths import ends_with_any
+
+_BATCH_BYTES = 32 << 20
+
+
+def list_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """Files below a folder as `(repo, path, size)`.
+
+    The driver lists the first level only; the folders in it are listed by tasks. Without a
+    repository name each folder of the first level is a repository.
+    """
+    store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+    entries = store.get_file_info(fs.FileSelector(base))
+    folders = [(repo or e.base_name, e.base_name if repo else "") for e in entries
+               if e.type == fs.FileType.Directory]
+    loose = [(repo, e.base_name, e.size) for e in entries
+             if repo and e.type == fs.FileType.File]
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            for name, prefix in batch.itertuples(index=False):
+                top = f"{base}/{prefix or name}"
+                found = store.get_file_info(fs.FileSelector(top, recursive=True))
+                start = len(base if prefix else top) + 1
+                yield pd.DataFrame([(name, e.path[start:], e.size) for e in found
+                                    if e.type == fs.FileType.File],
+                                   columns=["repo", "path", "size"])
+
+    below = spark.createDataFrame(folders, "repo string, prefix string").repartition(
+        max(1, min(len(folders), spark.sparkContext.defaultParallelism * 4))).mapInPandas(
+        listing, "repo string, path string, size bigint")
+    return below.unionByName(spark.createDataFrame(loose, below.schema))
+
 
 def read_files(spark: SparkSession, root: str, suffixes: list[str] | None = None,
-               repo: str | None = None) -> DataFrame:
+               repo: str | None = None, tasks: int | None = None) -> DataFrame:
     """Files below a folder as `(repo, path, content)`, content still binary.
 
-    `suffixes` becomes a glob, so other files are not even listed as input splits. Without a
-    repository name the first folder below the root names the repository of each file.
+    Suffixes are applied to the listing, so other files are never opened. Files are dealt out
+    over tasks by path: a repository with most of the files is read by all of them.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = list_files(spark, root, repo)
     if suffixes:
-        reader = reader.option("pathGlobFilter", "{" + ",".join(f"*{s}" for s in suffixes) + "}")
-    base = root.rstrip("/")
-    full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    # Everything after the root; the scheme in front of it differs between file systems.
-    tail = F.substring_index(full, f"{base}/", -1)
-    files = reader.load(base).select(tail.alias("tail"), "content")
-    if repo is not None:
-        return files.select(F.lit(repo).alias("repo"), F.col("tail").alias("path"), "content")
-    return files.select(F.substring_index("tail", "/", 1).alias("repo"),
-                        F.regexp_extract("tail", r"(?s)\A[^/]*/(.*)\z", 1).alias("path"), "content")
+        listed = listed.where(ends_with_any(F.col("path"), suffixes))
+    inside = bool(repo)
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        rows, held = [], 0
+        for batch in batches:
+            for name, path in batch.itertuples(index=False):
+                with store.open_input_stream(f"{base}/{path}" if inside else
+                                             f"{base}/{name}/{path}") as stream:
+                    data = stream.read()
+                rows.append((name, path, data))
+                held += len(data)
+                if held >= _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+
+    parts = tasks or spark.sparkContext.defaultParallelism * 4
+    return listed.select("repo", "path").repartition(parts, "repo", "path").mapInPandas(
+        contents, "repo string, path string, content binary")
 
 
 def strict_text(content: Column) -> Column:

@@ -1,0 +1,5 @@
+"""Nothing lives here: the work has no event-time or stateful streaming operators.
+
+The converters in `repograph.normalize` are narrow projections and accept a streaming
+DataFrame as they are.
+"""
