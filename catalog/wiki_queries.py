@@ -283,19 +283,22 @@ def page_summaries(spark, sf):
         .otherwise(made)).alias("summary"))
 
 
-@query("stripped_texts", """SELECT doc_id, md5(text) AS markdown, md5(text || 'ab') AS xml FROM documents
-WHERE NOT contains(text, '```') AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')
-  AND NOT regexp_matches(text, '^\\s|\\s$')""")
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+@query("stripped_texts", f"""WITH plain AS (SELECT doc_id, regexp_replace(replace(text, '`', ''), '^\\s+',
+  '') AS body FROM documents)
+SELECT doc_id, md5(body) AS markdown, md5(regexp_replace(body, '{CONTROLS}', '', 'g') || 'ab') AS xml
+FROM plain""")
 def stripped_texts(spark, sf):
-    docs = table(spark, sf, "documents").where(~c("text").contains("```") & ~c("text").rlike(
-        r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]") & ~c("text").rlike(r"\A\s|\s\z"))
+    body = F.replace("text", F.lit("`"), F.lit(""))
     fenced = lambda head, body, tail: F.concat(F.lit(head), body, F.lit(tail))
     digest = lambda x: F.md5(x.cast("binary"))
-    return docs.select(
-        "doc_id", digest(text.strip_markdown_fences(fenced("```Markdown \n", c("text"), "```\n")))
+    return table(spark, sf, "documents").select(
+        "doc_id", digest(text.strip_markdown_fences(fenced("```Markdown \n", body, "```\n")))
         .alias("markdown"),
         digest(text.strip_control_characters(text.strip_xml_fences(fenced(
-            "```XML\n", F.concat("text", F.lit("a\x01b")), "``` ")))).alias("xml"))
+            "```XML\n", F.concat(body, F.lit("a\x01b")), "``` ")))).alias("xml"))
 
 
 @query("slide_plans", """SELECT doc_id, nth::INT AS nth, CASE doc_id % 5
@@ -349,6 +352,15 @@ def workshop_texts(spark, sf):
         "doc_id", wiki_text.with_project_note(c("content")).alias("content"))
 
 
+@query("branch_lists", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'dev,main,master'
+  WHEN 1 THEN 'master,main' ELSE 'main,master' END AS branches FROM pages""")
+def branch_lists(spark, sf):
+    from repograph.functions.urls import branches_to_try
+    known = F.when(c("page_id") % 3 == 0, "dev").when(c("page_id") % 3 == 1, "master")
+    return table(spark, sf, "pages").select(
+        "page_id", F.array_join(branches_to_try(known), ",").alias("branches"))
+
+
 # --- project catalogue -------------------------------------------------------------------
 
 PROJECT_FILES = """SELECT page_id, concat(CASE page_id % 9 WHEN 8 THEN 'other_' ELSE 'wiki_cache_' END,

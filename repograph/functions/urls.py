@@ -91,3 +91,9 @@ def repository_url(repo_type: Column, local_path: Column, repo_url: Column, owne
     made_up = F.concat(F.lit("http://example/"), nonempty(owner), F.lit("/"), nonempty(repo))
     return F.coalesce(F.when(repo_type == "local", nonempty(local_path)), nonempty(repo_url),
                       made_up, F.lit(""))
+
+
+def branches_to_try(default: Column) -> Column:
+    """The default branch when it is known, then the usual names, each once."""
+    usual = F.array(F.lit("main"), F.lit("master"))
+    return F.array_distinct(F.concat(F.array_compact(F.array(nonempty(default))), usual))
