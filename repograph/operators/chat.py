@@ -8,6 +8,7 @@ from repograph.functions.research import FINAL_ITERATION, RESEARCH_TAG, without_
 from repograph.functions.text import nonempty, strip, token_count
 from repograph.functions.urls import short_name
 from repograph.operators.ordering import ordered_text
+from repograph.operators.skew import salted_join
 from repograph.stage import staged
 
 # Fixed value: questions above this many tokens are answered without retrieval.
@@ -157,8 +158,8 @@ def prompt_fragments(asked: DataFrame, turns: DataFrame, contexts: DataFrame | N
     with_history = asked.select("conv_id").join(talked, "conv_id", "left_semi")
     out = piece(asked, _SYSTEM, F.concat(F.lit("/no_think "), "system_prompt", F.lit("\n\n")))
     out = out.unionByName(piece(with_history, _OPEN, F.lit("<conversation_history>\n")))
-    out = out.unionByName(piece(history.join(asked.select("conv_id"), "conv_id", "left_semi"),
-                                _TURNS, F.col("text"), F.col("seq")))
+    told = salted_join(history, asked.select("conv_id"), ["conv_id"], ["seq"], "left_semi")
+    out = out.unionByName(piece(told, _TURNS, F.col("text"), F.col("seq")))
     out = out.unionByName(piece(with_history, _CLOSE, F.lit("</conversation_history>\n\n")))
     if "file_content" in asked.columns:
         shown = asked.where(nonempty(F.col("file_path")).isNotNull()
@@ -187,9 +188,9 @@ def assemble_prompts(fragments: DataFrame, max_chars: int = 4_000_000) -> tuple[
     fragments = staged(fragments)
     sizes = fragments.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
     short = sizes.where(F.col("chars") <= max_chars).select("conv_id")
-    whole = fragments.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(
+    whole = salted_join(fragments, short, ["conv_id"], ["part", "seq"], "left_semi").groupBy("conv_id").agg(
         ordered_text(F.collect_list(F.struct("part", "seq", "text")), "").alias("prompt"))
-    return whole, fragments.join(short, "conv_id", "left_anti")
+    return whole, salted_join(fragments, short, ["conv_id"], ["part", "seq"], "left_anti")
 
 
 def rendered_template(system_prompt: Column, output_format: Column, contexts: Column, query: Column,

@@ -8,6 +8,7 @@ from repograph.functions import paths
 from repograph.functions.ignore import compiled_pattern
 from repograph.functions.text import lines, token_count
 from repograph.operators.once import compute_once
+from repograph.operators.skew import salted_join
 
 # Directories and files left out of the corpus by default.
 EXCLUDED_DIRS = [
@@ -137,7 +138,8 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
         "repo", "path", "a.dir", "a.targets")
     decide = lambda t: F.aggregate("patterns", F.lit(False), lambda hit, p: F.when(
         F.regexp_like(t, p["regex"]), ~p["negated"]).otherwise(hit))
-    return asked.join(rules, ["repo", "dir"]).where(F.exists("targets", decide)).select(
+    # All files of a repository ask its root directory.
+    return salted_join(asked, rules, ["repo", "dir"], ["path"]).where(F.exists("targets", decide)).select(
         "repo", "path").distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from repograph.operators.once import compute_once
+from repograph.operators.skew import salted_join
 
 # Fixed value: what counts as an import line. Line ends are plain newlines only.
 _IMPORT = r"(?Umd)^\s*(?:from|import)\s+([\w.]+)"
@@ -26,6 +27,7 @@ def import_edges(files: DataFrame, known: DataFrame) -> DataFrame:
     edges = python.join(by_source, ["run_id", "source"], "left").select(
         "run_id", "source", "source_hit", F.explode("modules").alias("module")).withColumn(
         "target", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
-    found = edges.join(by_target, ["run_id", "target"], "left")
+    # A module nearly every file imports is one target.
+    found = salted_join(edges, by_target, ["run_id", "target"], ["source"], "left")
     return found.where(F.col("source_hit") | F.col("target_hit")).select(
         "run_id", "source", "target", F.lit("import").alias("type"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from repograph.functions.text import nonempty
 from repograph.operators.ordering import first_n
+from repograph.operators.skew import salted_join
 
 PLACE = ["doc_idx", "run_idx"]
 
@@ -46,8 +47,8 @@ def merge_rules(rules: DataFrame, runs: DataFrame) -> DataFrame:
     """
     first = runs.groupBy("run_id", "tool").agg(F.min(F.struct(*PLACE)).alias("_start"))
     in_first = F.struct(*PLACE) == F.col("_start")
-    keyed = rules.where(nonempty(F.col("rule_id")).isNotNull()).join(
-        first, ["run_id", "tool"], "left")
+    named = rules.where(nonempty(F.col("rule_id")).isNotNull())
+    keyed = salted_join(named, first, ["run_id", "tool"], [*PLACE, "rule_idx"], "left")
     ranked = keyed.withColumn(
         "_pick", F.when(in_first, -F.col("rule_idx")).otherwise(F.col("rule_idx")))
     return first_n(ranked, ["run_id", "tool", "rule_id"], [*PLACE, "_pick"], 1).drop(

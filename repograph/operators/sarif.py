@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repograph.functions.text import nonempty
 from repograph.model import LEVELS, SARIF_SCHEMA_URI, SARIF_VERSION
+from repograph.operators.skew import salted_join
 
 
 def location_object(place: Column) -> Column:
@@ -128,4 +129,4 @@ def _quoted(name: str) -> Column:
 def _mark_first(df: DataFrame, keys: list[str], place: str) -> DataFrame:
     """Add `first`: whether the row has the smallest place of its group."""
     least = df.groupBy(*keys).agg(F.min(place).alias("_least"))
-    return df.join(least, keys).withColumn("first", F.col(place) == F.col("_least")).drop("_least")
+    return salted_join(df, least, keys, [place]).withColumn("first", F.col(place) == F.col("_least")).drop("_least")

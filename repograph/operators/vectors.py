@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from repograph.operators.ordering import first_n
+from repograph.operators.skew import salted_join
 
 # Fixed value: chunks retrieved per question.
 TOP_K = 20
@@ -39,24 +40,21 @@ def first_size(chunks: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
         F.min_by("size", "first").alias("target"))
 
 
-def keep_size(chunks: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks whose vector has the target size of their group.
-
-    Targets are one row per group and cross no vector data.
-    """
+def keep_size(chunks: DataFrame, targets: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Chunks whose vector has the target size of their group. Targets are one row per group."""
     sized = chunks.withColumn("_size", vector_size())
-    return sized.join(targets.withColumnRenamed("target", "_size"), [*keys, "_size"],
-                      "left_semi").drop("_size")
+    wanted = targets.withColumnRenamed("target", "_size")
+    return salted_join(sized, wanted, [*keys, "_size"], [ordinal], "left_semi").drop("_size")
 
 
 def valid_vectors(chunks: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Drop chunks without vector or with an unusual vector size."""
-    return keep_size(chunks, modal_size(chunks, keys, ordinal), keys)
+    return keep_size(chunks, modal_size(chunks, keys, ordinal), keys, ordinal)
 
 
 def first_size_vectors(chunks: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Alternative gate: keep the size of the first vector."""
-    return keep_size(chunks, first_size(chunks, keys, ordinal), keys)
+    return keep_size(chunks, first_size(chunks, keys, ordinal), keys, ordinal)
 
 
 def vector_statistics(chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from repograph.functions.text import (
     nonempty, page_summary, strip_control_characters, strip_xml_fences)
 from repograph.operators.once import compute_once
 from repograph.operators.ordering import first_n, first_n_salted, ordered_text
+from repograph.operators.skew import salted_join
 from repograph.stage import staged
 
 # Title words of the page categories, tried in this order.
@@ -142,7 +143,7 @@ def tree_pages(tree: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFr
 def flat_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """Pages of the wikis that have no root section: shown as a plain list."""
     rooted = root_sections(sections).select("wiki_id").distinct()
-    return pages.join(rooted, "wiki_id", "left_anti")
+    return salted_join(pages, rooted, ["wiki_id"], ["seq"], "left_anti")
 
 
 def related_links(pages: DataFrame) -> DataFrame:
@@ -150,7 +151,8 @@ def related_links(pages: DataFrame) -> DataFrame:
     named = pages.select("wiki_id", "seq", F.posexplode("related").alias("nth", "id"))
     known = first_by_id(pages).select("wiki_id", "id", "title")
     link = F.concat(F.lit("["), "title", F.lit("](#"), "id", F.lit(")"))
-    return named.join(known, ["wiki_id", "id"]).groupBy("wiki_id", "seq").agg(ordered_text(
+    # A page many others name is one key of this join.
+    return salted_join(named, known, ["wiki_id", "id"], ["seq", "nth"]).groupBy("wiki_id", "seq").agg(ordered_text(
         F.collect_list(F.struct("nth", link.alias("text"))), ", ").alias("links"))
 
 
@@ -282,7 +284,7 @@ def json_export(wikis: DataFrame, pages: DataFrame, generated_at: str) -> DataFr
     page = F.to_json(F.struct(
         "id", "title", "content", F.col("file_paths").alias("filePaths"), "importance",
         F.col("related").alias("relatedPages")))
-    body = pages.join(counts, "wiki_id").select(
+    body = salted_join(pages, counts, ["wiki_id"], ["seq"]).select(
         "wiki_id", F.lit(_PAGES).alias("part"), F.col("seq").cast("bigint").alias("seq"), F.concat(
             F.when(F.col("seq") == F.col("first"), "").otherwise(","), page).alias("text"))
     return edge(_TITLE, -1, F.concat(F.lit('{"metadata":'), meta, F.lit(',"pages":['))).unionByName(

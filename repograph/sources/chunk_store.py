@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from repograph.operators.chunks import split_documents
 from repograph.operators.embedding import Embedder, embed
+from repograph.operators.skew import salted_join
 
 
 def reusable_repositories(stored: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def refreshed_chunks(stored: DataFrame, documents: DataFrame, embedder: Embedder
     Documents of reusable repositories are dropped before splitting: they cost nothing.
     """
     good = reusable_repositories(stored)
-    keep = stored.join(good, "repo", "left_semi")
-    stale = documents.join(good, "repo", "left_anti")
+    keep = salted_join(stored, good, ["repo"], ["text"], "left_semi")
+    stale = salted_join(documents, good, ["repo"], ["text"], "left_anti")
     fresh = embed(split_documents(stale), embedder)
     return keep.unionByName(fresh.select(*stored.columns))
 

@@ -151,3 +151,14 @@ def test_severity_words(spark, tool, word, level):
     df = spark.createDataFrame([(tool, word)], "tool string, word string")
     assert df.select(severity.map_severity(F.col("tool"), F.col("word"))).first()[0] == level
     assert df.select(severity.map_severity(tool, F.col("word"))).first()[0] == level
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, how):
+    from repograph.operators.skew import salted_join
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("k"), F.col("id") % 20)).alias("k"), "id")
+    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, v int")
+    plain = rows.join(lookup, ["k"], how)
+    salted = salted_join(rows, lookup, ["k"], ["id"], how)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
