@@ -108,5 +108,6 @@ def duration_label(seconds: Column) -> Column:
 def decode_list_parameter(value: Column) -> Column:
     """Newline-separated, URL-encoded list without blank entries."""
     parts = F.filter(F.split(value, "\n"), lambda x: strip(x) != "")
-    # A plus sign stays a plus sign: only percent escapes are decoded.
-    return F.transform(parts, lambda x: F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")))
+    # A plus sign stays a plus sign: only percent escapes are decoded. Broken escapes stay as text.
+    return F.transform(parts, lambda x: F.coalesce(
+        F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")), x))

@@ -161,9 +161,11 @@ def global_index(findings: DataFrame, name: str = "index") -> DataFrame:
 def explain_findings(findings: DataFrame, rules: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rule text for the findings named by `wanted(run_id, index)`.
 
-    Rules are joined after the index lookup, so only the asked findings meet them.
+    Only the runs asked about are numbered, and rules are joined after the index lookup, so only
+    the asked findings meet them.
     """
-    asked = global_index(findings).join(wanted, ["run_id", "index"], "left_semi")
+    runs = findings.join(wanted.select("run_id").distinct(), "run_id", "left_semi")
+    asked = global_index(runs).join(wanted, ["run_id", "index"], "left_semi")
     # One entry per (run, tool, rule id); a later entry replaces an earlier one.
     texts = rules.groupBy("run_id", "tool", "rule_id").agg(
         F.max_by(F.struct("description", "help_uri"), F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_documents(fragments: DataFrame, path: str, key: str, order: list[str],
@@ -10,17 +10,18 @@ def write_documents(fragments: DataFrame, path: str, key: str, order: list[str],
     """Write each document as one or more part files whose concatenation is its text.
 
     Rows are range-partitioned on (key, order): a large document spreads over several tasks and
-    its part files sort in document order.
+    its part files sort in document order. Every fragment ends its line in the file; the Markdown
+    fragments do so anyway, and between JSON fragments a line end has no meaning.
     """
     placed = fragments.repartitionByRange(F.col(key), *[F.col(c) for c in order])
-    rows = placed.sortWithinPartitions(key, *order).select(key, F.col(text).alias("value"))
-    rows.write.mode("overwrite").partitionBy(key).option("lineSep", "\x00").text(path)
+    rows = placed.sortWithinPartitions(key, *order).select(
+        key, F.regexp_replace(text, r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").partitionBy(key).text(path)
 
 
-def read_document(spark, path: str, key: str, value: str) -> str:
+def read_document(spark: SparkSession, path: str, key: str, value: str) -> str:
     """Text of one stored document. Brings it to the driver: for documents of modest size."""
-    rows = spark.read.option("lineSep", "\x00").text(f"{path}/{key}={value}").select(
-        "value", F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("n")).orderBy("file", "at", "n")
-    return "".join(r.value for r in rows.toLocalIterator())
+    parts = spark.read.text(f"{path}/{key}={value}", wholetext=True).select(
+        "value", F.col("_metadata.file_name").alias("file"))
+    # Task numbers are padded to five digits; longer names belong to later tasks.
+    return "".join(r.value for r in parts.orderBy(F.length("file"), "file").toLocalIterator())

@@ -140,3 +140,31 @@ def test_prompt_with_file_and_template_braces(spark):
         "/no_think r Japanese (日本語) {x} 2\n\n<currentFileContent path=\"a.py\">\ncode\n"
         "</currentFileContent>\n\n<note>Answering without retrieval augmentation due to input size "
         "constraints.</note>\n\n<query>\nq\n</query>\n\nAssistant: ")
+
+
+def test_exports_are_whole_documents(spark, tmp_path):
+    import json
+    from repograph.sources.documents import read_document, write_documents
+    pages = spark.createDataFrame(
+        [(1, 0, "a", "A", "high", ["b", "zz", "b"], ["f"], "line\n\nmore"),
+         (1, 1, "b", "B", "low", [], [], 'x "y"'), (2, 0, "c", "C", "low", ["c"], [], "z")],
+        "wiki_id bigint, seq bigint, id string, title string, importance string, "
+        "related array<string>, file_paths array<string>, content string")
+    wikis = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "wiki_id bigint, repo_url string")
+    write_documents(wiki.markdown_export(wikis, pages, "now"), str(tmp_path / "md"), "wiki_id",
+                    wiki.EXPORT_ORDER)
+    assert read_document(spark, str(tmp_path / "md"), "wiki_id", "1") == (
+        "# Wiki Documentation for u1\n\nGenerated on: now\n\n## Table of Contents\n\n- [A](#a)\n- [B](#b)\n"
+        "\n<a id='a'></a>\n\n## A\n\n### Related Pages\n\nRelated topics: [B](#b), [B](#b)\n\n"
+        "line\n\nmore\n\n---\n\n<a id='b'></a>\n\n## B\n\nx \"y\"\n\n---\n\n")
+    write_documents(wiki.json_export(wikis, pages, "now"), str(tmp_path / "js"), "wiki_id",
+                    wiki.EXPORT_ORDER)
+    doc = json.loads(read_document(spark, str(tmp_path / "js"), "wiki_id", "1"))
+    assert doc["metadata"] == {"repository": "u1", "generated_at": "now", "page_count": 2}
+    assert [p["content"] for p in doc["pages"]] == ["line\n\nmore", 'x "y"']
+    empty = json.loads(read_document(spark, str(tmp_path / "js"), "wiki_id", "3"))
+    assert empty["pages"] == [] and empty["metadata"]["page_count"] == 0
+
+
+def test_broken_escapes_stay_text(spark):
+    assert one(spark, "a%20b\n \n%zz\nc+d", text.decode_list_parameter) == ["a b", "%zz", "c+d"]
