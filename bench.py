@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 import catalog  # noqa: E402
+from repograph.ship import ship_packages  # noqa: E402
 
 HEADLINE = [
     "run_metrics", "deduplicated_findings", "dashboard_metrics", "finding_index",
@@ -44,6 +45,8 @@ def main() -> None:
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    here = os.path.dirname(os.path.abspath(__file__))
+    ship_packages(spark, os.path.join(here, "repograph"), os.path.join(here, "catalog"))
     # Start the JVM, the code generator and the Python workers before the clock runs.
     catalog.QUERIES["run_metrics"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     spark.range(8).mapInPandas(lambda it: it, "id bigint").count()

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 import catalog  # noqa: E402
 from catalog.compare import compare, connect  # noqa: E402
+from repograph.ship import ship_packages  # noqa: E402
 
 
 def main(sf_dir, wanted):
@@ -20,6 +21,8 @@ def main(sf_dir, wanted):
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ship_packages(spark, os.path.join(root, "repograph"), os.path.join(root, "catalog"))
     con = connect(sf_dir)
     bad = 0
     for name, fn in catalog.QUERIES.items():

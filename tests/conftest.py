@@ -5,7 +5,10 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, _ROOT)
+
+from repograph.ship import ship_packages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,5 +20,6 @@ def spark():
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
+    ship_packages(session, os.path.join(_ROOT, "repograph"), os.path.join(_ROOT, "catalog"))
     yield session
     session.stop()
