@@ -19,7 +19,7 @@ def ship_packages(spark: SparkSession, *folders: str) -> None:
     missing = [f for f in folders if f not in sent]
     if not missing:
         return
-    archive = os.path.join(tempfile.mkdtemp(prefix="packages-"), "packages.zip")
+    archive = os.path.join(tempfile.mkdtemp(prefix="packages-"), f"packages_{len(sent)}.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for folder in missing:
             parent = os.path.dirname(folder)
