@@ -33,6 +33,7 @@ from repograph.stage import staged
 
 _SHARD_WINDOWS = 1_000_000
 _COPY_READERS = 2_000
+_GAP = 1                     # stands for no word
 _FIRST_LETTER, _LETTERS = 0x10000, 0x100000     # beyond the surrogates
 
 
@@ -110,6 +111,13 @@ def _flat(column: pa.Array) -> np.ndarray:
     return np.unique(column.flatten().to_numpy().view(np.uint64))
 
 
+def _among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
+    return sorted_keys[at] == values
+
+
 def _confirming(size: int, phrase: int):
     """Windows with a recurring phrase: hash, least and greatest doc_id of the batch."""
     def run(batches):
@@ -118,7 +126,7 @@ def _confirming(size: int, phrase: int):
             ids = batch.column("doc_id").to_numpy()
             for part in words.slices(batch.column("text")):
                 found, least, _, rows = _windows(part.word_hashes(), part.word_offsets, size, phrase)
-                ok = np.isin(least, shared)
+                ok = _among(least, shared)
                 found, doc = found[ok], ids[part.first + rows[ok]]
                 order = np.lexsort((doc, found))
                 found, doc = found[order], doc[order]
@@ -147,9 +155,9 @@ def _originals(size: int, phrase: int):
                     own = hashes[part.word_offsets[r]:part.word_offsets[r + 1]]
                     bounds = np.array([0, len(own)])
                     found, least, _, _ = _windows(own, bounds, size, phrase)
-                    wanted = np.unique(least[np.isin(found, confirmed)])
+                    wanted = np.unique(least[_among(found, confirmed)])
                     keys, starts, _ = _anchors(own, bounds, size, phrase)
-                    at = starts[np.isin(keys, wanted)]
+                    at = starts[_among(keys, wanted)]
                     out.append((own.tobytes(), at.astype(np.int64).tobytes(),
                                 wanted.view(np.int64)))
                 own, at, wanted = zip(*out)
@@ -165,21 +173,44 @@ _STREAM = ("shard int, copy int, kind int, doc_id bigint, text_hash bigint, hash
            "starts binary")
 
 
-def _readers(copies: dict[int, int]):
-    """One row per document and shard that it streams through."""
+def _readers(copies: dict[int, int], size: int, phrase: int):
+    """One row per document and shard: the stretches around the anchors that the shard has.
+
+    hashes: the words of the stretches, with a gap between them; starts: where each stretch begins
+    in the document, and its length.
+    """
+    side = size - phrase
+    gap = np.full(side, _GAP, np.uint64)
+
     def run(batches):
         for batch in batches:
-            shards, ids = batch.column("shards").to_pylist(), batch.column("doc_id").to_pylist()
+            routes, ids = batch.column("routes").to_pylist(), batch.column("doc_id").to_pylist()
             text_hash = batch.column("text_hash").to_pylist()
             for part in words.slices(batch.column("text")):
-                hashes, out = part.word_hashes(), []
+                hashes = part.word_hashes()
+                keys, starts, _ = _anchors(hashes, part.word_offsets, size, phrase)
+                bounds = np.searchsorted(starts, part.word_offsets)
+                out = []
                 for r in range(part.rows):
-                    at = part.first + r
-                    own = hashes[part.word_offsets[r]:part.word_offsets[r + 1]].tobytes()
-                    out += [(s, (text_hash[at] ^ ids[at]) % copies.get(s, 1), 1, ids[at],
-                             text_hash[at], own, b"") for s in shards[at]]
+                    at, (a, b) = part.first + r, part.word_offsets[r:r + 2]
+                    own, places = keys[bounds[r]:bounds[r + 1]], starts[bounds[r]:bounds[r + 1]]
+                    for route in routes[at]:
+                        wanted = np.sort(np.array(route["anchors"], np.int64).view(np.uint64))
+                        hit = places[_among(own, wanted)]
+                        begins, ends = np.maximum(hit - side, a), np.minimum(hit + size, b)
+                        new = np.flatnonzero(np.append(True, begins[1:] > ends[:-1])[:len(hit)])
+                        spans = list(zip(begins[new].tolist(),
+                                         ends[np.append(new[1:], len(hit)) - 1].tolist()))
+                        if not spans:
+                            continue
+                        parts = [x for p, q in spans for x in (hashes[p:q], gap)]
+                        s = route["shard"]
+                        out.append((
+                            s, (text_hash[at] ^ ids[at]) % copies.get(s, 1), 1, ids[at],
+                            text_hash[at], np.concatenate(parts).tobytes(),
+                            np.array([(p - a, q - p) for p, q in spans], np.int64).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), [
+                    [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, [
                         pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(),
                         pa.binary(), pa.binary()])],
                     names=["shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts"])
@@ -246,7 +277,7 @@ class _Shard:
             self.begins[hits[:, 1]] - (np.cumsum(n) - n), n)]
         earlier = self.owners[member] < doc
         starts, member = starts[earlier], member[earlier]
-        padded = self._padded(hashes, 1)
+        padded = self._padded(hashes, _GAP)
         cover = np.zeros(len(hashes) + 1, np.int64)
         offsets = np.arange(self.phrase + 2 * self.side)
         for a in range(0, len(starts), 4096):
@@ -281,9 +312,13 @@ def _located(size: int, phrase: int):
                     if not shard.docs:
                         continue
                     shard.compiled()
-                spans = shard.covered(doc, own)
-                if spans:
-                    out.append((doc, text_hash, *map(list, zip(*spans))))
+                spans = np.array(shard.covered(doc, own), np.int64).reshape(-1, 2)
+                if len(spans):
+                    # From the row's stretches to the document's words.
+                    begins, lengths = np.frombuffer(starts, np.int64).reshape(-1, 2).T
+                    rows = np.cumsum(lengths + size - phrase) - (lengths + size - phrase)
+                    move = (begins - rows)[np.searchsorted(rows, spans[:, 0], "right") - 1]
+                    out.append((doc, text_hash, spans[:, 0] + move, spans[:, 1] + move))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), [
@@ -335,11 +370,13 @@ def repeated_stretches(docs: DataFrame, text: str = "text", size: int = 50, phra
     placed = (originals.select("shard", F.explode("phrases").alias("anchor"))
               .groupBy("anchor").agg(F.collect_set("shard").alias("shards"))
               .join(recurring.select("anchor", "holders"), "anchor"))
-    routes = staged(join_counted(held.select(*keys, "anchor"), placed, ["anchor"], "holders", total,
-                                 "inner")
-                    .select(*keys, F.explode("shards").alias("shard")).groupBy(*keys)
-                    .agg(F.collect_set("shard").alias("shards")))
-    busy = {r["shard"]: r["count"] for r in routes.select(F.explode("shards").alias("shard"))
+    by_shard = (join_counted(held.select(*keys, "anchor"), placed, ["anchor"], "holders", total,
+                             "inner")
+                .select(*keys, "anchor", F.explode("shards").alias("shard"))
+                .groupBy(*keys, "shard").agg(F.collect_set("anchor").alias("anchors")))
+    routes = staged(by_shard.groupBy(*keys).agg(
+        F.collect_list(F.struct("shard", "anchors")).alias("routes")))
+    busy = {r["shard"]: r["count"] for r in routes.select(F.explode("routes.shard").alias("shard"))
             .groupBy("shard").count().filter(f"count > {_COPY_READERS}").collect()}
     copies = {s: -(-n // _COPY_READERS) for s, n in busy.items()}
     many = F.create_map(*[F.lit(x) for s, n in copies.items() for x in (s, n)]) if copies else None
@@ -347,7 +384,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", size: int = 50, phra
     sources = originals.select("shard", F.explode(F.sequence(F.lit(0), last)).alias("copy"),
                                F.lit(0).alias("kind"), "doc_id", "text_hash", "hashes", "starts")
     streams = involved.drop("shared").join(routes, keys).mapInArrow(
-        _readers(copies), _STREAM).unionByName(sources)
+        _readers(copies, size, phrase), _STREAM).unionByName(sources)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     located = (streams.repartition(parts, "shard", "copy")
                .sortWithinPartitions("shard", "copy", "kind")
