@@ -6,7 +6,7 @@ to five; for others alpha(h) * P(w), where alpha(h) spreads what the discounts l
 probabilities of all words sum to one. P(w) is discounted the same way, and what that leaves is the
 probability of an unknown word.
 
-Words and pairs are known by 64-bit hashes. The documents of a task form blocks of about four
+Words and pairs are known by 64-bit hashes. The documents of a task form blocks of about 1.5
 million tokens; a block asks each shard of the count tables about its distinct words, then about
 its distinct pairs, in sorted arrays. A shard adds up the training counts of all blocks and answers
 each. So a word or pair costs one entry per block however often it stands there, and the busiest
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.llm import words
 from repograph.stage import stage_folder, staged
 
-_BLOCK_TOKENS = 4_000_000
+_BLOCK_TOKENS = 1_500_000
 _CUT = 5                     # counts beyond it are not discounted
 _U = np.uint64
 _END = words.mix(np.array([0x456E64], _U))[0]
