@@ -94,11 +94,18 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
 
 
 def parser_table(automaton: np.ndarray) -> np.ndarray:
-    """(state, letter) -> twice the offset of the next state, plus one where a phrase ended."""
+    """(state, letter) -> four times the offset of the next state, plus the phrases that ended.
+
+    Where a text has no way on, a phrase ends and the next one begins with the letter. A letter
+    that the sample lacks is a phrase of its own. State 0 is between phrases.
+    """
     states, letters = automaton.shape
-    again = np.maximum(automaton[0], 0)          # the next phrase begins with the letter
-    out = np.where(automaton >= 0, automaton * letters * 2, again * letters * 2 + 1)
-    out[:, _NONE] = np.arange(states) * letters * 2          # beyond a lane's end nothing moves
+    fresh = automaton[0]
+    ended = np.where(automaton >= 0, 0, np.where(fresh >= 0, 1, 2))
+    ended[0] = np.where(fresh >= 0, 0, 1)
+    to = np.where(automaton >= 0, automaton, np.maximum(fresh, 0))
+    out = to * letters * 4 + ended
+    out[:, _NONE] = np.arange(states) * letters * 4          # beyond a lane's end nothing moves
     return out.astype(np.int32).ravel()
 
 
@@ -158,9 +165,9 @@ class Parser:
             for t in range(int(lengths[0]) if len(lengths) else 0):
                 m = live[t]
                 way = table[state[:m] + codes[starts[:m] + t]]
-                ended[:m] += way & 1
-                state[:m] = way >> 1
-            out[:, k] = np.bincount(row_of, weights=ended + 1, minlength=n)
+                ended[:m] += way & 3
+                state[:m] = way >> 2
+            out[:, k] = np.bincount(row_of, weights=ended + (state > 0), minlength=n)
         return out
 
 
