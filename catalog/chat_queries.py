@@ -93,7 +93,7 @@ def history_texts(spark, sf):
 @query("chat_requests", f"""WITH {M}, {REQUESTS}
 SELECT * FROM requests""")
 def chat_requests(spark, sf):
-    return chat.requests(messages(spark, sf))
+    return chat.requests(messages(spark, sf), chat.MAX_QUESTION_TOKENS)
 
 
 @query("system_prompts", f"""WITH {M}, {REQUESTS}, {SYSTEM}
@@ -125,7 +125,7 @@ SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'Contexts related to src/f' || co
 def retrieval_questions(spark, sf):
     from repograph.operators.vectors import retrieval_question
     path = F.when(c("conv_id") % 2 == 0, F.concat(F.lit("src/f"), c("conv_id"), F.lit(".py")))
-    return chat.requests(messages(spark, sf)).where(~c("too_large")).select(
+    return chat.requests(messages(spark, sf), chat.MAX_QUESTION_TOKENS).where(~c("too_large")).select(
         "conv_id", retrieval_question(c("query"), F.coalesce(path, F.lit(""))).alias("text"))
 
 
@@ -169,8 +169,7 @@ LEFT JOIN contexts c ON c.question_id = s.conv_id"""
 
 
 def _digests(fragments):
-    whole, _ = chat.assemble_prompts(fragments)
-    return whole.select("conv_id", F.sha2("prompt", 256).alias("digest"))
+    return chat.assemble_prompts(fragments).select("conv_id", F.sha2("prompt", 256).alias("digest"))
 
 
 @query("prompts", PROMPTS.replace("@CONTEXT", """CASE WHEN context IS NULL
@@ -182,7 +181,8 @@ def prompts(spark, sf):
         "path": F.concat_ws("/", "repo", c("doc_id").cast("string"))})
     stored = embedding.embed(chunks).drop("embed_error", "batch")
     return _digests(questions.prompts(messages(spark, sf), _about(spark, sf), _templates(spark),
-                                      stored))
+                                      stored,
+                                      max_question_tokens=chat.MAX_QUESTION_TOKENS))
 
 
 @query("fallback_prompts", PROMPTS.replace("@CONTEXT", (

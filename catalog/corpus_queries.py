@@ -13,6 +13,7 @@ from repograph.operators import corpus, detect, findings as ops, graph, modules,
 c = F.col
 V = f"WITH files_v AS ({FILES})"
 # Suffix after the last dot, as DuckDB writes it.
+_LIMITS = {"max_code_tokens": corpus.MAX_CODE_TOKENS, "max_text_tokens": corpus.MAX_TEXT_TOKENS}
 EXT = "regexp_extract(path, '\\.[^./]+$')"
 
 
@@ -42,7 +43,7 @@ SELECT path, type, type IN ('py', 'ts', 'rs') AS is_code,
   path AS title, token_count FROM kept WHERE type NOT IN ('sh', 'png')
   AND token_count <= CASE WHEN type IN ('py', 'ts', 'rs') THEN 81920 ELSE 8192 END""")
 def corpus_documents(spark, sf):
-    return corpus.documents(views.files(spark, sf)).select(
+    return corpus.documents(views.files(spark, sf), **_LIMITS).select(
         "path", "type", "is_code", "is_implementation", "title", "token_count")
 
 
@@ -52,7 +53,8 @@ SELECT is_code, count(*) AS kept, sum(n)::BIGINT AS tokens FROM t
 WHERE n <= CASE WHEN is_code THEN 81920 ELSE 8192 END GROUP BY is_code""")
 def token_gate(spark, sf):
     # A counter of twenty tokens per four characters makes the limits bite.
-    kept = corpus.documents(views.files(spark, sf), lambda t: text.token_count(t) * 20)
+    kept = corpus.documents(views.files(spark, sf), lambda t: text.token_count(t) * 20,
+                            **_LIMITS)
     return kept.groupBy("is_code").agg(F.count(F.lit(1)).alias("kept"),
                                        F.sum("token_count").alias("tokens"))
 
@@ -276,7 +278,8 @@ summaries AS (SELECT coalesce(t.run_id, s.run_id) AS run_id, coalesce(t.module,
 @query("module_summaries", f"""WITH {LEVELLED}, {FILE_FINDINGS}, {MODULES}
 SELECT * FROM summaries""")
 def module_summaries(spark, sf):
-    out = modules.module_summaries(views.code_files(spark, sf), views.file_findings(spark, sf))
+    out = modules.module_summaries(
+        views.code_files(spark, sf), views.file_findings(spark, sf), 20, 5).drop("file_count")
     return out.withColumns({k: F.array_join(k, ";") for k in ("file_summaries",
                                                               "sample_findings")})
 

@@ -248,7 +248,7 @@ WHERE run_id = 'run-1' AND tool = 'bandit' AND level = 'warning' AND contains(fi
 ORDER BY seq LIMIT 50""")
 def findings_by_filters(spark, sf):
     return ops.query_findings(
-        views.flat_findings(spark, sf), "run-1", "warning", "bandit", "_test").select(
+        views.flat_findings(spark, sf), "run-1", "warning", "bandit", "_test", 50).select(
         "tool", F.col("result_idx").alias("seq"), "rule_id", "level", "file", "line", "message")
 
 

@@ -227,5 +227,6 @@ SELECT source AS repo, path, type, unnest(generate_series(0,
 def corpus_index(spark, sf):
     from repograph.plans.corpus_index import corpus_index as index
     files = spread(views.files(spark, sf)).withColumnRenamed("source", "repo")
-    return index(files, excluded_dirs=["fr"]).select(
+    limits = {"max_code_tokens": 81_920, "max_text_tokens": 8_192}
+    return index(files, limits=limits, excluded_dirs=["fr"]).select(
         "repo", "path", "type", "chunk_no", F.size("vector").alias("size"))

@@ -206,7 +206,9 @@ _FILE = f"struct<filename:string,function_list:array<{_FUNCTION}>>"
 # Column order of a report without header.
 _CSV_COLUMNS = ["nloc", "ccn", "token", "param", "length", "location", "file", "function",
                 "start", "end"]
-_CSV_WIDTH = 32
+# A record may hold quoted line breaks; a quote without an end reaches to the end of the report.
+_CSV_RECORD = r'(?:[^"\r\n]++|"[^"]*+(?:"|\z))++'
+_CSV_CELL = r',("[^"]*+(?:""[^"]*+)*+"?[^,]*+|[^,]*+)'
 
 
 def lizard(threshold: int = 10) -> Converter:
@@ -236,12 +238,15 @@ def lizard(threshold: int = 10) -> Converter:
                       F.col("file_no").cast("bigint") * F.lit(1 << 32) + F.col("no"))
 
     def csv_functions(df: DataFrame) -> DataFrame:
-        schema = ", ".join(f"c{i} string" for i in range(_CSV_WIDTH))
-        cells = lambda line: F.from_csv(line, schema)
-        as_array = lambda c: F.array(*[c[f"c{i}"] for i in range(_CSV_WIDTH)])
-        split = compute_once(df.where(~is_json()), "rows", text.lines(F.col("body")))
+        quoted = lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(
+            x, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+        # Every cell follows a comma, once one is put in front.
+        cells = lambda line: F.transform(F.regexp_extract_all(F.concat(
+            F.lit(","), line), F.lit(_CSV_CELL), F.lit(1)), lambda x: quoted(text.strip(x)))
+        split = compute_once(df.where(~is_json()), "rows", F.regexp_extract_all(
+            F.col("body"), F.lit(_CSV_RECORD), F.lit(0)))
         head = compute_once(split, "first", cells(F.get("rows", F.lit(0)))).withColumn(
-            "first", F.transform(as_array(F.col("first")), lambda x: F.lower(text.strip(x))))
+            "first", F.transform("first", lambda x: F.lower(text.strip(x))))
         titled = F.arrays_overlap(F.col("first"), F.array(*[F.lit(x) for x in (
             "ccn", "nloc", "cyclomatic_complexity")]))
         named = compute_once(head, "titled", F.coalesce(titled, F.lit(False))).withColumn(
@@ -251,7 +256,6 @@ def lizard(threshold: int = 10) -> Converter:
         rows = rows.where(~(F.col("titled") & (F.col("no") == 0))
                           & (F.regexp_replace("line", r"[,\s]", "") != ""))
         rows = compute_once(rows, "cells", cells(F.col("line")))
-        rows = compute_once(rows, "cells", as_array(F.col("cells")))
         # Position 0 means the column is missing; reading cell -1 gives null.
         at = lambda k: text.strip(F.get("cells", (F.array_position("header", F.lit(k)) - 1)
                                         .cast("int")))

@@ -9,7 +9,6 @@ from repograph.functions.text import nonempty, strip, token_count
 from repograph.functions.urls import short_name
 from repograph.operators.ordering import ordered_text
 from repograph.operators.skew import salted_join
-from repograph.stage import staged
 
 # Fixed value: questions above this many tokens are answered without retrieval.
 MAX_QUESTION_TOKENS = 8000
@@ -48,11 +47,12 @@ def dialog_turns(messages: DataFrame) -> DataFrame:
     return pairs.where((F.col("r0") == "user") & (F.col("r1") == "assistant")).drop("r0", "r1")
 
 
-def requests(messages: DataFrame) -> DataFrame:
+def requests(messages: DataFrame, max_question_tokens: int | None = None) -> DataFrame:
     """One row per conversation: what is asked, and how.
 
     `valid` says whether the last message is the user's. A research request that only says to
-    continue asks for its topic: the first user message without that word.
+    continue asks for its topic: the first user message without that word. `too_large` marks last
+    messages above `max_question_tokens`, for which nothing is retrieved; without it there are none.
     """
     text, role = F.col("text"), F.col("role")
     fresh_user = (role == "user") & ~F.lower(text).contains("continue")
@@ -71,7 +71,8 @@ def requests(messages: DataFrame) -> DataFrame:
         F.when(F.col("is_research"), F.col("assistant_turns")).otherwise(1).cast("bigint")
         .alias("iteration"),
         F.when(goes_on, F.coalesce(topic, asked)).otherwise(asked).alias("query"),
-        (token_count(F.col("last.text")) > MAX_QUESTION_TOKENS).alias("too_large"))
+        (F.lit(False) if max_question_tokens is None else
+         token_count(F.col("last.text")) > max_question_tokens).alias("too_large"))
 
 
 def prompt_stage() -> Column:
@@ -179,18 +180,13 @@ def prompt_fragments(asked: DataFrame, turns: DataFrame, contexts: DataFrame | N
         F.lit("<query>\n"), "query", F.lit("\n</query>\n\nAssistant: "))))
 
 
-def assemble_prompts(fragments: DataFrame, max_chars: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
-    """Whole prompts `(conv_id, prompt)`, and the fragments of prompts that are too long for a row.
+def assemble_prompts(fragments: DataFrame) -> DataFrame:
+    """Whole prompts `(conv_id, prompt)`, each as one row.
 
-    Lengths are summed first, so only fragments of bounded total size are gathered. The longer
-    prompts lose nothing: they stay fragments, to be written in order.
+    For prompts beyond what a row can hold (2 GB) write the fragments in order instead.
     """
-    fragments = staged(fragments)
-    sizes = fragments.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
-    short = sizes.where(F.col("chars") <= max_chars).select("conv_id")
-    whole = salted_join(fragments, short, ["conv_id"], ["part", "seq"], "left_semi").groupBy("conv_id").agg(
+    return fragments.groupBy("conv_id").agg(
         ordered_text(F.collect_list(F.struct("part", "seq", "text")), "").alias("prompt"))
-    return whole, salted_join(fragments, short, ["conv_id"], ["part", "seq"], "left_anti")
 
 
 def rendered_template(system_prompt: Column, output_format: Column, contexts: Column, query: Column,

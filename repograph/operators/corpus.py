@@ -49,7 +49,7 @@ BINARY_EXTENSIONS = [
     ".obj", ".pyc", ".pyo", ".class", ".jar", ".war", ".pdf", ".doc", ".docx", ".xls", ".xlsx",
     ".mp3", ".mp4", ".wav", ".avi", ".mov", ".sqlite", ".db", ".pkl",
 ]
-# Largest files that are still embedded, in tokens.
+# Usual limits, in tokens, of files that are still embedded.
 MAX_CODE_TOKENS = 81_920
 MAX_TEXT_TOKENS = 8_192
 
@@ -87,19 +87,34 @@ def select_files(files: DataFrame, included_dirs=None, included_files=None, excl
     return files.where(~excluded(path, excluded_dirs, excluded_files))
 
 
-def documents(files: DataFrame, count=token_count) -> DataFrame:
-    """Corpus files with metadata; files above the token limit of their kind are dropped.
-
-    `count` is a column function from text to tokens.
-    """
+def _told(files: DataFrame, count) -> DataFrame:
     path = F.col("path")
     known = files.where(paths.corpus_type(path).isNotNull() & F.col("content").isNotNull())
-    told = known.withColumns({
-        "type": F.substring(paths.corpus_type(path), 2, 20), "is_code": paths.is_code(path),
+    return known.withColumns({
+        "type": F.substr(paths.corpus_type(path), F.lit(2)), "is_code": paths.is_code(path),
         "is_implementation": paths.is_implementation(path), "title": path,
         "token_count": count(F.col("content"))})
-    limit = F.when(F.col("is_code"), MAX_CODE_TOKENS).otherwise(MAX_TEXT_TOKENS)
-    return told.where(F.col("token_count") <= limit)
+
+
+def _within(max_code_tokens: int | None, max_text_tokens: int | None) -> Column:
+    limit = F.when(F.col("is_code"), F.lit(max_code_tokens)).otherwise(F.lit(max_text_tokens))
+    return limit.isNull() | (F.col("token_count") <= limit)
+
+
+def documents(files: DataFrame, count=token_count, max_code_tokens: int | None = None,
+              max_text_tokens: int | None = None) -> DataFrame:
+    """Corpus files with metadata, of any size unless limits in tokens are given.
+
+    `count` is a column function from text to tokens. `oversized` returns what limits leave out.
+    """
+    return _told(files, count).where(_within(max_code_tokens, max_text_tokens))
+
+
+def oversized(files: DataFrame, count=token_count, max_code_tokens: int | None = None,
+              max_text_tokens: int | None = None) -> DataFrame:
+    """Files that `documents` leaves out under the same limits, with the reason."""
+    return (_told(files, count).where(~_within(max_code_tokens, max_text_tokens)).drop("content")
+            .withColumn("reason", F.lit("more tokens than the limit of its kind")))
 
 
 def scannable(files: DataFrame, extra_dirs: list[str] | None = None) -> DataFrame:

@@ -96,7 +96,7 @@ def project_findings(findings: DataFrame) -> DataFrame:
 
 
 def query_findings(flat: DataFrame, run_id: str | None = None, severity: str | None = None,
-                   tool: str | None = None, file: str | None = None, limit: int | None = 50,
+                   tool: str | None = None, file: str | None = None, limit: int | None = None,
                    order: list[str] = MERGED_ORDER) -> DataFrame:
     """Findings of a run by exact level, exact tool and part of the file name.
 

@@ -10,25 +10,22 @@ from repograph.model import MERGED_ORDER
 from repograph.operators.once import compute_once
 from repograph.operators.ordering import first_n
 
-_HEAD_CHARS = 4096
 _SCRIPT_SUFFIXES = (".js", ".ts", ".tsx", ".jsx")
 
 
 def python_doc(content: Column) -> Column:
     """First line of the docstring that opens a Python file; null when there is none."""
-    head = F.substring(content, 1, _HEAD_CHARS)
     double = r'(?s)\A"""(.*?)"""'
     single = r"(?s)\A'''(.*?)'''"
-    body = F.when(head.rlike(double), F.regexp_extract(head, double, 1)).when(
-        head.rlike(single), F.regexp_extract(head, single, 1))
+    body = F.when(content.rlike(double), F.regexp_extract(content, double, 1)).when(
+        content.rlike(single), F.regexp_extract(content, single, 1))
     return strip(F.substring_index(strip(body), "\n", 1))
 
 
 def script_comment(content: Column) -> Column:
     """First text line of the first block comment of a script; null when there is none."""
-    head = F.substring(content, 1, _HEAD_CHARS)
     block = r"(?s)/\*\*?\s*(.*?)(?:\*/|\n\s*\*\s*@)"
-    body = F.when(head.rlike(block), F.regexp_extract(head, block, 1))
+    body = F.when(content.rlike(block), F.regexp_extract(content, block, 1))
     rows = F.transform(F.split(strip(body), "\n"), lambda x: strip(
         F.regexp_replace(x, r"\A\s*\*\s?", "")))
     return F.get(F.filter(rows, lambda x: x != ""), F.lit(0))
@@ -40,11 +37,12 @@ def file_purpose(path: Column, content: Column) -> Column:
         paths.ends_with_any(path, _SCRIPT_SUFFIXES), script_comment(content)))
 
 
-def module_summaries(files: DataFrame, findings: DataFrame, max_files: int = 20,
-                     max_samples: int = 5) -> DataFrame:
-    """Per directory: its own docstring, file purposes, number of findings and first messages.
+def module_summaries(files: DataFrame, findings: DataFrame, max_files: int,
+                     max_samples: int) -> DataFrame:
+    """Per directory: its own docstring, first file purposes, first messages, and how many of each.
 
-    Only the entries that are shown get collected; counts are plain aggregates. Directories
+    Only the `max_files` and `max_samples` entries that are shown get collected; the counts,
+    file_count and finding_count, are of all. Directories
     without any of these are left out, and so are findings outside the tree.
     """
     told = files.select("run_id", "path", paths.directory(F.col("path")).alias("module"),
@@ -55,6 +53,7 @@ def module_summaries(files: DataFrame, findings: DataFrame, max_files: int = 20,
         "run_id", "module").agg(F.transform(F.array_sort(F.collect_list(F.struct(
             "name", F.concat_ws(": ", "name", "purpose").alias("text")))),
             lambda x: x["text"]).alias("file_summaries"))
+    said = told.groupBy("run_id", "module").agg(F.count(F.lit(1)).alias("file_count"))
     docs = told.where(F.col("name") == "__init__.py").select(
         "run_id", "module", F.col("purpose").alias("module_doc"))
 
@@ -70,11 +69,12 @@ def module_summaries(files: DataFrame, findings: DataFrame, max_files: int = 20,
 
     keys = ["run_id", "module"]
     out = (_directories(files).join(docs, keys, "left").join(shown, keys, "left")
-           .join(counts, keys, "left").join(samples, keys, "left"))
+           .join(said, keys, "left").join(counts, keys, "left").join(samples, keys, "left"))
     none = F.array().cast("array<string>")
     return out.where(F.col("file_summaries").isNotNull() | F.col("finding_count").isNotNull()).select(
         *keys, F.coalesce("module_doc", F.lit("")).alias("module_doc"),
         F.coalesce("file_summaries", none).alias("file_summaries"),
+        F.coalesce("file_count", F.lit(0)).cast("bigint").alias("file_count"),
         F.coalesce("finding_count", F.lit(0)).cast("bigint").alias("finding_count"),
         F.coalesce("sample_findings", none).alias("sample_findings"))
 

@@ -9,7 +9,6 @@ from repograph.operators.ordering import first_n
 
 _HEADER, _ARCHITECTURE, _MODULES, _KEY_FINDINGS = range(4)
 REPORT_ORDER = ["section", "part", "position"]
-_LISTED = 20
 
 
 def _fragment(df: DataFrame, section: int, text: Column, part: Column | None = None,
@@ -24,12 +23,12 @@ def _count(label: str, c) -> Column:
     return F.concat(F.lit(f"- **{label}**: "), F.col(c).cast("string"), F.lit("\n"))
 
 
-def _more(count: Column) -> Column:
-    return F.concat(F.lit("- ... and "), (count - _LISTED).cast("string"), F.lit(" more\n"))
+def _more(count: Column, listed: int) -> Column:
+    return F.concat(F.lit("- ... and "), (count - listed).cast("string"), F.lit(" more\n"))
 
 
 def analysis_report(targets: DataFrame, metrics: DataFrame, nodes: DataFrame, edges: DataFrame,
-                    modules: DataFrame, flat: DataFrame) -> DataFrame:
+                    modules: DataFrame, flat: DataFrame, listed: int = 20) -> DataFrame:
     """Fragments of each run's report; sorted in REPORT_ORDER they read as one document.
 
     Lists show their first entries and a count, as counted by separate aggregates.
@@ -47,7 +46,7 @@ def analysis_report(targets: DataFrame, metrics: DataFrame, nodes: DataFrame, ed
     parts.append(_fragment(sizes, _ARCHITECTURE, F.concat(
         F.lit("## Architecture\n"), _count("Files analyzed", "files"),
         _count("Dependency edges", "edges"))))
-    parts += _listing(nodes, _ARCHITECTURE, "type", ["place"],
+    parts += _listing(listed, nodes, _ARCHITECTURE, "type", ["place"],
                       F.concat(F.lit("- `"), F.col("id"), F.lit("`\n")),
                       F.concat(F.lit("\n### "), F.initcap("type"), F.lit(" files (")))
 
@@ -68,7 +67,7 @@ def analysis_report(targets: DataFrame, metrics: DataFrame, nodes: DataFrame, ed
     serious = flat.where(F.col("level").isin("error", "warning"))
     line = F.concat(F.lit("- **"), F.col("rule_id"), F.lit("** in `"), F.col("file"), F.lit(":"),
                     F.col("line").cast("string"), F.lit("` -- "), F.col("message"), F.lit("\n"))
-    parts += _listing(serious, _KEY_FINDINGS, "level", ops.MERGED_ORDER, line, F.concat(
+    parts += _listing(listed, serious, _KEY_FINDINGS, "level", ops.MERGED_ORDER, line, F.concat(
         F.lit("\n### "), F.when(F.col("level") == "error", "Errors").otherwise("Warnings"),
         F.lit(" (")))
     out = parts[0]
@@ -77,14 +76,14 @@ def analysis_report(targets: DataFrame, metrics: DataFrame, nodes: DataFrame, ed
     return out
 
 
-def _listing(df: DataFrame, section: int, group: str, order: list[str], line: Column,
+def _listing(listed: int, df: DataFrame, section: int, group: str, order: list[str], line: Column,
              title: Column) -> list[DataFrame]:
     """A title with the count of each group, its first entries, and the number left out."""
     counts = df.groupBy("run_id", group).agg(F.count(F.lit(1)).alias("n"))
-    top = first_n(df, ["run_id", group], order, _LISTED, "position")
+    top = first_n(df, ["run_id", group], order, listed, "position")
     return [
         _fragment(counts, section, F.concat(title, F.col("n").cast("string"), F.lit(")\n")),
                   F.col(group)),
         _fragment(top, section, line, F.col(group), F.col("position")),
-        _fragment(counts.where(F.col("n") > _LISTED), section, _more(F.col("n")), F.col(group),
-                  F.lit(_LISTED + 1))]
+        _fragment(counts.where(F.col("n") > listed), section, _more(F.col("n"), listed), F.col(group),
+                  F.lit(listed + 1))]

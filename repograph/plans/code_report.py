@@ -14,9 +14,12 @@ def topology(findings: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def code_report(findings: DataFrame, runs: DataFrame, files: DataFrame,
-                targets: DataFrame) -> DataFrame:
+                targets: DataFrame, listed: int = 20, files_shown: int = 20,
+                samples_shown: int = 5) -> DataFrame:
     """Report fragments of every run that has findings.
 
+    `listed`, `files_shown` and `samples_shown` are how many entries the report lists.
+
     `files(run_id, path, content)` are the analysed trees, `targets(run_id, target)` their names.
     """
     worth = ops.runs_with_findings(runs, findings)
@@ -24,4 +27,5 @@ def code_report(findings: DataFrame, runs: DataFrame, files: DataFrame,
     reported = runs.join(worth, "run_id", "left_semi")
     return report.analysis_report(
         targets, ops.run_metrics(findings, reported), nodes, edges,
-        modules.module_summaries(files, findings), ops.project_findings(findings))
+        modules.module_summaries(files, findings, files_shown, samples_shown),
+        ops.project_findings(findings), listed)

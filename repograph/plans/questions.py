@@ -9,13 +9,14 @@ from repograph.operators.embedding import Embedder, embed
 from repograph.operators.vectors import retrieval_question, retrieve
 
 
-def asked_requests(messages: DataFrame, about: DataFrame, templates: DataFrame) -> DataFrame:
+def asked_requests(messages: DataFrame, about: DataFrame, templates: DataFrame,
+                   max_question_tokens: int | None = None) -> DataFrame:
     """Valid requests with their instructions.
 
     `about(conv_id, repo, repo_url, repo_type, language [, file_path, file_content])` says what
     each conversation is about.
     """
-    valid = chat.requests(messages).where("valid")
+    valid = chat.requests(messages, max_question_tokens).where("valid")
     return chat.system_prompts(valid.join(about, "conv_id"), templates)
 
 
@@ -31,8 +32,9 @@ def contexts(asked: DataFrame, chunks: DataFrame, embedder: Embedder | None = No
 
 
 def prompts(messages: DataFrame, about: DataFrame, templates: DataFrame, chunks: DataFrame | None,
-            embedder: Embedder | None = None) -> DataFrame:
+            embedder: Embedder | None = None,
+            max_question_tokens: int | None = None) -> DataFrame:
     """Prompt fragments of all valid conversations; without chunks, the fallback prompts."""
-    asked = asked_requests(messages, about, templates)
+    asked = asked_requests(messages, about, templates, max_question_tokens)
     found = contexts(asked, chunks, embedder) if chunks is not None else None
     return chat.prompt_fragments(asked, chat.dialog_turns(messages), found)

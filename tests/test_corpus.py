@@ -151,7 +151,20 @@ def test_module_doc_and_empty_directories(spark):
         finding(0, uri="p/sub/gone.py", text="m0"), finding(1, uri="other/x.py"), finding(2, uri="top.py")],
         FINDING_SCHEMA)
     got = {r.module: (r.module_doc, r.file_summaries, r.finding_count, r.sample_findings)
-           for r in modules.module_summaries(files, findings).collect()}
+           for r in modules.module_summaries(files, findings, 20, 5).collect()}
     assert got == {
         "p": ("Pkg.", ["__init__.py: Pkg."], 0, []), "p/sub": ("", [], 1, ["m0"]),
         "p/sub/deep": ("", ["x.js: X"], 0, []), "(root)": ("", [], 1, ["m"])}
+
+
+def test_docs_of_any_length_and_what_limits_leave_out(spark):
+    long = "x" * 10_000
+    rows = [("a.py", f'"""Title.\n{long}"""\n'), ("b.py", f"'''{long}'''"), ("c.js", f"/* T\n{long} */")]
+    df = spark.createDataFrame(rows, "path string, content string")
+    got = [r[0] for r in df.select(modules.file_purpose(F.col("path"), F.col("content"))).collect()]
+    assert got == ["Title.", long, "T"]
+    files = df.withColumn("repo", F.lit("r"))
+    assert corpus.documents(files).count() == 3
+    assert corpus.documents(files, max_code_tokens=2501).count() == 1
+    left = corpus.oversized(files, max_code_tokens=2501).collect()
+    assert sorted(r.path for r in left) == ["a.py", "c.js"] and left[0].reason

@@ -247,3 +247,12 @@ def test_extra_converter(spark):
     mine = replace(CONVERTERS["lacheck"], tool="mytool")
     out = run(spark, [("mytool", '"m", line 1: x')], extra={"mytool": mine})
     assert out.findings.select(F.col("message")).collect()[0].message == "x"
+
+
+def test_lizard_csv_of_any_width_and_with_quoted_breaks(spark):
+    header = ",".join([f"x{k}" for k in range(40)] + ["ccn", "file", "function", "start"])
+    rows = [",".join(["1"] * 40 + ["20", '"a,\n""b"".py"', "f", "3"]),
+            ",".join([""] * 40 + ["30", "c.py", '"g\n\nh"', "4"])]
+    got = findings(spark, "lizard", "\n".join([header, *rows]))
+    assert [r[2].split(" (")[0] for r in got] == [
+        "Function 'f' has cyclomatic complexity 20", "Function 'g\n\nh' has cyclomatic complexity 30"]

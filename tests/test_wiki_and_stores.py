@@ -119,12 +119,12 @@ def test_contents_are_left_alone(spark):
         assert one(spark, kept, wiki_text.with_contents) == kept
 
 
-def test_long_prompts_stay_fragments(spark):
-    df = spark.createDataFrame([("a", 0, 0, "xx"), ("a", 2, 1, "z"), ("a", 2, 0, "y"), ("b", 0, 0, "w" * 9)],
+def test_prompts_of_any_length(spark):
+    df = spark.createDataFrame([("a", 0, 0, "xx"), ("a", 2, 1, "z"), ("a", 2, 0, "y"),
+                                ("b", 0, 0, "w" * 5_000_000)],
                                "conv_id string, part int, seq bigint, text string")
-    whole, rest = chat.assemble_prompts(df, max_chars=5)
-    assert [tuple(r) for r in whole.collect()] == [("a", "xxyz")]
-    assert [r.conv_id for r in rest.collect()] == ["b"]
+    whole = {r.conv_id: r.prompt for r in chat.assemble_prompts(df).collect()}
+    assert whole == {"a": "xxyz", "b": "w" * 5_000_000}
 
 
 def test_prompt_with_file_and_template_braces(spark):
@@ -135,7 +135,7 @@ def test_prompt_with_file_and_template_braces(spark):
     table = chat.template_table(spark, {"middle": "{repo_name} {language_name} {{x}} {research_iteration}"})
     ready = chat.system_prompts(asked, table)
     none = spark.createDataFrame([], "conv_id int, turn_no bigint, user_text string, assistant_text string")
-    whole, _ = chat.assemble_prompts(chat.prompt_fragments(ready, none))
+    whole = chat.assemble_prompts(chat.prompt_fragments(ready, none))
     assert whole.first().prompt == (
         "/no_think r Japanese (日本語) {x} 2\n\n<currentFileContent path=\"a.py\">\ncode\n"
         "</currentFileContent>\n\n<note>Answering without retrieval augmentation due to input size "
