@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-_KEPT = 1_500_000          # words kept between batches; beyond it the memory starts anew
+_KEPT = 600_000            # words kept between batches; beyond it the memory starts anew
 _TOGETHER = 500            # plain parts that go through the model as one text
 _WORD_END = "</w>"
 _shared: dict[str, WordTokenizer] = {}
@@ -72,8 +72,8 @@ class WordTokenizer:
         self.parts.update(zip(parts, range(n, n + len(parts))))
 
     def _learn_parts(self, plain: list[str], other: list[str]) -> None:
-        for at in range(0, len(plain), 100_000):
-            some = plain[at:at + 100_000]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at:at + 20_000]
             texts = [" ".join(some[k:k + _TOGETHER]) for k in range(0, len(some), _TOGETHER)]
             # A space stays a space, so that the words stay apart.
             table = {**self.letters, 32: " "}
@@ -119,7 +119,7 @@ class WordTokenizer:
         self.word_parts[n:n + len(words), 1] = np.fromiter(map(at, tails), np.int32, len(words))
         self.words.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, texts: pa.Array, limit: int = 8 << 20
+    def encode(self, texts: pa.Array, limit: int = 3 << 20
                ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, ids of the rows in a run, and where each row's ids begin and end."""
         texts = pc.fill_null(texts, "")
