@@ -6,7 +6,7 @@ to five; for others alpha(h) * P(w), where alpha(h) spreads what the discounts l
 probabilities of all words sum to one. P(w) is discounted the same way, and what that leaves is the
 probability of an unknown word.
 
-Words and pairs are known by 64-bit hashes. The documents of a task form blocks of about 1.5
+Words and pairs are known by 64-bit hashes. The documents of a task form blocks of about one
 million tokens; a block asks each shard of the count tables about its distinct words, then about
 its distinct pairs, in sorted arrays. A shard adds up the training counts of all blocks and answers
 each. So a word or pair costs one entry per block however often it stands there, and the busiest
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.llm import words
 from repograph.stage import stage_folder, staged
 
-_BLOCK_TOKENS = 1_500_000
+_BLOCK_TOKENS = 1_000_000
 _CUT = 5                     # counts beyond it are not discounted
 _U = np.uint64
 _END = words.mix(np.array([0x456E64], _U))[0]
@@ -251,10 +251,15 @@ def _ask_pairs(bits: int, share: float):
     return run
 
 
-_TOLD_PAIRS = ("block bigint, shard int, counts binary, low binary, mass binary, "
+_TOLD_PAIRS = ("block bigint, shard int, counts binary, low binary, mass binary, bare binary, "
                "facts array<bigint>, context bigint, sums array<double>")
 
 
+def _unseen(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Contexts of a question with a pair that training lacks: only these need alpha."""
+    return np.logical_or.reduceat(counts == 0, np.cumsum(sizes) - sizes)
+
+
 def _tell_pairs(single: Unigrams):
     """Training counts of every pair that a block asked for, and per context what alpha needs."""
     def run(batches):
@@ -275,14 +280,18 @@ def _tell_pairs(single: Unigrams):
                             for r in range(1, _CUT + 1)], axis=1)
             sizes = np.cumsum([0, *map(len, keys)])
             ends = np.cumsum([0, *map(len, contexts)])
-            out = [(r["block"], r["shard"], _pack(total[place[a:b]]), _pack(low[of[c:d]].ravel()),
-                    mass[of[c:d]].tobytes(), None, None, None)
-                   for r, a, b, c, d in zip(rows, sizes, sizes[1:], ends, ends[1:])]
+            bare = (low.sum(1) == 0).astype(np.uint8)
+            out = []
+            for r, a, b, c, d in zip(rows, sizes, sizes[1:], ends, ends[1:]):
+                counts, mine = total[place[a:b]], of[c:d]
+                some = mine[_unseen(counts, _unpack(r["sizes"]))]
+                out.append((r["block"], r["shard"], _pack(counts), _pack(low[some].ravel()),
+                            mass[some].tobytes(), bare[mine].tobytes(), None, None, None))
             facts = [int(total.sum()), int(known.sum()), *_of_counts(total)]
-            out.append((None, rows[0]["shard"], None, None, None, facts, None, None))
+            out.append((None, rows[0]["shard"], None, None, None, None, facts, None, None))
             wide = np.zeros(len(every), bool)
             wide[of] = np.concatenate([np.frombuffer(r["spread"], np.uint8) for r in rows]) > 0
-            out += [(None, rows[0]["shard"], None, None, None, None, int(every[k].view(np.int64)),
+            out += [(None, rows[0]["shard"], None, None, None, None, None, int(every[k].view(np.int64)),
                      [*map(float, low[k]), float(mass[k])]) for k in np.flatnonzero(wide)]
             yield _batch(_TOLD_PAIRS, out)
     return run
@@ -305,17 +314,22 @@ def _score(bits: int, share: float, total: int, kinds: int, texts: int, single:
                 c[order] = np.concatenate([_unpack(t["counts"]) for t in told])
                 # Contexts stand in the order of the question, the spread ones several times.
                 low, mass = np.zeros((len(heads), _CUT)), np.zeros(len(heads))
+                bare = np.zeros(len(heads), bool)
                 for (_, a, b), t in zip(_cuts(shard[order]), told):
                     k = context[order[a:b]]
-                    k = k[np.append(True, k[1:] != k[:-1])]
-                    low[k] = _unpack(t["low"]).reshape(-1, _CUT)
-                    mass[k] = np.frombuffer(t["mass"])
+                    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                    some = _unseen(c[order[a:b]], np.diff(np.append(first, len(k))))
+                    k = k[first]
+                    bare[k] = np.frombuffer(t["bare"], np.uint8)
+                    low[k[some]] = _unpack(t["low"]).reshape(-1, _CUT)
+                    mass[k[some]] = np.frombuffer(t["mass"])
                 for k in np.unique(context[spread]).tolist():
                     sums = wide[int(heads[k].view(np.int64))]
                     low[k], mass[k] = sums[:_CUT], sums[_CUT]
+                    bare[k] = low[k].sum() == 0
                 history = np.append(counts, texts)
                 taken = low @ ((1 - pair_d[1:]) * np.arange(1, _CUT + 1))
-                bare = low.sum(1) == 0              # no low counts: one more token is set aside
+                # Without low counts one more token is set aside.
                 room = np.where(bare, 1, taken) / np.maximum(history + bare, 1)
                 alpha = np.where(history > 0, room / np.maximum(1 - mass, 1e-300), 1.0)
                 p1 = single.probability(counts)[word]
@@ -376,6 +390,6 @@ def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     wide = {r["context"]: r["sums"] for r in pairs.filter("context IS NOT NULL").groupBy("context")
             .agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(_CUT + 1)]).alias("sums"))
             .collect()}
-    scored = counted.join(answered(pairs, ["counts", "low", "mass"], "pairs"), "block").mapInArrow(
+    scored = counted.join(answered(pairs, ["counts", "low", "mass", "bare"], "pairs"), "block").mapInArrow(
         _score(bits, share, total, kinds, texts, single, pair_d, wide), _SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
