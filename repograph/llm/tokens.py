@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-_KEPT = 600_000            # words kept between batches; beyond it the memory starts anew
+_KEPT = 300_000            # words kept between batches; beyond it the memory starts anew
 _TOGETHER = 500            # plain parts that go through the model as one text
 _WORD_END = "</w>"
 _shared: dict[str, WordTokenizer] = {}

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = b" \t\n\v\f\r"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
