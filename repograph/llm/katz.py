@@ -70,14 +70,19 @@ class Unigrams:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest one needs, after a byte that says how many."""
+    """Counts compressed: the width and number of the values, then their first bytes, second, ..."""
     top = int(x.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return (bytes([width]) + len(x).to_bytes(8, "little")
+            + pa.compress(planes, codec="zstd", asbytes=True))
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    planes = pa.decompress(b[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    rows = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T)
+    return rows.view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
