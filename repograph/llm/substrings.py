@@ -142,8 +142,24 @@ _ORIGINAL = ("shard int, doc_id bigint, text_hash bigint, hashes binary, starts
              "phrases array<bigint>")
 
 
+def _cut(own: np.ndarray, at: np.ndarray, size: int, phrase: int):
+    """The words around the phrases at `at`, no word (0) between stretches, and the phrases' places."""
+    side = size - phrase
+    begins, ends = np.maximum(at - side, 0), np.minimum(at + size, len(own))
+    opens = np.append(True, begins[1:] > ends[:-1])[:len(at)]
+    new = np.flatnonzero(opens)
+    if not len(new):
+        return own[:0], at
+    begins, ends = begins[new], ends[np.append(new[1:], len(at)) - 1]
+    gap = np.zeros(side, np.uint64)
+    places = np.cumsum(ends - begins + side) - (ends - begins + side)
+    moved = at + (places - begins)[np.cumsum(opens) - 1]
+    return np.concatenate([x for p, q in zip(begins.tolist(), ends.tolist())
+                           for x in (own[p:q], gap)]), moved
+
+
 def _originals(size: int, phrase: int):
-    """First documents: their words and the places of the anchors of their confirmed windows."""
+    """First documents: the words around the anchors of their confirmed windows, and their places."""
     def run(batches):
         for batch in batches:
             confirmed = _flat(batch.column("windows"))
@@ -157,8 +173,8 @@ def _originals(size: int, phrase: int):
                     found, least, _, _ = _windows(own, bounds, size, phrase)
                     wanted = np.unique(least[_among(found, confirmed)])
                     keys, starts, _ = _anchors(own, bounds, size, phrase)
-                    at = starts[_among(keys, wanted)]
-                    out.append((own.tobytes(), at.astype(np.int64).tobytes(),
+                    stretches, at = _cut(own, starts[_among(keys, wanted)], size, phrase)
+                    out.append((stretches.tobytes(), at.astype(np.int64).tobytes(),
                                 wanted.view(np.int64)))
                 own, at, wanted = zip(*out)
                 yield pa.RecordBatch.from_arrays(
