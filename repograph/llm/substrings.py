@@ -31,7 +31,7 @@ from repograph.llm import words
 from repograph.llm.hot import join_counted
 from repograph.stage import staged
 
-_SHARD_WINDOWS = 1_000_000
+_SHARD_WINDOWS = 500_000
 _COPY_READERS = 2_000
 _GAP = 1                     # stands for no word
 _FIRST_LETTER, _LETTERS = 0x10000, 0x100000     # beyond the surrogates
