@@ -10,8 +10,9 @@ word in seventeen starts an anchor.
 2. The first documents are dealt over shards. A shard compiles one automaton (pyahocorasick) over
    the anchors of its confirmed windows; each word is one letter of its alphabet.
 3. Documents that hold such an anchor stream through the shard's automaton, which locates every
-   occurrence. Where the words around an occurrence equal those around the phrase in the first
-   document for a whole window, they are covered.
+   occurrence. The windows that hold an occurrence are looked up among the shard's confirmed
+   windows, each kept once with its first document; those of an earlier document are covered. A
+   phrase costs one look-up per window, however many first documents hold it.
 
 A document streams only through shards that hold phrases of its own, and shards hold a bounded
 number of phrases, so the work grows with the input. The readers of a busy shard are dealt over
@@ -34,6 +35,7 @@ from repograph.stage import staged
 _SHARD_WINDOWS = 500_000
 _COPY_READERS = 2_000
 _GAP = 1                     # stands for no word
+_SECOND = np.uint64(0x8CB92BA72F3D8DD7)     # makes the second hash of a window
 _FIRST_LETTER, _LETTERS = 0x10000, 0x100000     # beyond the surrogates
 
 
@@ -139,27 +141,37 @@ def _confirming(size: int, phrase: int):
 
 
 _ORIGINAL = ("shard int, doc_id bigint, text_hash bigint, hashes binary, starts binary, "
-             "phrases array<bigint>")
+             "windows binary, phrases array<bigint>")
 
 
-def _cut(own: np.ndarray, at: np.ndarray, size: int, phrase: int):
-    """The words around the phrases at `at`, no word (0) between stretches, and the phrases' places."""
+def _cut(own: np.ndarray, at: np.ndarray, windows: np.ndarray, size: int, phrase: int):
+    """The words around the phrases at `at`, no word (0) between stretches.
+
+    Then the places there of the phrases, and of the windows as runs (first window, how many).
+    """
     side = size - phrase
     begins, ends = np.maximum(at - side, 0), np.minimum(at + size, len(own))
     opens = np.append(True, begins[1:] > ends[:-1])[:len(at)]
     new = np.flatnonzero(opens)
     if not len(new):
-        return own[:0], at
+        return own[:0], at, np.zeros((0, 2), np.int64)
     begins, ends = begins[new], ends[np.append(new[1:], len(at)) - 1]
     gap = np.zeros(side, np.uint64)
     places = np.cumsum(ends - begins + side) - (ends - begins + side)
     moved = at + (places - begins)[np.cumsum(opens) - 1]
+    # Every window lies in the stretch around its least phrase.
+    windows = windows + (places - begins)[np.searchsorted(begins, windows, "right") - 1]
+    runs = np.flatnonzero(np.append(True, np.diff(windows) != 1)[:len(windows)])
+    lengths = np.diff(np.append(runs, len(windows)))
     return np.concatenate([x for p, q in zip(begins.tolist(), ends.tolist())
-                           for x in (own[p:q], gap)]), moved
+                           for x in (own[p:q], gap)]), moved, np.stack([windows[runs], lengths], 1)
 
 
 def _originals(size: int, phrase: int):
-    """First documents: the words around the anchors of their confirmed windows, and their places."""
+    """First documents: the words around the anchors of their confirmed windows.
+
+    starts: the anchors' places there; windows: runs of confirmed windows.
+    """
     def run(batches):
         for batch in batches:
             confirmed = _flat(batch.column("windows"))
@@ -170,30 +182,34 @@ def _originals(size: int, phrase: int):
                 for r in range(part.rows):
                     own = hashes[part.word_offsets[r]:part.word_offsets[r + 1]]
                     bounds = np.array([0, len(own)])
-                    found, least, _, _ = _windows(own, bounds, size, phrase)
-                    wanted = np.unique(least[_among(found, confirmed)])
+                    found, least, begins, _ = _windows(own, bounds, size, phrase)
+                    ok = _among(found, confirmed)
+                    wanted = np.unique(least[ok])
                     keys, starts, _ = _anchors(own, bounds, size, phrase)
-                    stretches, at = _cut(own, starts[_among(keys, wanted)], size, phrase)
+                    stretches, at, runs = _cut(own, starts[_among(keys, wanted)], begins[ok], size,
+                                               phrase)
                     out.append((stretches.tobytes(), at.astype(np.int64).tobytes(),
-                                wanted.view(np.int64)))
-                own, at, wanted = zip(*out)
+                                runs.astype(np.int64).tobytes(), wanted.view(np.int64)))
+                own, at, runs, wanted = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("shard")[to], batch.column("doc_id")[to],
                      batch.column("text_hash")[to], pa.array(own, pa.binary()),
-                     pa.array(at, pa.binary()), pa.array(wanted, pa.list_(pa.int64()))],
-                    names=["shard", "doc_id", "text_hash", "hashes", "starts", "phrases"])
+                     pa.array(at, pa.binary()), pa.array(runs, pa.binary()),
+                     pa.array(wanted, pa.list_(pa.int64()))],
+                    names=["shard", "doc_id", "text_hash", "hashes", "starts", "windows",
+                           "phrases"])
     return run
 
 
 _STREAM = ("shard int, copy int, kind int, doc_id bigint, text_hash bigint, hashes binary, "
-           "starts binary")
+           "starts binary, windows binary")
 
 
 def _readers(copies: dict[int, int], size: int, phrase: int):
     """One row per document and shard: the stretches around the anchors that the shard has.
 
     hashes: the words of the stretches, with a gap between them; starts: where each stretch begins
-    in the document, and its length.
+    in the document, and its length; windows: null.
     """
     side = size - phrase
     gap = np.full(side, _GAP, np.uint64)
@@ -224,12 +240,14 @@ def _readers(copies: dict[int, int], size: int, phrase: int):
                         out.append((
                             s, (text_hash[at] ^ ids[at]) % copies.get(s, 1), 1, ids[at],
                             text_hash[at], np.concatenate(parts).tobytes(),
-                            np.array([(p - a, q - p) for p, q in spans], np.int64).tobytes()))
+                            np.array([(p - a, q - p) for p, q in spans], np.int64).tobytes(),
+                            None))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, [
+                    [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, [
                         pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(),
-                        pa.binary(), pa.binary()])],
-                    names=["shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts"])
+                        pa.binary(), pa.binary(), pa.binary()])],
+                    names=["shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts",
+                           "windows"])
     return run
 
 
@@ -240,71 +258,55 @@ def _letters(hashes: np.ndarray) -> str:
 
 
 class _Shard:
-    """The recurring phrases of some first documents, each with the words around it."""
+    """The recurring phrases of some first documents, and their confirmed windows."""
 
     def __init__(self, size: int, phrase: int):
         self.size, self.phrase, self.side = size, phrase, size - phrase
-        self.found: dict[str, list[int]] = {}
-        self.seen: set[tuple[int, bytes]] = set()
-        self.around: list[np.ndarray] = []
-        self.docs: list[int] = []
+        self.phrases: set[str] = set()
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.automaton = None
 
-    def _padded(self, hashes: np.ndarray, fill: int) -> np.ndarray:
-        out = np.full(len(hashes) + 2 * self.side, fill, np.uint64)
-        out[self.side:self.side + len(hashes)] = hashes
-        return out
-
-    def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray) -> None:
-        letters, padded = _letters(hashes), self._padded(hashes, 0)
-        for s in starts.tolist():
-            context = padded[s:s + self.phrase + 2 * self.side]
-            # The same phrase between the same words need not be compared twice.
-            mark = (doc, hashlib.blake2b(context.tobytes(), digest_size=16).digest())
-            if mark in self.seen:
-                continue
-            self.seen.add(mark)
-            self.found.setdefault(letters[s:s + self.phrase], []).append(len(self.docs))
-            self.around.append(context)
-            self.docs.append(doc)
+    def _hashes(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return words.stretch_hashes(words.prefix_sums(hashes), at, at + self.size)
+
+    def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> None:
+        letters = _letters(hashes)
+        self.phrases.update(letters[s:s + self.phrase] for s in starts.tolist())
+        first, n = runs.T
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        self.parts.append((self._hashes(hashes, at), self._hashes(words.mix(hashes ^ _SECOND), at),
+                           np.full(len(at), doc)))
 
     def compiled(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        lists = []
-        for key, at in self.found.items():
-            self.automaton.add_word(key, len(lists))
-            lists.append(np.array(at))
-        self.counts = np.array([len(x) for x in lists])
-        self.begins = np.cumsum(self.counts) - self.counts
-        self.members = np.concatenate(lists)
-        self.contexts, self.owners = np.stack(self.around), np.array(self.docs)
+        for key in self.phrases:
+            self.automaton.add_word(key, True)
         self.automaton.make_automaton()
-        self.found, self.seen, self.around = {}, set(), []
+        window, second, owner = (np.concatenate(x) for x in zip(*self.parts))
+        self.phrases, self.parts = set(), []
+        order = np.lexsort((owner, window))
+        once = order[np.append(True, np.diff(window[order]) != 0)[:len(order)]]
+        self.window, self.second, self.owner = window[once], second[once], owner[once]
 
     def covered(self, doc: int, hashes: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of the document that windows of earlier documents cover."""
-        hits = np.fromiter((x for hit in self.automaton.iter(_letters(hashes)) for x in hit),
-                           np.int64).reshape(-1, 2)
-        if not len(hits):
+        last = np.fromiter((end for end, _ in self.automaton.iter(_letters(hashes))), np.int64)
+        n = len(hashes) - self.size + 1
+        if not len(last) or n < 1 or not len(self.window):
             return []
-        n = self.counts[hits[:, 1]]
-        starts = np.repeat(hits[:, 0] - self.phrase + 1, n)
-        member = self.members[np.arange(n.sum()) + np.repeat(
-            self.begins[hits[:, 1]] - (np.cumsum(n) - n), n)]
-        earlier = self.owners[member] < doc
-        starts, member = starts[earlier], member[earlier]
-        padded = self._padded(hashes, _GAP)
+        phrases = last - self.phrase + 1
+        holding = np.zeros(n + 1, np.int64)
+        np.add.at(holding, np.minimum(np.maximum(phrases - self.side, 0), n), 1)
+        np.add.at(holding, np.minimum(phrases + 1, n), -1)
+        at = np.flatnonzero(np.cumsum(holding)[:n] > 0)
+        found = self._hashes(hashes, at)
+        place = np.minimum(np.searchsorted(self.window, found), len(self.window) - 1)
+        ok = (self.window[place] == found) & (self.owner[place] < doc)
+        at, place = at[ok], place[ok]
+        at = at[self._hashes(words.mix(hashes ^ _SECOND), at) == self.second[place]]
         cover = np.zeros(len(hashes) + 1, np.int64)
-        offsets = np.arange(self.phrase + 2 * self.side)
-        for a in range(0, len(starts), 4096):
-            s = starts[a:a + 4096]
-            same = padded[s[:, None] + offsets] == self.contexts[member[a:a + 4096]]
-            middle = same[:, self.side:self.side + self.phrase].all(1)
-            left = np.cumprod(same[:, :self.side][:, ::-1], axis=1).sum(1)
-            right = np.cumprod(same[:, self.side + self.phrase:], axis=1).sum(1)
-            ok = middle & (left + right + self.phrase >= self.size)
-            np.add.at(cover, s[ok] - left[ok], 1)
-            np.add.at(cover, s[ok] + self.phrase + right[ok], -1)
+        cover[at] += 1
+        cover[at + self.size] -= 1
         inside = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
@@ -316,16 +318,17 @@ def _located(size: int, phrase: int):
         for batch in batches:
             out = []
             cols = [batch.column(n).to_pylist() for n in
-                    ("shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts")]
-            for s, c, kind, doc, text_hash, hashes, starts in zip(*cols):
+                    ("shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts", "windows")]
+            for s, c, kind, doc, text_hash, hashes, starts, runs in zip(*cols):
                 if (s, c) != current:
                     current, shard = (s, c), _Shard(size, phrase)
                 own = np.frombuffer(hashes, np.uint64)
                 if kind == 0:
-                    shard.add(doc, own, np.frombuffer(starts, np.int64))
+                    shard.add(doc, own, np.frombuffer(starts, np.int64),
+                              np.frombuffer(runs, np.int64).reshape(-1, 2))
                     continue
                 if shard.automaton is None:
-                    if not shard.docs:
+                    if not shard.parts:
                         continue
                     shard.compiled()
                 spans = np.array(shard.covered(doc, own), np.int64).reshape(-1, 2)
@@ -398,7 +401,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", size: int = 50, phra
     many = F.create_map(*[F.lit(x) for s, n in copies.items() for x in (s, n)]) if copies else None
     last = F.lit(0) if many is None else F.coalesce(F.try_element_at(many, "shard"), F.lit(1)) - 1
     sources = originals.select("shard", F.explode(F.sequence(F.lit(0), last)).alias("copy"),
-                               F.lit(0).alias("kind"), "doc_id", "text_hash", "hashes", "starts")
+                               F.lit(0).alias("kind"), "doc_id", "text_hash", "hashes", "starts", "windows")
     streams = involved.drop("shared").join(routes, keys).mapInArrow(
         _readers(copies, size, phrase), _STREAM).unionByName(sources)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
