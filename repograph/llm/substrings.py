@@ -8,7 +8,8 @@ word in seventeen starts an anchor.
    too. A window in two documents recurs and is confirmed; its first document (least doc_id)
    holds the original.
 2. The first documents are dealt over shards. A shard compiles one automaton (pyahocorasick) over
-   the anchors of its confirmed windows; each word is one letter of its alphabet.
+   the first words of the anchors of its confirmed windows; each word is one letter of its
+   alphabet.
 3. Documents that hold such an anchor stream through the shard's automaton, which locates every
    occurrence. The windows that hold an occurrence are looked up among the shard's confirmed
    windows, each kept once with its first document; those of an earlier document are covered. A
@@ -35,6 +36,7 @@ from repograph.stage import staged
 _SHARD_WINDOWS = 500_000
 _COPY_READERS = 2_000
 _GAP = 1                     # stands for no word
+_LEAD = 6                    # words of a phrase in the automaton; the look-up tests the rest
 _SECOND = np.uint64(0x8CB92BA72F3D8DD7)     # makes the second hash of a window
 _FIRST_LETTER, _LETTERS = 0x10000, 0x100000     # beyond the surrogates
 
@@ -262,6 +264,7 @@ class _Shard:
 
     def __init__(self, size: int, phrase: int):
         self.size, self.phrase, self.side = size, phrase, size - phrase
+        self.lead = min(_LEAD, phrase)
         self.phrases: set[str] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.automaton = None
@@ -271,7 +274,7 @@ class _Shard:
 
     def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> None:
         letters = _letters(hashes)
-        self.phrases.update(letters[s:s + self.phrase] for s in starts.tolist())
+        self.phrases.update(letters[s:s + self.lead] for s in starts.tolist())
         first, n = runs.T
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
         self.parts.append((self._hashes(hashes, at), self._hashes(words.mix(hashes ^ _SECOND), at),
@@ -294,7 +297,7 @@ class _Shard:
         n = len(hashes) - self.size + 1
         if not len(last) or n < 1 or not len(self.window):
             return []
-        phrases = last - self.phrase + 1
+        phrases = last - self.lead + 1
         holding = np.zeros(n + 1, np.int64)
         np.add.at(holding, np.minimum(np.maximum(phrases - self.side, 0), n), 1)
         np.add.at(holding, np.minimum(phrases + 1, n), -1)
