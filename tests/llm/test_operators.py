@@ -22,6 +22,7 @@ from repograph.llm.ngram_join import least_agreements, ngram_join
 from repograph.llm.packing import pack, place
 from repograph.llm.pieces import decode, encode
 from repograph.llm.pivot_search import top_k
+from repograph.llm import substrings
 from repograph.llm.substrings import remove_repeats
 from repograph.llm.tokens import WordTokenizer
 from repograph.llm.toxicity import score_toxicity
@@ -84,6 +85,21 @@ def test_removal_matches_brute_force(spark):
 
 # --- n-gram join
 
+def test_one_phrase_in_many_first_documents_is_kept_once():
+    rnd = np.random.default_rng(5)
+    word = lambda n: rnd.integers(2, 1 << 63, n).astype(np.uint64)
+    phrase, shard = word(18), substrings._Shard(50, 18)
+    own = [np.concatenate([word(32), phrase, word(32)]) for _ in range(300)]
+    for doc, hashes in enumerate(own):
+        shard.add(doc, hashes, np.array([32]), np.array([[0, 33]]))
+    assert len(shard.phrases) == 1
+    shard.compiled()
+    assert shard.covered(300, own[7]) == [(0, 82)]
+    assert shard.covered(7, own[7]) == []
+    assert shard.covered(300, np.concatenate([word(40), phrase, word(40)])) == []
+    assert shard.covered(300, np.concatenate([word(5), own[9][10:61], word(9)])) == [(5, 56)]
+
+
 def test_ngram_join_matches_brute_force(spark):
     rnd = random.Random(5)
     rows = []
