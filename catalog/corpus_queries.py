@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.registry import query, table
+from catalog.registry import ORACLES, query, table
 from catalog.views import CODE_FILES, FILE_FINDINGS, FILES, LEVELLED, TOOL_RESULTS
 from repograph.functions import paths, text, urls
 from repograph.operators import corpus, detect, findings as ops, graph, modules, report
@@ -251,11 +251,16 @@ edges AS (SELECT run_id, path AS source, unnest(['os/path.py', 'src/' || repo ||
 SELECT run_id, source, target, 'import' AS type FROM edges e
 WHERE EXISTS (SELECT 1 FROM known k WHERE k.run_id = e.run_id AND k.file = e.source)
   OR EXISTS (SELECT 1 FROM known k WHERE k.run_id = e.run_id AND k.file = e.target)""")
-def import_edges(spark, sf):
-    known = ops.file_nodes(views.file_findings(spark, sf).where("level = 'error'"))
+def import_edges(spark, sf, everywhere=False):
+    known = ops.file_nodes(views.file_findings(spark, sf, everywhere).where("level = 'error'"))
     return graph.import_edges(views.code_files(spark, sf), known)
 
 
+@query("import_edges_all", views.over_all_documents(ORACLES["import_edges"]))
+def import_edges_all(spark, sf):
+    return import_edges(spark, sf, everywhere=True)
+
+
 MODULES = """
 purposes AS (SELECT run_id, left(path, length(path) - strpos(reverse(path), '/')) AS module,
     split_part(path, '/', -1) AS name, CASE WHEN doc_id % 8 = 0 AND doc_id % 3 = 0
@@ -277,13 +282,18 @@ summaries AS (SELECT coalesce(t.run_id, s.run_id) AS run_id, coalesce(t.module,
 
 @query("module_summaries", f"""WITH {LEVELLED}, {FILE_FINDINGS}, {MODULES}
 SELECT * FROM summaries""")
-def module_summaries(spark, sf):
-    out = modules.module_summaries(
-        views.code_files(spark, sf), views.file_findings(spark, sf), 20, 5).drop("file_count")
+def module_summaries(spark, sf, everywhere=False):
+    found = views.file_findings(spark, sf, everywhere)
+    out = modules.module_summaries(views.code_files(spark, sf), found, 20, 5).drop("file_count")
     return out.withColumns({k: F.array_join(k, ";") for k in ("file_summaries",
                                                               "sample_findings")})
 
 
+@query("module_summaries_all", views.over_all_documents(ORACLES["module_summaries"]))
+def module_summaries_all(spark, sf):
+    return module_summaries(spark, sf, everywhere=True)
+
+
 @query("analysis_report", f"""WITH {LEVELLED}, {FILE_FINDINGS}, {MODULES},
 nl AS (SELECT chr(10) AS n),
 counts AS (SELECT run_id, count(*) AS total, count(*) FILTER (level = 'error') AS errors,
@@ -324,14 +334,19 @@ UNION ALL SELECT run_id, 3, level, rn, '- **' || rule_id || '** in `' || file ||
   || '` -- ' || message || n FROM serious, nl WHERE rn <= 20
 UNION ALL SELECT run_id, 3, level, 21, '- ... and ' || (c - 20) || ' more' || n FROM serious, nl
   WHERE rn = 1 AND c > 20""")
-def analysis_report(spark, sf):
+def analysis_report(spark, sf, everywhere=False):
     from repograph.plans.code_report import code_report
-    findings, files = views.file_findings(spark, sf), views.code_files(spark, sf)
+    findings, files = views.file_findings(spark, sf, everywhere), views.code_files(spark, sf)
     targets = findings.select("run_id").distinct().withColumn(
         "target", F.concat(F.lit("/repos/"), "run_id"))
     return code_report(findings, findings.select("run_id", "tool").distinct(), files, targets)
 
 
+@query("analysis_report_all", views.over_all_documents(ORACLES["analysis_report"]))
+def analysis_report_all(spark, sf):
+    return analysis_report(spark, sf, everywhere=True)
+
+
 # --- addresses ---------------------------------------------------------------------------
 
 ADDRESSES = """SELECT page_id, CASE page_id % 8

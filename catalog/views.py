@@ -117,10 +117,19 @@ file_findings AS (SELECT v.seq, c.run_id, v.tool, v.rule_id, v.level, c.path AS
   v.message FROM levelled v JOIN code_files c ON c.doc_id = v.seq % 1000)"""
 
 
-def file_findings(spark, sf) -> DataFrame:
+def over_all_documents(sql: str) -> str:
+    """SQL over FILE_FINDINGS with findings dealt over every document of the table."""
+    return sql.replace("seq % 1000", "seq % (SELECT max(doc_id) + 1 FROM documents)")
+
+
+def file_findings(spark, sf, everywhere: bool = False) -> DataFrame:
+    """FILE_FINDINGS; `everywhere` deals the findings over every document, not the first 1,000."""
+    documents = F.lit(1000)
+    if everywhere:
+        documents = F.lit(table(spark, sf, "documents").agg(F.max("doc_id") + 1).first()[0])
     base = findings(spark, sf).drop("run_id").withColumn("line", F.get(
         "locations", F.lit(0))["start_line"])
     paths = code_files(spark, sf).select("doc_id", "run_id", "path")
-    placed = base.join(paths, F.col("doc_id") == F.col("result_idx") % 1000)
+    placed = base.join(paths, F.col("doc_id") == F.col("result_idx") % documents)
     return placed.withColumn("locations", one_location(F.col("path"), F.col("line"))).drop(
         "line", "doc_id", "path")

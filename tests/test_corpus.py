@@ -168,3 +168,17 @@ def test_docs_of_any_length_and_what_limits_leave_out(spark):
     assert corpus.documents(files, max_code_tokens=2501).count() == 1
     left = corpus.oversized(files, max_code_tokens=2501).collect()
     assert sorted(r.path for r in left) == ["a.py", "c.js"] and left[0].reason
+
+
+def test_findings_reach_every_document(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from catalog import views
+    spark.range(2500).select(
+        F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"),
+        F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2500).select(
+        F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("e").alias("event_type"),
+        F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    found = views.file_findings(spark, str(tmp_path), everywhere=True)
+    assert found.select(F.explode("locations.uri")).distinct().count() == 2500
