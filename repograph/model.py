@@ -34,6 +34,9 @@ RUN_SCHEMA = (
     "run_id string, doc_idx bigint, run_idx int, tool string, version string, "
     "extensions string, properties map<string,string>"
 )
+# JSON text of a native result or rule as it was written; null where a converter made the row.
+ORIGINAL = "original string"
+ARTIFACT_SCHEMA = "run_id string, uri string"
 REJECT_SCHEMA = "run_id string, doc_idx bigint, tool string, reason string"
 
 # Order of a finding inside its run once the tool runs are merged: merged runs are sorted

@@ -12,7 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from repograph.model import FINDING_SCHEMA, REJECT_SCHEMA, RULE_SCHEMA, RUN_SCHEMA
+from repograph.model import (
+    ARTIFACT_SCHEMA, FINDING_SCHEMA, ORIGINAL, REJECT_SCHEMA, RULE_SCHEMA, RUN_SCHEMA)
 from repograph.normalize import native
 from repograph.normalize.base import KEYS, Converter, Rule
 from repograph.normalize.json_tools import (
@@ -35,6 +36,7 @@ class Normalised:
     rules: DataFrame
     runs: DataFrame
     rejects: DataFrame
+    artifacts: DataFrame
 
 
 def normalise(reports: DataFrame, tools: list[str] | None = None,
@@ -53,11 +55,11 @@ def normalise(reports: DataFrame, tools: list[str] | None = None,
         parts.append(_unreadable(reports))
     def gather(name):
         have = [p[name] for p in parts if p.get(name) is not None]
-        return reduce(DataFrame.unionByName, have) if have else None
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), have) if have else None
 
     return Normalised(*[_shape(reports, gather(n), s) for n, s in (
-        ("findings", FINDING_SCHEMA), ("rules", RULE_SCHEMA), ("runs", RUN_SCHEMA),
-        ("rejects", REJECT_SCHEMA))])
+        ("findings", f"{FINDING_SCHEMA}, {ORIGINAL}"), ("rules", f"{RULE_SCHEMA}, {ORIGINAL}"),
+        ("runs", RUN_SCHEMA), ("rejects", REJECT_SCHEMA), ("artifacts", ARTIFACT_SCHEMA))])
 
 
 def _shape(reports: DataFrame, df: DataFrame | None, schema: str) -> DataFrame:
@@ -65,7 +67,9 @@ def _shape(reports: DataFrame, df: DataFrame | None, schema: str) -> DataFrame:
     declared = T.StructType.fromDDL(schema)
     if df is None:
         return reports.sparkSession.createDataFrame([], declared)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared])
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in declared])
 
 
 def results_of(reports: DataFrame, converter: Converter) -> DataFrame:
@@ -124,7 +128,7 @@ def _native(reports: DataFrame, converted: set[str], processed_at) -> dict[str,
     judged = native.parse(mine).withColumn("reason", native.reason())
     accepted = judged.where(F.col("reason").isNull())
     return {"findings": native.findings(accepted), "rules": native.rules(accepted),
-            "runs": native.runs(accepted, processed_at),
+            "runs": native.runs(accepted, processed_at), "artifacts": native.artifacts(accepted),
             "rejects": judged.where(F.col("reason").isNotNull()).select(*KEYS, "tool", "reason")}
 
 

@@ -26,10 +26,14 @@ _RULE = ("struct<id:string,name:string,fullDescription:struct<text:string>,"
 _DOCUMENT = ("`$schema` string, version string, runs array<struct<tool:struct<driver:struct<"
              f"name:string,version:string,rules:array<{_RULE}>>,extensions:string>,"
              f"results:array<{_RESULT}>,properties:map<string,string>>>")
+# Results and rules once more as they were written, with all that the typed columns do not hold.
+_GIVEN = ("runs array<struct<tool:struct<driver:struct<rules:array<string>>>,results:array<string>,"
+          "artifacts:array<struct<location:struct<uri:string>>>>>")
 
 
 def parse(reports: DataFrame) -> DataFrame:
-    return compute_once(reports, "doc", text.json_struct(F.col("raw"), _DOCUMENT))
+    typed = compute_once(reports, "doc", text.json_struct(F.col("raw"), _DOCUMENT))
+    return compute_once(typed, "given", F.from_json("raw", _GIVEN, {"allowSingleQuotes": "false"}))
 
 
 def reason() -> Column:
@@ -46,13 +50,22 @@ def reason() -> Column:
 
 def _runs(accepted: DataFrame) -> DataFrame:
     return accepted.select(*KEYS, F.col("tool").alias("report_tool"),
-                           F.posexplode("doc.runs").alias("run_idx", "run"))
+                           F.posexplode(_beside("doc.runs", "given.runs")).alias("run_idx", "both")
+                           ).select(*KEYS, "report_tool", "run_idx", F.col("both.typed").alias("run"),
+                                    F.col("both.original").alias("given"))
+
+
+def _beside(typed: str, given: str) -> Column:
+    """Typed entries, each with the entry as it was written."""
+    return F.transform(typed, lambda x, i: F.struct(
+        x.alias("typed"), F.get(F.col(given), i).alias("original")))
 
 
 def findings(accepted: DataFrame) -> DataFrame:
     rows = _runs(accepted).select(
         *KEYS, "run_idx", F.col("run.tool.driver.name").alias("tool"),
-        F.posexplode("run.results").alias("result_idx", "r"))
+        F.posexplode(_beside("run.results", "given.results")).alias("result_idx", "both")
+    ).withColumn("r", F.col("both.typed"))
 
     def place(loc):
         region, uri = loc["physicalLocation"]["region"], loc["physicalLocation"][
@@ -68,18 +81,27 @@ def findings(accepted: DataFrame) -> DataFrame:
         F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
         F.coalesce("r.message.text", F.lit("")).alias("message"),
         F.transform("r.locations", place).cast(f"array<{LOCATION}>").alias("locations"),
-        F.col("r.fingerprints").alias("fingerprints"), F.col("r.properties").alias("properties"))
+        F.col("r.fingerprints").alias("fingerprints"), F.col("r.properties").alias("properties"),
+        F.col("both.original").alias("original"))
 
 
 def rules(accepted: DataFrame) -> DataFrame:
     rows = _runs(accepted).select(
         *KEYS, "run_idx", F.col("run.tool.driver.name").alias("tool"),
-        F.posexplode("run.tool.driver.rules").alias("rule_idx", "r"))
+        F.posexplode(_beside("run.tool.driver.rules", "given.tool.driver.rules")).alias(
+            "rule_idx", "both")).withColumn("r", F.col("both.typed"))
     return rows.select(
         *KEYS, "run_idx", F.col("rule_idx").cast("bigint").alias("rule_idx"), "tool",
         F.col("r.id").alias("rule_id"), F.col("r.name").alias("name"),
         F.col("r.fullDescription.text").alias("description"),
-        F.col("r.defaultConfiguration.level").alias("level"), F.col("r.helpUri").alias("help_uri"))
+        F.col("r.defaultConfiguration.level").alias("level"), F.col("r.helpUri").alias("help_uri"),
+        F.col("both.original").alias("original"))
+
+
+def artifacts(accepted: DataFrame) -> DataFrame:
+    """Files that the runs list themselves, whether or not a result names them."""
+    return _runs(accepted).select("run_id", F.explode("given.artifacts.location.uri").alias("uri")).where(
+        text.nonempty(F.col("uri")).isNotNull()).distinct()
 
 
 def runs(accepted: DataFrame, processed_at: str | None = None) -> DataFrame:

@@ -40,12 +40,48 @@ def result_object(rule_id: Column, message: Column, level: Column, locations: Co
     return F.struct(*parts)
 
 
-def rule_object(rule_id: Column, name: Column, description: Column, level: Column) -> Column:
-    """SARIF rule; name, description and level are left out when empty or unknown."""
+def rule_object(rule_id: Column, name: Column, description: Column, level: Column,
+                help_uri: Column | None = None) -> Column:
+    """SARIF rule; name, description, level and address are left out when empty or unknown."""
     known = F.when(level.isin(*LEVELS), F.struct(level.alias("level")))
     text = F.when(nonempty(description).isNotNull(), F.struct(description.alias("text")))
-    return F.struct(rule_id.alias("id"), nonempty(name).alias("name"),
-                    text.alias("fullDescription"), known.alias("defaultConfiguration"))
+    parts = [rule_id.alias("id"), nonempty(name).alias("name"), text.alias("fullDescription"),
+             known.alias("defaultConfiguration")]
+    if help_uri is not None:
+        parts.append(nonempty(help_uri).alias("helpUri"))
+    return F.struct(*parts)
+
+
+_VARIANTS = "map<string,variant>"
+# Normalised fields that are objects: the one key of each that is normalised.
+_NESTED = {"message": "text", "fullDescription": "text", "defaultConfiguration": "level"}
+
+
+def _overlaid(original: Column, made: Column, replaced: list[str]) -> Column:
+    """JSON of `original` with the fields named in `replaced` as `made` has them.
+
+    A field that `made` leaves out goes; an object keeps its keys beside the normalised one.
+    Values of any kind stay as they are. Without an original, or where it cannot be read, `made`.
+    """
+    given = F.from_json(original, _VARIANTS)
+    own = F.from_json(made, _VARIANTS)
+    out = F.map_filter(given, lambda k, v: ~k.isin(*replaced))
+    for name in replaced:
+        value, mine = F.try_element_at(given, F.lit(name)), F.try_element_at(own, F.lit(name))
+        if name in _NESTED:
+            part = lambda x: F.coalesce(F.try_variant_get(x, "$", _VARIANTS), F.from_json(
+                F.lit("{}"), _VARIANTS))
+            value = F.map_concat(F.map_filter(part(value), lambda k, v: k != _NESTED[name]), part(mine))
+            kept = F.size(value) > 0
+            value = F.parse_json(F.to_json(value))
+        else:
+            # Lists and property bags hold more than the typed columns do.
+            value = F.coalesce(value, mine) if name in ("locations", "fingerprints",
+                                                        "properties") else mine
+            kept = mine.isNotNull()
+        added = F.map_from_arrays(F.array(F.lit(name)), F.array(value))
+        out = F.map_concat(out, F.map_filter(added, lambda k, v: kept))
+    return F.coalesce(F.to_json(out), made)
 
 
 # Sections of a run in document order.
@@ -77,8 +113,12 @@ def unified_document(findings: DataFrame, rules: DataFrame, merged: DataFrame,
     # A rule entry is placed by where it was first stated.
     places = F.struct("doc_idx", "run_idx", "rule_idx", "rule_id")
     ruled = _mark_first(rules.withColumn("place", places), ["run_id", "tool"], "place")
-    rule_json = F.to_json(rule_object(F.col("rule_id"), F.col("name"), F.col("description"),
-                                      F.col("level")))
+    rule_json = F.to_json(rule_object(
+        F.col("rule_id"), F.col("name"), F.col("description"), F.col("level"),
+        F.col("help_uri") if "help_uri" in rules.columns else None))
+    if "original" in rules.columns:
+        rule_json = _overlaid(F.col("original"), rule_json, [
+            "id", "name", "fullDescription", "defaultConfiguration", "helpUri"])
     parts.append(shape(ruled, _RULES, text(rule_json),
                        [F.col("doc_idx"), F.col("run_idx"), F.col("rule_idx")], F.col("rule_id")))
 
@@ -91,6 +131,10 @@ def unified_document(findings: DataFrame, rules: DataFrame, merged: DataFrame,
     result_json = F.to_json(result_object(
         F.coalesce("rule_id", F.lit("")), F.col("message"), F.coalesce("level", F.lit("warning")),
         F.col("locations"), F.col("fingerprints"), F.col("properties")))
+    if "original" in findings.columns:
+        # Rules are merged and ordered anew: a result's old rule number would name another one.
+        result_json = _overlaid(F.col("original"), result_json, [
+            "ruleId", "ruleIndex", "level", "message", "locations", "fingerprints", "properties"])
     parts.append(shape(listed, _RESULTS, text(result_json),
                        [F.col("doc_idx"), F.col("run_idx"), F.col("result_idx")]))
 

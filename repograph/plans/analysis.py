@@ -42,4 +42,4 @@ def analyse(reports: DataFrame, tools: list[str] | None = None,
     return Analysis(
         findings=unique, rules=merge.merge_rules(raw.rules, raw.runs),
         runs=merge.merge_runs(raw.runs), rejects=raw.rejects,
-        metrics=ops.run_metrics(unique, raw.runs), artifacts=ops.artifacts(findings))
+        metrics=ops.run_metrics(unique, raw.runs), artifacts=ops.artifacts(findings).unionByName(raw.artifacts).distinct())

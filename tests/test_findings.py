@@ -162,3 +162,30 @@ def test_salted_join_equals_plain_join(spark, how):
     plain = rows.join(lookup, ["k"], how)
     salted = salted_join(rows, lookup, ["k"], ["id"], how)
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+
+
+def test_unified_document_keeps_what_native_reports_carry(spark, tmp_path):
+    from repograph.plans.analysis import analyse
+    from repograph.sources.documents import read_document, write_documents
+    rule = {"id": "R", "name": "n", "shortDescription": {"text": "s"}, "help": {"markdown": "**h**"},
+            "fullDescription": {"text": "d", "markdown": "*d*"}, "helpUri": "https://x/R",
+            "defaultConfiguration": {"level": "error", "enabled": False},
+            "properties": {"tags": ["a", "b"], "precision": 2}}
+    place = {"physicalLocation": {"artifactLocation": {"uri": "x.py", "uriBaseId": "%ROOT%"}, "region": {
+        "startLine": 2, "snippet": {"text": 'a "b"\n'}}}, "logicalLocations": [{"name": "f"}]}
+    result = {"ruleId": "R", "ruleIndex": 0, "level": "note", "message": {"text": "m", "markdown": "*m*"},
+              "locations": [place], "partialFingerprints": {"p": "1"}, "codeFlows": [{"threadFlows": []}],
+              "relatedLocations": [place], "suppressions": [{"kind": "inSource"}],
+              "properties": {"score": 7.5, "nested": {"on": True, "n": None}, "text": "7"}}
+    plain = {"ruleId": "S", "level": "weird", "message": {"id": "default", "arguments": ["é"]}, "rank": 1.5}
+    source = {"runs": [{"tool": {"driver": {"name": "b", "rules": [rule]}}, "results": [result, plain],
+                        "artifacts": [{"location": {"uri": "unnamed.py"}}, {"location": {"uri": "x.py"}}]}]}
+    reports = spark.createDataFrame([("run1", 0, "semgrep", json.dumps(source))],
+                                    "run_id string, doc_idx bigint, tool string, raw string")
+    out = analyse(reports, tools=["semgrep"])
+    write_documents(out.document(), str(tmp_path / "docs"), "run_id", sarif.FRAGMENT_ORDER)
+    run, = json.loads(read_document(spark, str(tmp_path / "docs"), "run_id", "run1"))["runs"]
+    assert run["tool"]["driver"]["rules"] == [rule]
+    del result["ruleIndex"]  # rules are merged: the number no longer holds
+    assert run["results"] == [result, {**plain, "level": "warning", "message": {**plain["message"], "text": ""}}]
+    assert run["artifacts"] == [{"location": {"uri": u}} for u in ("unnamed.py", "x.py")]
