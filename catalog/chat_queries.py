@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import views
 from catalog.registry import query
-from catalog.vector_queries import CHUNKS, RETRIEVED, document_chunks, retrieved, sparse
+from catalog.vector_queries import CHUNKS, RETRIEVED, chunk_id, document_chunks, retrieved, sparse
 from repograph.functions import research
 from repograph.operators import chat, embedding
 from repograph.plans import questions
@@ -177,7 +177,7 @@ def _digests(fragments):
     || context || chr(10) || '<END_OF_CONTEXT>' END || chr(10) || chr(10)"""))
 def prompts(spark, sf):
     chunks = document_chunks(spark, sf).withColumns({
-        "chunk_id": c("doc_id") * 1000 + c("chunk_no"),
+        "chunk_id": chunk_id(),
         "path": F.concat_ws("/", "repo", c("doc_id").cast("string"))})
     stored = embedding.embed(chunks).drop("embed_error", "batch")
     return _digests(questions.prompts(messages(spark, sf), _about(spark, sf), _templates(spark),

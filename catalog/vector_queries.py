@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.registry import query, spread, table
+from catalog.registry import ORACLES, query, spread, table
 from catalog.views import FILES
 from repograph.operators import embedding, vectors
 from repograph.operators.chunks import split_documents
@@ -175,10 +175,16 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DE
   AS rank FROM scored QUALIFY rank <= 20)"""
 
 
-def retrieved(spark, sf):
-    chunks = document_chunks(spark, sf).withColumn("chunk_id", c("doc_id") * 1000 + c("chunk_no"))
-    stored = embedding.embed(chunks).drop("embed_error", "batch")
-    return vectors.retrieve(_benchmark_questions(spark, sf, 5), stored)
+# Unique for documents of more than 1,000 chunks too; in the order of the SQL's number below that.
+def chunk_id():
+    return F.shiftleft(c("doc_id").cast("bigint"), 24) + c("chunk_no")
+
+
+def retrieved(spark, sf, repos=5):
+    stored = embedding.embed(document_chunks(spark, sf).withColumn("chunk_id", chunk_id()))
+    hits = vectors.retrieve(_benchmark_questions(spark, sf, repos),
+                            stored.drop("embed_error", "batch"))
+    return hits.withColumn("chunk_id", c("doc_id") * 1000 + c("chunk_no"))
 
 
 @query("retrieved_chunks", RETRIEVED + """
@@ -188,6 +194,15 @@ def retrieved_chunks(spark, sf):
                                        F.md5(c("text").cast("binary")).alias("digest"))
 
 
+# Questions to every source of the table, not the first five.
+@query("retrieved_chunks_all", ORACLES["retrieved_chunks"].replace(
+    "(i.item_id % 5)", "(i.item_id % (SELECT count(DISTINCT source) FROM documents))"))
+def retrieved_chunks_all(spark, sf):
+    sources = table(spark, sf, "documents").select("source").distinct().count()
+    return retrieved(spark, sf, sources).select("question_id", "repo", "chunk_id", "score", "rank",
+                                                F.md5(c("text").cast("binary")).alias("digest"))
+
+
 @query("refreshed_chunks", f"""WITH {CHUNKS}
 SELECT repo, doc_id, chunk_no, CASE WHEN repo IN ('src1', 'src2', 'src3') THEN 'stored' ELSE 'fresh'
   END AS origin FROM chunks""")

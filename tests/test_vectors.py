@@ -83,3 +83,23 @@ def test_cache_embeds_only_new_texts(spark):
 def test_unknown_embedder():
     with pytest.raises(ValueError):
         embedding.get_embedder("nope")
+
+
+def test_chunks_of_a_long_document_are_not_mistaken_for_the_next_ones(spark, tmp_path):
+    from catalog.vector_queries import retrieved
+    long, asked = " ".join(["w"] * (250 * 1003)), "what is this about"
+    spark.createDataFrame([(0, "src0", long), (1, "src0", asked)], "doc_id bigint, source string, text string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, asked)], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    rows = retrieved(spark, str(tmp_path)).collect()
+    assert len(rows) == 20 and [(r.doc_id, r.chunk_no) for r in rows if r["rank"] == 1] == [(1, 0)]
+
+
+def test_questions_reach_every_source(spark, tmp_path):
+    from catalog.vector_queries import retrieved_chunks_all
+    spark.createDataFrame([(i, f"src{i}", "a b") for i in range(8)], "doc_id bigint, source string, text string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "a") for i in range(8)], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    assert len({r.repo for r in retrieved_chunks_all(spark, str(tmp_path)).collect()}) == 8
