@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.registry import query, table
+from catalog.registry import ORACLES, query, table
 from catalog.views import WIKI_PAGES
 from repograph.functions import text, wiki_text
 from repograph.operators import wiki
@@ -201,6 +201,13 @@ def json_export(spark, sf):
     return wiki.json_export(_wikis(spark, sf), short, "now")
 
 
+# Whole titles and contents.
+@query("json_export_all", ORACLES["json_export"].replace("left(title, 8)", "title").replace(
+    ',"content":"c",', ""","content":' || to_json(content)::VARCHAR || ',"""))
+def json_export_all(spark, sf):
+    return wiki.json_export(_wikis(spark, sf), pages(spark, sf), "now")
+
+
 # One structure answer per 20 pages of a wiki.
 BLOCKS = f"""{P}, blocks AS (SELECT *, wiki_id * 1000 + cast(floor(seq / 200) AS bigint) AS block,
   row_number() OVER (PARTITION BY wiki_id, floor(seq / 200) ORDER BY seq) - 1 AS nth,

@@ -1,5 +1,6 @@
 """Wikis, stored tables, prompts."""
 
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,13 @@ def test_exports_are_whole_documents(spark, tmp_path):
 
 def test_broken_escapes_stay_text(spark):
     assert one(spark, "a%20b\n \n%zz\nc+d", text.decode_list_parameter) == ["a b", "%zz", "c+d"]
+
+
+def test_json_export_query_holds_whole_pages(spark, tmp_path):
+    from catalog.wiki_queries import json_export_all
+    html = '<title>A "long" title \\ of a page</title>\n<p>tab\t, é and \U0001f600 ' + "x" * 5000
+    spark.createDataFrame([(3, "u", html)], "page_id bigint, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    rows = json_export_all(spark, str(tmp_path)).orderBy("part", "seq").collect()
+    page, = json.loads("".join(r.text for r in rows))["pages"]
+    assert (page["title"], page["content"]) == ('A "long" title \\ of a page', html)
