@@ -172,3 +172,103 @@ def op1_sentencepiece(spark, sf):
     from repograph.llm.pieces import encode
     return encode(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                   ["doc_id"])
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("op11_decontaminate", rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(
+      {_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(
+      {_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+  g AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n,
+      array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+  w AS (SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (
+    SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM d, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+  h AS (SELECT DISTINCT k, i, n, item_id FROM w JOIN g USING (n, gram)),
+  cov AS (SELECT k, count(DISTINCT p) AS n_hit
+    FROM (SELECT k, unnest(range(i, i + n)) AS p FROM h) GROUP BY k),
+  its AS (SELECT k, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM h GROUP BY k)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), ''))
+    AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (k) LEFT JOIN its USING (k)""")
+def op11_decontaminate(spark, sf):
+    from repograph.llm.decontaminate import find_contamination
+    found = find_contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"),
+                               ["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _part_codes_sql(rounds: int = 4) -> str:
+    """Training unrolled: c0 holds the first codebooks, c{k} those after k rounds."""
+    nearest = """a{k} AS MATERIALIZED (SELECT vec_id, part, v, first(entry ORDER BY d, entry) AS entry,
+      min(d) AS d FROM (SELECT vec_id, p.part, p.v, entry, (list_inner_product(p.v, p.v)
+        - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS d
+      FROM p JOIN c{k} c ON p.part = c.part) GROUP BY vec_id, part, v)"""
+    steps = ["""v AS (SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             """p AS MATERIALIZED (SELECT vec_id, part,
+      v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM v, range(0, 4) AS r(part))""",
+             """c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id)
+      - 1 AS entry, v FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))"""]
+    for k in range(rounds):
+        steps += [nearest.format(k=k), f"""c{k + 1} AS MATERIALIZED (SELECT part, entry,
+      coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v
+        FROM (SELECT part, entry, i, floor(sum(x) / count(*)) AS x FROM (
+          SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM a{k})
+          GROUP BY part, entry, i) GROUP BY part, entry) m USING (part, entry))"""]
+    steps += [nearest.format(k=rounds), f"""h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ','
+      ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(v) AS x,
+        unnest(range(1, len(v) + 1)) AS i FROM c{rounds}))""",
+              f"""e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+      sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)"""]
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  codebooks_sha256 FROM e JOIN v USING (vec_id), h"""
+
+
+@_query("op13_part_codes", _part_codes_sql())
+def op13_part_codes(spark, sf):
+    from repograph.llm.part_codes import codebooks_text, compress
+    coded, books = compress(_table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select("row.vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+                        F.sha2(F.lit(codebooks_text(books)), 256).alias("codebooks_sha256"))
+
+
+@_query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+  o AS (SELECT k, lang, source, term, count(*) AS n
+    FROM (SELECT k, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+  lt AS (SELECT lang, term, sum(n)::HUGEINT AS lc FROM o GROUP BY lang, term HAVING count(*) >= 30),
+  l AS (SELECT lang, count(*) AS v, sum(lc) AS lt FROM lt GROUP BY lang),
+  c AS (SELECT lang, source, term, sum(n)::HUGEINT AS c FROM o SEMI JOIN lt USING (lang, term)
+    GROUP BY ALL),
+  g AS (SELECT lang, source, coalesce(t, 0) AS t FROM (SELECT DISTINCT lang, source FROM d)
+    LEFT JOIN (SELECT lang, source, sum(c) AS t FROM c GROUP BY ALL) USING (lang, source)),
+  p AS (SELECT g.lang, g.source, lt.term, coalesce(c, 0) AS c,
+      1 + 1000000000 * (coalesce(c, 0) + 5) // (t + 5 * v) AS p, 1 + 1000000000 * (lc + 5) // (l.lt + 5 * v) AS q
+    FROM g JOIN lt ON g.lang = lt.lang JOIN l ON l.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = lt.term),
+  f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+    FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM f) WHERE part = 'pair' OR rank <= 50""")
+def op12_source_divergence(spark, sf):
+    from repograph.llm.divergence import source_divergence
+    return source_divergence(_table(spark, sf, "documents"))

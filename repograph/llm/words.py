@@ -98,8 +98,12 @@ class Slice:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Slices of at most `limit` bytes, or of one longer text; null texts count as empty."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, table: np.ndarray | None = None
+           ) -> Iterator[Slice]:
+    """Slices of at most `limit` bytes, or of one longer text; null texts count as empty.
+
+    With `table`, every byte is first replaced by its entry there.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -112,7 +116,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
         to = min(to, len(texts))
-        yield Slice(at, data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
+        part = data[bounds[at]:bounds[to]]
+        yield Slice(at, part if table is None else table[part], bounds[at:to + 1] - bounds[at])
         at = to
 
 
