@@ -369,14 +369,18 @@ _GAP = "lang string, source string, item string, gap bigint"
 
 def _gaps(table: pa.Table) -> pa.Table:
     """Of terms of one shard and the sources of two blocks: by how much the sum of |p - q| over
-    these terms differs from what it would be if neither source held any."""
+    these terms differs from what it would be if neither source held any.
+
+    A row without a term names a source, which need not hold any of the terms.
+    """
     source, code = _codes(table["source"])
     _, term = _codes(table["term"])
+    held = term >= 0
     lang, i, j = (table[c][0].as_py() for c in ("lang", "i", "j"))
     absent, block = np.zeros(len(source), np.int64), np.zeros(len(source), np.int64)
     absent[code], block[code] = table["absent"].to_numpy(), table["source_block"].to_numpy()
-    shares = np.repeat(absent[:, None], term.max() + 1, 1)
-    shares[code, term] = table["p"].to_numpy()
+    shares = np.repeat(absent[:, None], term.max(initial=-1) + 1, 1)
+    shares[code[held], term[held]] = table["p"].filter(pa.array(held)).to_numpy()
     out = [[], [], []]
     right = np.flatnonzero(block == j)
     for a in np.flatnonzero(block == i).tolist():
@@ -398,7 +402,7 @@ def _gaps(table: pa.Table) -> pa.Table:
 def _codes(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
     coded = column.combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    return coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
 
 
 def source_divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
@@ -439,8 +443,14 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFr
                                      F.col("term").alias("item"), F.expr("p - q").alias("value")))
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    gaps = (shares.select("lang", "source", "term", "p", "absent", "source_block", other.alias("y"),
-                          F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / _SHARD_TERMS)).alias("shard"))
+    shards = F.ceil(F.col("v") / _SHARD_TERMS)
+    # Every source takes part in every shard of its language, with or without terms there.
+    present = groups.filter("v > 0").withColumns({
+        "term": F.lit(None).cast("string"), "p": F.lit(None).cast("bigint"),
+        "shard": F.explode(F.sequence(F.lit(0).cast("bigint"), shards - 1))})
+    gaps = (shares.withColumn("shard", F.pmod(F.xxhash64("term"), shards))
+            .unionByName(present, allowMissingColumns=True)
+            .select("lang", "source", "term", "p", "absent", "source_block", "shard", other.alias("y"))
             .withColumns({"i": F.least("source_block", "y"), "j": F.greatest("source_block", "y")})
             .groupBy("lang", "shard", "i", "j").applyInArrow(_gaps, _GAP)
             .groupBy("lang", "source", "item").agg(F.sum("gap").alias("gap")))
