@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from repograph.functions import severity
 from repograph.model import FINDING_SCHEMA
 from repograph.operators import findings as ops, merge, sarif
-from repograph.operators.ordering import dense_index, first_n, first_n_salted
+from repograph.operators.ordering import (
+    dense_index, first_n, first_n_salted, running_totals)
 
 
 def finding(i, run="r", tool="t", level="warning", rule="a/R", uri="f.py", line=1, text="m", fps=None,
@@ -79,6 +80,43 @@ def test_dense_index_over_hot_group(spark):
         assert {r.n: r["index"] for r in got if r.run_id == run} == want
 
 
+@pytest.fixture
+def spread_out(spark):
+    """Small shuffles stay in as many partitions as are asked for."""
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "false")
+    spark.conf.set(names[1], "13")
+    yield spark
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_dense_index_of_sparse_ordinals(spread_out):
+    # Every row is a block of its own; nine tenths of them are in one group.
+    rows = [("hot" if i % 10 else f"r{i % 3}", f"t{i % 4}", (i * 7919 % 5003 - 2500) * 10**12)
+            for i in range(5003)]
+    df = spread_out.createDataFrame(rows, "run_id string, tool string, n bigint").repartition(5)
+    got = dense_index(df, ["run_id"], ["tool"], "n").collect()
+    assert len(got) == len(rows)
+    for run in {r for r, _, _ in rows}:
+        want = sorted((t, n) for r, t, n in rows if r == run)
+        assert [(r.tool, r.n) for r in sorted(got, key=lambda r: r["index"]) if r.run_id == run] == want
+        assert sorted(r["index"] for r in got if r.run_id == run) == list(range(len(want)))
+
+
+def test_running_totals_cross_partitions(spread_out):
+    rows = [("a", i, i % 5) for i in range(1000)] + [("b", 3, 7), ("c", 1, 1), ("c", 2, 4)]
+    df = spread_out.createDataFrame(rows, "g string, k int, n bigint").repartition(3)
+    got = {(r.g, r.k): r.before for r in running_totals(df, ["g"], ["k"], "n").collect()}
+    assert got == {(g, k): sum(m for h, j, m in rows if h == g and j < k) for g, k, _ in rows}
+
+
+def test_dense_index_of_no_rows(spark):
+    df = spark.createDataFrame([], "run_id string, n bigint")
+    assert dense_index(df, ["run_id"], [], "n").collect() == []
+
+
 def test_first_n_variants_agree(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").repartition(5)
     a = {tuple(r) for r in first_n(df, ["k"], [F.desc("id")], 50).collect()}
