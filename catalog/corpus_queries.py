@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -9,6 +11,8 @@ from catalog.registry import ORACLES, query, table
 from catalog.views import CODE_FILES, FILE_FINDINGS, FILES, LEVELLED, TOOL_RESULTS
 from repograph.functions import paths, text, urls
 from repograph.operators import corpus, detect, findings as ops, graph, modules, report
+from repograph.sources import folders, repository
+from repograph.stage import stage_folder
 
 c = F.col
 V = f"WITH files_v AS ({FILES})"
@@ -47,6 +51,27 @@ def corpus_documents(spark, sf):
         "path", "type", "is_code", "is_implementation", "title", "token_count")
 
 
+@query("scanned_repository", V + """
+SELECT 'src' AS repo, substr(path, 5) AS path, octet_length(encode(content)) + (doc_id % 11 = 0)::INT
+    AS n_bytes, CASE WHEN doc_id % 11 <> 0 THEN md5(content) END AS text_md5,
+  CASE WHEN doc_id % 11 = 0 THEN 'not valid UTF-8' END AS reason
+FROM files_v WHERE doc_id % 8 IN (0, 2, 7)""")
+def scanned_repository(spark, sf):
+    """Every document written as a file, listed, and three kinds of them read back.
+
+    Every eleventh has a byte that is not UTF-8.
+    """
+    root = f"{stage_folder(spark)}/files-{uuid.uuid4().hex}"
+    bytes_of = F.encode(F.coalesce("content", F.lit("")), "utf-8")
+    folders.write_files(views.files(spark, sf).select("path", F.when(
+        c("doc_id") % 11 == 0, F.concat(F.unhex(F.lit("FF")), bytes_of)).otherwise(
+        bytes_of).alias("content")), root)
+    files = repository.read_files(spark, root, [".py", ".md", ".json"])
+    sized = files.withColumn("n_bytes", F.octet_length("content").cast("bigint"))
+    return repository.decoded(sized).select(
+        "repo", "path", "n_bytes", F.md5("content").alias("text_md5"), "reason")
+
+
 @query("token_gate", V + f""", t AS (SELECT {EXT} IN ('.py', '.ts', '.rs') AS is_code,
   length(content) // 4 * 20 AS n FROM files_v WHERE {EXT} NOT IN ('.sh', '.png'))
 SELECT is_code, count(*) AS kept, sum(n)::BIGINT AS tokens FROM t

@@ -7,6 +7,8 @@ findings straight from the events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalog import views
@@ -14,6 +16,9 @@ from catalog.registry import query
 from catalog.views import FINDINGS
 from repograph import normalize
 from repograph.functions import text
+from repograph.operators.findings import global_index
+from repograph.sources import reports as reports_on_disk
+from repograph.stage import stage_folder
 
 BASE = f"""WITH findings_v AS ({FINDINGS}),
 base AS (SELECT *, cast(floor(seq / 32) AS bigint) AS doc_idx, split_part(rule_id, '/', -1) AS kind,
@@ -441,3 +446,58 @@ def analysis_findings(spark, sf):
     out = analyse(mixed_reports(spark, sf), tools=["pyright", "lacheck", "semgrep"]).findings
     return out.select("run_id", "tool", F.coalesce("level", F.lit("warning")).alias("level"),
                       place["uri"].alias("file"), place["start_line"].alias("line"), "message")
+
+
+# --- reports on disk -----------------------------------------------------------------------
+
+# One run is 256 findings; its one tool is chktex or taplo. Every fifth run failed, and of the
+# others some say that they wrote no file.
+_STORED = f"""WITH findings_v AS ({FINDINGS}),
+stored AS (SELECT *, concat('r', cast(cast(floor(seq / 256) AS bigint) AS string)) AS stored_run,
+  CASE WHEN floor(seq / 256) % 2 = 0 THEN 'chktex' ELSE 'taplo' END AS stored_tool,
+  floor(seq / 256) % 5 <> 0 AS success, floor(seq / 256) % 7 <> 3 AS wrote, seq % 9 AS col
+  FROM findings_v)
+"""
+
+
+def _stored(spark, sf) -> DataFrame:
+    run_no = F.floor(F.col("seq") / 256).cast("bigint")
+    return views.raw_findings(spark, sf).select(
+        "seq", "file", "line", "message", (c("seq") % 9).alias("col"),
+        F.concat(F.lit("r"), run_no).alias("run_id"),
+        F.when(run_no % 2 == 0, "chktex").otherwise("taplo").alias("tool"),
+        (run_no % 5 != 0).alias("success"), (run_no % 7 != 3).alias("wrote"))
+
+
+def stored_reports(spark, sf) -> tuple[str, DataFrame]:
+    """A folder of report files made from the events, and what became of each tool."""
+    rows = _stored(spark, sf)
+    place = F.concat_ws(":", "file", "line", "col")
+    item = F.when(c("tool") == "chktex", F.concat(place, F.lit(": Warning: "), c("message"), F.lit(
+        " (Warning "), c("col"), F.lit(").\n"))).otherwise(F.concat(
+            F.lit("error[k"), c("col"), F.lit("]: "), c("message"), F.lit("\n  --> "), place, F.lit("\n")))
+    gathered = F.array_sort(F.collect_list(F.struct("seq", item.alias("text"))))
+    by_run = rows.groupBy("run_id", "tool").agg(
+        F.array_join(F.transform(gathered, lambda x: x["text"]), "").alias("raw"),
+        F.first("success").alias("success"), F.first("wrote").alias("wrote"))
+    root = f"{stage_folder(spark)}/reports-{uuid.uuid4().hex}"
+    reports_on_disk.write_report_files(by_run, root, "txt")
+    return root, by_run.select("run_id", "tool", "success", F.when(c("wrote"), F.concat_ws(
+        "/", "run_id", "tool")).alias("sarif_path"))
+
+
+@query("stored_reports", _STORED + """
+SELECT stored_run AS run_id, row_number() OVER (PARTITION BY stored_run ORDER BY seq) - 1 AS index,
+  stored_tool AS tool, CASE stored_tool WHEN 'chktex' THEN 'chktex/W' ELSE 'taplo/k' END || col
+    AS rule_id, CASE stored_tool WHEN 'chktex' THEN 'warning' ELSE 'error' END AS level, message,
+  file, line::INT AS start_line
+FROM stored WHERE success AND wrote""")
+def read_stored_reports(spark, sf):
+    """Report files written, read back by pieces of 2,000 bytes and normalised."""
+    root, results = stored_reports(spark, sf)
+    pieces = reports_on_disk.read_report_pieces(spark, root, results, split_bytes=2_000)
+    findings = normalize.normalise(pieces, tools=["chktex", "taplo"]).findings
+    place = F.get("locations", F.lit(0))
+    return global_index(findings).select(
+        "run_id", "index", "tool", "rule_id", "level", "message", place["uri"].alias("file"),
+        place["start_line"].alias("start_line"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from repograph.model import (
     ARTIFACT_SCHEMA, FINDING_SCHEMA, ORIGINAL, REJECT_SCHEMA, RULE_SCHEMA, RUN_SCHEMA)
 from repograph.normalize import native
-from repograph.normalize.base import KEYS, Converter, Rule
+from repograph.normalize.base import KEYS, Converter, Rule, parse_lines, report_heads
 from repograph.normalize.json_tools import (
     CARGO_AUDIT, CARGO_UDEPS, HORUSEC, LIZARD, PYRIGHT, SHELLCHECK)
 from repograph.normalize.line_tools import (
@@ -26,6 +26,8 @@ from repograph.operators.ordering import first_n
 CONVERTERS = {c.tool: c for c in (
     PYRIGHT, LIZARD, TRUFFLEHOG, PHPCS, DEPTRAC, HORUSEC, CLIPPY, CARGO_AUDIT, CARGO_DENY,
     CARGO_UDEPS, CHKTEX, LACHECK, TAPLO, SHELLCHECK)}
+# Tools whose reports are lines: such a report may come in pieces.
+LINE_TOOLS = frozenset(name for name, c in CONVERTERS.items() if c.parse is parse_lines)
 # Tools whose output has no converter and is not SARIF either.
 UNREADABLE = {"detect-secrets": "no converter for this format"}
 
@@ -42,7 +44,7 @@ class Normalised:
 def normalise(reports: DataFrame, tools: list[str] | None = None,
               extra: dict[str, Converter] | None = None,
               processed_at: str | None = None) -> Normalised:
-    """Read reports `(run_id, doc_idx, tool, raw)`.
+    """Read reports `(run_id, doc_idx, tool, raw)`, or pieces of them as `read_reports` gives.
 
     `tools` narrows the branches to the tools known to occur; `extra` adds or replaces
     converters by tool name. Documents that cannot be read end up in `rejects`.
@@ -72,14 +74,6 @@ def _shape(reports: DataFrame, df: DataFrame | None, schema: str) -> DataFrame:
         for f in declared])
 
 
-def results_of(reports: DataFrame, converter: Converter) -> DataFrame:
-    """Results of one converter with the rule text they carry."""
-    parsed = converter.parse(reports.where(F.col("tool") == converter.tool))
-    if converter.reason:
-        parsed = parsed.where(converter.reason().isNull())
-    return converter.results(parsed)
-
-
 def rule_catalogue(results: DataFrame, converter: Converter, accepted: DataFrame) -> DataFrame:
     """Rules per report: the first result of each id brings the rule.
 
@@ -114,6 +108,7 @@ def _converted(reports: DataFrame, c: Converter) -> dict[str, DataFrame]:
         rejects = judged.where(F.col("reason").isNotNull()).select(*KEYS, "tool", "reason")
         accepted = judged.where(F.col("reason").isNull())
     results = c.results(accepted)
+    accepted = report_heads(accepted)
     runs = accepted.select(
         *KEYS, F.lit(0).alias("run_idx"), F.lit(c.driver).alias("tool"),
         (c.version() if c.version else F.lit("unknown")).alias("version"),

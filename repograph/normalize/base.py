@@ -2,6 +2,10 @@
 
 A report is one row `(run_id, doc_idx, tool, raw)`. Every converter is a narrow projection:
 parse, explode, select. Nothing shuffles, so all tools together are one map-only stage.
+
+A report of lines may come in several rows, each with whole lines: `offset` is then the number of
+bytes before the row's `raw`, `after` the line behind it. A line has a byte at least, its end, so
+offset + position orders the lines of all pieces.
 """
 
 from __future__ import annotations
@@ -74,7 +78,15 @@ def fields(**columns: Column) -> list[Column]:
 
 def explode_items(df: DataFrame, items: Column, name: str = "item") -> DataFrame:
     """One row per array entry, its position becoming the result ordinal."""
-    return df.select(*KEYS, F.posexplode(items).alias("result_idx", name))
+    if "offset" not in df.columns:
+        return df.select(*KEYS, F.posexplode(items).alias("result_idx", name))
+    return df.select(*KEYS, "offset", F.posexplode(items).alias("_at", name)).select(
+        *KEYS, (F.col("offset") + F.col("_at")).alias("result_idx"), name)
+
+
+def report_heads(df: DataFrame) -> DataFrame:
+    """One row per report: the piece it begins with."""
+    return df.where(F.col("offset") == 0) if "offset" in df.columns else df
 
 
 def parse_lines(df: DataFrame) -> DataFrame:

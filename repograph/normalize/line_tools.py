@@ -178,8 +178,9 @@ _WHERE = r"(?s)\A\s*-->\s*([^:]+):(\d+):(\d+).*\z"
 
 def _taplo(df: DataFrame) -> DataFrame:
     # Each line travels with the line after it: the look-ahead needs no window.
+    behind = F.coalesce("after", F.lit("")) if "after" in df.columns else F.lit("")
     following = F.arrays_zip(F.col("doc").alias("line"), F.slice(
-        F.concat("doc", F.array(F.lit(""))), 2, F.size("doc")).alias("next"))
+        F.concat("doc", F.array(text.strip(behind))), 2, F.size("doc")).alias("next"))
     d = explode_items(df, following)
     d = d.where(F.col("item.line").rlike(_DIAG)).withColumns({
         "g": captured(F.col("item.line"), _DIAG, 3),

@@ -1,51 +1,31 @@
-"""Repository folders as tables of files.
-
-Spark's own file sources leave out empty files and every name that starts with a dot or an
-underscore, `__init__.py` among them. So tasks list and read the folders through Arrow's file
-systems, which know local paths and the usual object stores.
-"""
+"""Repository folders as tables of files."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyarrow import fs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repograph.functions.paths import ends_with_any
+from repograph.sources.folders import list_tree, open_folder, task_count
 
 _BATCH_BYTES = 32 << 20
 
 
-def list_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, repo: str | None = None,
+               budget: int = 10_000) -> DataFrame:
     """Files below a folder as `(repo, path, size)`.
 
-    The driver lists the first level only; the folders in it are listed by tasks. Without a
-    repository name each folder of the first level is a repository.
+    Without a repository name each folder of the first level is a repository, and files beside
+    those folders belong to none and are left out. See `list_tree` for the budget.
     """
-    store, base = fs.FileSystem.from_uri(root.rstrip("/"))
-    entries = store.get_file_info(fs.FileSelector(base))
-    folders = [(repo or e.base_name, e.base_name if repo else "") for e in entries
-               if e.type == fs.FileType.Directory]
-    loose = [(repo, e.base_name, e.size) for e in entries
-             if repo and e.type == fs.FileType.File]
-
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
-        for batch in batches:
-            for name, prefix in batch.itertuples(index=False):
-                top = f"{base}/{prefix or name}"
-                found = store.get_file_info(fs.FileSelector(top, recursive=True))
-                start = len(base if prefix else top) + 1
-                yield pd.DataFrame([(name, e.path[start:], e.size) for e in found
-                                    if e.type == fs.FileType.File],
-                                   columns=["repo", "path", "size"])
-
-    below = spark.createDataFrame(folders, "repo string, prefix string").repartition(
-        max(1, min(len(folders), spark.sparkContext.defaultParallelism * 4))).mapInPandas(
-        listing, "repo string, path string, size bigint")
-    return below.unionByName(spark.createDataFrame(loose, below.schema))
+    found = list_tree(spark, root, budget)
+    if repo:
+        return found.select(F.lit(repo).alias("repo"), "path", "size")
+    first = F.substring_index("path", "/", 1)
+    return found.where(F.col("path").contains("/")).select(
+        first.alias("repo"), F.substr("path", F.length(first) + 2).alias("path"), "size")
 
 
 def read_files(spark: SparkSession, root: str, suffixes: list[str] | None = None,
@@ -60,24 +40,29 @@ def read_files(spark: SparkSession, root: str, suffixes: list[str] | None = None
         listed = listed.where(ends_with_any(F.col("path"), suffixes))
     inside = bool(repo)
 
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_folder(root)
         rows, held = [], 0
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))],
+                names=["repo", "path", "content"])
+
         for batch in batches:
-            for name, path in batch.itertuples(index=False):
+            for name, path in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 with store.open_input_stream(f"{base}/{path}" if inside else
                                              f"{base}/{name}/{path}") as stream:
-                    data = stream.read()
-                rows.append((name, path, data))
-                held += len(data)
+                    rows.append((name, path, stream.read()))
+                held += len(rows[-1][2])
                 if held >= _BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+                    yield gathered()
                     rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["repo", "path", "content"])
+            yield gathered()
 
-    parts = tasks or spark.sparkContext.defaultParallelism * 4
-    return listed.select("repo", "path").repartition(parts, "repo", "path").mapInPandas(
+    return listed.select("repo", "path").repartition(
+        tasks or task_count(spark), "repo", "path").mapInArrow(
         contents, "repo string, path string, content binary")
 
 
@@ -86,6 +71,16 @@ def strict_text(content: Column) -> Column:
     return F.try_validate_utf8(content.cast("string"))
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """Files `(repo, path, content)` with their content as text and a reason.
+
+    A content that `strict_text` refuses becomes null and has a reason; others have none.
+    """
+    text = strict_text(F.col("content"))
+    refused = F.col("content").isNotNull() & text.isNull()
+    return files.withColumns({"content": text, "reason": F.when(refused, "not valid UTF-8")})
+
+
 def repaired_text(content: Column) -> Column:
     """UTF-8 text with invalid bytes replaced."""
     return F.make_valid_utf8(content.cast("string"))
