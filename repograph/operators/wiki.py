@@ -7,7 +7,6 @@ Pages are `(wiki_id, seq, id, title, importance, related, content, ...)`, sectio
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -105,28 +104,42 @@ def root_sections(sections: DataFrame) -> DataFrame:
 def section_tree(sections: DataFrame) -> DataFrame:
     """Sections as shown: `(wiki_id, place, level, id, title)`, sorted by `place`.
 
-    Expands level by level from the roots. A section shows once per reference; unknown references
-    and references back to a section on the way are skipped, so cycles end. Each level is written
-    out, which keeps the plan of a deep tree short.
+    A section shows once per reference; unknown references and references back to a section on the
+    way are skipped, so cycles end.
+
+    Ways from the roots double in length: round r joins the ways of fewer than 2**r references with
+    the jumps, which are all ways of exactly 2**r references from any section, and then the jumps
+    with each other. A tree of depth d takes about log2(d) rounds. Without cycles every jump is the
+    end of a shown way, so there are never more of them than rows of the result. Rounds are written
+    out, which keeps the plans short.
     """
-    known = first_by_id(sections).select("wiki_id", "id", "title", "subsections")
-    edges = staged(known.select("wiki_id", F.col("id").alias("parent"), F.posexplode(
-        "subsections").alias("nth", "id")).join(known.select("wiki_id", "id", "title"),
-                                                ["wiki_id", "id"]))
-    level = staged(root_sections(sections).select("wiki_id", F.array("seq").alias("place"), F.lit(
-        0).alias("level"), "id", F.array("id").alias("way")).join(
-        known.select("wiki_id", "id", "title"), ["wiki_id", "id"]))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        parent = level.withColumnsRenamed({"id": "parent", "title": "_title"})
-        level = staged(parent.join(edges, ["wiki_id", "parent"]).where(
-            ~F.array_contains("way", F.col("id"))).select(
-            "wiki_id", F.array_append("place", F.col("nth")).alias("place"),
-            (F.col("level") + 1).alias("level"), "id", F.array_append("way", F.col("id")).alias(
-                "way"), "title"))
-    shown = reduce(DataFrame.unionByName, levels) if levels else level
-    return shown.select("wiki_id", "place", "level", "id", "title")
+    known = first_by_id(sections).select("wiki_id", "id", "seq", "title", "subsections")
+    place_type = sections.schema["seq"].dataType
+    jumps = staged(known.select("wiki_id", F.col("id").alias("start"), F.posexplode(
+        "subsections").alias("nth", "end")).where("start <> end").join(
+        known.select("wiki_id", F.col("id").alias("end")), ["wiki_id", "end"]).select(
+        "wiki_id", "start", "end", F.array(F.col("nth").cast(place_type)).alias("steps"),
+        F.array("end").alias("way")))
+    ways = staged(root_sections(sections).select("wiki_id", "seq", "id").join(
+        known.select("wiki_id", "id"), ["wiki_id", "id"]).select(
+        "wiki_id", "id", F.array("seq").alias("place"), F.array("id").alias("way")))
+    while True:
+        first, then = ways.alias("f"), jumps.alias("t")
+        longer = staged(first.join(then, F.expr("f.wiki_id = t.wiki_id AND f.id = t.start")).where(
+            "NOT arrays_overlap(f.way, t.way)").selectExpr(
+            "f.wiki_id", "t.end AS id", "concat(f.place, t.steps) AS place",
+            "concat(f.way, t.way) AS way"))
+        # Longer ways begin with one of exactly 2**r references, so none is left when none is found.
+        if longer.isEmpty():
+            break
+        ways = ways.unionByName(longer)
+        first = jumps.alias("f")
+        jumps = staged(first.join(then, F.expr("f.wiki_id = t.wiki_id AND f.end = t.start")).where(
+            "NOT arrays_overlap(f.way, t.way) AND NOT array_contains(t.way, f.start)").selectExpr(
+            "f.wiki_id", "f.start", "t.end", "concat(f.steps, t.steps) AS steps",
+            "concat(f.way, t.way) AS way"))
+    return ways.join(known.select("wiki_id", "id", "title"), ["wiki_id", "id"]).select(
+        "wiki_id", "place", (F.size("place") - 1).alias("level"), "id", "title")
 
 
 def tree_pages(tree: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Wikis, stored tables, prompts."""
 
 import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,67 @@ def test_section_cycle_ends(spark):
     assert got == [(0, "r", "R"), (1, "a", "A"), (2, "b", "B")]
 
 
+_SECTIONS = ("wiki_id bigint, seq bigint, id string, title string, pages array<string>, "
+             "subsections array<string>")
+
+
+def _shown(rows):
+    """The tree by recursion."""
+    first, named = {}, {x for *_, subs in rows for x in subs}
+    for _, _, i, title, _, subs in rows:
+        first.setdefault(i, (title, subs))
+    out = []
+
+    def show(i, place, way):
+        out.append((list(place), len(place) - 1, i, first[i][0]))
+        for n, sub in enumerate(first[i][1]):
+            if sub in first and sub not in way:
+                show(sub, [*place, n], [*way, sub])
+
+    for _, seq, i, *_ in rows:
+        if i not in named:
+            show(i, [seq], [i])
+    return sorted(out)
+
+
+def test_random_trees_with_cycles(spark):
+    rnd = random.Random(4)
+    rows, want = [], []
+    for w in range(40):
+        n = rnd.randrange(1, 13)
+        own = [(w, k, f"s{rnd.randrange(n)}" if rnd.random() < .2 else f"s{k}", f"T{k}", [],
+                [f"s{rnd.randrange(n + 2)}" for _ in range(rnd.randrange(4))]) for k in range(n)]
+        own.append((w, n, "root", "R", [], [f"s{rnd.randrange(n)}" for _ in range(3)]))
+        rows += own
+        want += [(w, *r) for r in _shown(own)]
+    got = wiki.section_tree(spark.createDataFrame(rows, _SECTIONS)).collect()
+    assert sorted((r.wiki_id, r.place, r.level, r.id, r.title) for r in got) == want
+    assert max(r.level for r in got) > 4
+
+
+def test_deep_and_shared_sections(spark, monkeypatch):
+    tables = []
+    staged = wiki.staged
+    monkeypatch.setattr(wiki, "staged", lambda df: tables.append(staged(df)) or tables[-1])
+    chain = [(1, k, f"s{k}", f"T{k}", [], [f"s{k + 1}"]) for k in range(1000)]
+    got = wiki.section_tree(spark.createDataFrame(chain, _SECTIONS)).collect()
+    assert sorted((r.level, r.id) for r in got) == [(k, f"s{k}") for k in range(1000)]
+    assert len(tables) <= 2 + 2 * 11        # two tables a round
+    tables.clear()
+    # Eight layers of two sections that both refer to both of the next: 2**k ways to layer k.
+    layers = [(1, 2 * k + b, f"l{k}{b}", "L", [], [f"l{k + 1}0", f"l{k + 1}1"])
+              for k in range(8) for b in range(2)]
+    shown = wiki.section_tree(spark.createDataFrame(layers, _SECTIONS))
+    assert shown.count() == sum(2 ** (k + 1) for k in range(8))
+    assert max(t.count() for t in tables) <= shown.count()
+
+
+def test_sections_without_roots(spark):
+    ring = [(1, k, f"s{k}", "T", [], [f"s{j}" for j in range(6)]) for k in range(6)]
+    assert wiki.section_tree(spark.createDataFrame(ring, _SECTIONS)).collect() == []
+    assert wiki.section_tree(spark.createDataFrame([], _SECTIONS)).collect() == []
+
+
 @pytest.mark.parametrize("sizes,want", [
     ([("high", 40), ("low", 10)], ["whole", "whole"]),
     ([("high", 95), ("low", 10)], ["whole", "summary"]),
