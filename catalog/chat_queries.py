@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.registry import query
+from catalog.registry import query, table
 from catalog.vector_queries import CHUNKS, RETRIEVED, chunk_id, document_chunks, retrieved, sparse
 from repograph.functions import research
 from repograph.operators import chat, embedding
 from repograph.plans import questions
+from repograph.stage import staged
 
 c = F.col
 
@@ -46,12 +47,12 @@ requests AS (SELECT t.conv_id, t.role = 'user' AS valid, is_research,
   length(t.text) // 4 > 8000 AS too_large
   FROM tops t JOIN research r ON r.conv_id = t.conv_id LEFT JOIN firsts f ON f.conv_id = t.conv_id
   LEFT JOIN messages m ON m.conv_id = f.conv_id AND m.pos = f.pos)"""
-SYSTEM = """about AS (SELECT *, 'https://host/o/r' || (conv_id % 5) AS repo_url,
+SYSTEM = """about AS (SELECT *, 'https://host/o/r' || (conv_id % (SELECT count(DISTINCT source) FROM documents)) AS repo_url,
   CASE conv_id % 3 WHEN 0 THEN 'Français (French)' ELSE 'English' END AS language FROM requests
   WHERE valid),
 asked AS (SELECT *, CASE WHEN NOT is_research THEN 'chat' WHEN iteration = 1 THEN 'first'
     WHEN iteration >= 5 THEN 'final' ELSE 'middle' END AS stage FROM about),
-system AS (SELECT *, stage || ' ' || repo_url || ' r' || (conv_id % 5) || ' web ' || language
+system AS (SELECT *, stage || ' ' || repo_url || ' ' || split_part(repo_url, '/', 5) || ' web ' || language
   || CASE stage WHEN 'middle' THEN ' {iteration} ' || iteration ELSE '' END AS system_prompt
   FROM asked)"""
 
@@ -68,12 +69,12 @@ def _templates(spark):
 
 
 def _about(spark, sf):
-    repo = (c("conv_id") % 5).cast("string")
-    return messages(spark, sf).select("conv_id").distinct().select(
-        "conv_id", F.concat(F.lit("src"), repo).alias("repo"),
-        F.concat(F.lit("https://host/o/r"), repo).alias("repo_url"),
-        F.lit("web").alias("repo_type"),
-        F.when(c("conv_id") % 3 == 0, "fr").when(c("conv_id") % 3 == 1, "xx").alias("language"))
+    """Conversations dealt over all sources of the documents."""
+    return spark.sql("""
+SELECT conv_id, concat('src', n) AS repo, concat('https://host/o/r', n) AS repo_url, 'web' AS repo_type,
+  CASE conv_id % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' END AS language
+FROM (SELECT DISTINCT conv_id, conv_id % (SELECT count(DISTINCT source) FROM {documents}) AS n
+  FROM {messages})""", documents=table(spark, sf, "documents"), messages=messages(spark, sf))
 
 
 @query("dialog_turns", f"""WITH {TURNS}
@@ -152,7 +153,7 @@ dots AS (SELECT conv_id, doc_id, chunk_no, sum(q.value * vec.value) AS dot FROM
   USING (bucket) GROUP BY ALL),
 scored AS (SELECT i.conv_id AS question_id, c.repo || '/' || c.doc_id AS path, c.text,
   c.doc_id * 1000 + c.chunk_no AS chunk_id, coalesce(round(dot, 6), 0) AS score
-  FROM items i JOIN chunks c ON c.repo = 'src' || (i.conv_id % 5) LEFT JOIN dots d
+  FROM items i JOIN chunks c ON c.repo = 'src' || (i.conv_id % (SELECT count(DISTINCT source) FROM documents)) LEFT JOIN dots d
   ON d.conv_id = i.conv_id AND d.doc_id = c.doc_id AND d.chunk_no = c.chunk_no),
 placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)
   AS rank FROM scored QUALIFY rank <= 20), {CONTEXT},
@@ -179,7 +180,7 @@ def prompts(spark, sf):
     chunks = document_chunks(spark, sf).withColumns({
         "chunk_id": chunk_id(),
         "path": F.concat_ws("/", "repo", c("doc_id").cast("string"))})
-    stored = embedding.embed(chunks).drop("embed_error", "batch")
+    stored = staged(embedding.embed(chunks).drop("embed_error", "batch"))
     return _digests(questions.prompts(messages(spark, sf), _about(spark, sf), _templates(spark),
                                       stored,
                                       max_question_tokens=chat.MAX_QUESTION_TOKENS))
@@ -203,7 +204,6 @@ SELECT question_id, sha256('<START_OF_SYS_PROMPT>' || chr(10) || 'sys' || chr(10
   || '<END_OF_USER_PROMPT>' || chr(10)) AS digest
 FROM listed JOIN items i ON i.item_id = question_id""")
 def rendered_templates(spark, sf):
-    from catalog.registry import table
     path = F.when(c("doc_id") % 2 == 1, c("repo")).alias("path")
     listed = retrieved(spark, sf).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", path, "text"))).alias("contexts"))

@@ -9,6 +9,7 @@ from catalog.registry import ORACLES, query, spread, table
 from catalog.views import FILES
 from repograph.operators import embedding, vectors
 from repograph.operators.chunks import split_documents
+from repograph.stage import staged
 
 c = F.col
 
@@ -156,11 +157,13 @@ def nearest_vectors(spark, sf):
     return vectors.nearest_chunks(asked, ragged.withColumnRenamed("vec_id", "chunk_id")).drop("repo")
 
 
-def _benchmark_questions(spark, sf, repos):
-    questions = table(spark, sf, "benchmark").select(c("item_id").alias("question_id"), "text")
-    # Every question goes to one repository.
-    return embedding.embed(questions.withColumn("repo", F.concat(
-        F.lit("src"), c("question_id") % repos))).drop("embed_error", "batch", "text")
+def _benchmark_questions(spark, sf):
+    # Every question goes to one repository, the questions together to all of them.
+    asked = spark.sql(
+        "SELECT item_id AS question_id, text, concat('src', item_id % (SELECT count(DISTINCT source) "
+        "FROM {documents})) AS repo FROM {items}",
+        documents=table(spark, sf, "documents"), items=table(spark, sf, "benchmark"))
+    return embedding.embed(asked).drop("embed_error", "batch", "text")
 
 
 RETRIEVED = f"""WITH {CHUNKS}, {sparse('chunks', 'doc_id, chunk_no', 'vec')},
@@ -170,7 +173,7 @@ dots AS (SELECT item_id, doc_id, chunk_no, sum(q.value * vec.value) AS dot FROM
 scored AS (SELECT i.item_id AS question_id, c.repo, c.doc_id, c.chunk_no, c.text,
   doc_id * 1000 + chunk_no AS chunk_id, coalesce((SELECT round(dot, 6) FROM dots d
     WHERE d.item_id = i.item_id AND d.doc_id = c.doc_id AND d.chunk_no = c.chunk_no), 0) AS score
-  FROM items i JOIN chunks c ON c.repo = 'src' || (i.item_id % 5)),
+  FROM items i JOIN chunks c ON c.repo = 'src' || (i.item_id % (SELECT count(DISTINCT source) FROM documents))),
 hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT
   AS rank FROM scored QUALIFY rank <= 20)"""
 
@@ -180,10 +183,10 @@ def chunk_id():
     return F.shiftleft(c("doc_id").cast("bigint"), 24) + c("chunk_no")
 
 
-def retrieved(spark, sf, repos=5):
-    stored = embedding.embed(document_chunks(spark, sf).withColumn("chunk_id", chunk_id()))
-    hits = vectors.retrieve(_benchmark_questions(spark, sf, repos),
-                            stored.drop("embed_error", "batch"))
+def retrieved(spark, sf):
+    stored = staged(embedding.embed(document_chunks(spark, sf).withColumn("chunk_id", chunk_id()))
+                    .drop("embed_error", "batch"))
+    hits = vectors.retrieve(staged(_benchmark_questions(spark, sf)), stored)
     return hits.withColumn("chunk_id", c("doc_id") * 1000 + c("chunk_no"))
 
 
@@ -194,13 +197,8 @@ def retrieved_chunks(spark, sf):
                                        F.md5(c("text").cast("binary")).alias("digest"))
 
 
-# Questions to every source of the table, not the first five.
-@query("retrieved_chunks_all", ORACLES["retrieved_chunks"].replace(
-    "(i.item_id % 5)", "(i.item_id % (SELECT count(DISTINCT source) FROM documents))"))
-def retrieved_chunks_all(spark, sf):
-    sources = table(spark, sf, "documents").select("source").distinct().count()
-    return retrieved(spark, sf, sources).select("question_id", "repo", "chunk_id", "score", "rank",
-                                                F.md5(c("text").cast("binary")).alias("digest"))
+# The same query under the name it had beside one over five sources.
+retrieved_chunks_all = query("retrieved_chunks_all", ORACLES["retrieved_chunks"])(retrieved_chunks)
 
 
 @query("refreshed_chunks", f"""WITH {CHUNKS}

@@ -1,6 +1,7 @@
-"""Exact search against brute force, on both join paths."""
+"""Exact search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from repograph.operators import embedding, vectors
@@ -27,23 +28,62 @@ def brute(questions, chunks, k):
     return out
 
 
-@pytest.mark.parametrize("limit,parts", [(1 << 20, 1), (0, 5)])
-def test_nearest_matches_brute_force(spark, data, limit, parts):
+@pytest.mark.parametrize("bounds", [
+    {}, {"shard_rows": 50, "part_rows": 2}, {"shard_rows": 1, "part_rows": 1},
+    {"question_block": 2, "chunk_block": 7}])
+@pytest.mark.parametrize("k", [1, 20])
+def test_nearest_matches_brute_force(spark, data, bounds, k):
     questions, chunks = data
     q = spark.createDataFrame(questions, "repo string, question_id bigint, vector array<float>")
     c = spark.createDataFrame(chunks, "repo string, chunk_id bigint, vector array<float>")
-    got = vectors.nearest_chunks(q, c.repartition(parts), k=20, shards=4, question_block=2,
-                                 chunk_block=16, broadcast_bytes=limit).collect()
-    assert {(r.question_id, r.chunk_id, r["rank"]) for r in got} == brute(questions, chunks, 20)
-
-
-def test_small_question_sets_are_broadcast(spark, data):
-    q = spark.createDataFrame(data[0], "repo string, question_id bigint, vector array<float>")
-    c = spark.createDataFrame(data[1], "repo string, chunk_id bigint, vector array<float>")
-    out = vectors.nearest_chunks(q, c)
+    got = vectors.nearest_chunks(q, c.repartition(3), k=k, **bounds).collect()
+    assert {(r.question_id, r.chunk_id, r["rank"]) for r in got} == brute(questions, chunks, k)
+
+
+def test_nearest_of_many_repositories(spark):
+    rng = np.random.default_rng(5)
+    chunks = [(f"r{i % 5000}", i, rng.normal(size=4).round(2).tolist()) for i in range(15_000)]
+    chunks += [("r7", 20_000 + i, rng.normal(size=4).round(2).tolist()) for i in range(15_000)]
+    questions = [(f"r{i}", f"q{i}", rng.normal(size=4).round(2).tolist()) for i in range(0, 5000, 7)]
+    questions += [("r7", f"hot{i}", rng.normal(size=4).round(2).tolist()) for i in range(40)]
+    questions += [("absent", "none", [1.0] * 4)]
+    q = spark.createDataFrame(questions, "repo string, question_id string, vector array<float>")
+    c = spark.createDataFrame(chunks, "repo string, chunk_id bigint, vector array<float>")
+    out = vectors.nearest_chunks(q, c, k=3, shard_rows=2000, part_rows=16)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
-    assert "WindowGroupLimit" in plan
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    got = {(r.question_id, r.chunk_id, r["rank"]) for r in out.collect()}
+    own = {}
+    for r, *chunk in chunks:
+        own.setdefault(r, []).append((r, *chunk))
+    want = set()
+    for one in questions:
+        want |= brute([one], own.get(one[0], []), 3)
+    assert got == want
+
+
+def test_nearest_with_odd_vectors(spark):
+    nan = float("nan")
+    q = spark.createDataFrame([("r", 1, [1.0, 1.0]), ("r", 2, [nan, 1.0]), ("r", 3, None), ("r", 4, [])],
+                              "repo string, question_id int, vector array<float>")
+    c = spark.createDataFrame([("r", ("b", 1), [1.0, 0.0]), ("r", ("a", 2), [0.0, 1.0]),
+                               ("r", ("c", 0), [nan, 1.0]), ("r", ("d", 0), None)],
+                              "repo string, chunk_id struct<d:string,n:int>, vector array<float>")
+    got = vectors.nearest_chunks(q, c).collect()
+    # Structs order the tie; a product that is not a number is no score.
+    assert [(r.question_id, tuple(r.chunk_id), r.score, r["rank"]) for r in got] == [
+        (1, ("a", 2), 1.0, 1), (1, ("b", 1), 1.0, 2)]
+    assert vectors.nearest_chunks(q.limit(0), c).collect() == []
+
+
+def test_best_keeps_the_first_of_equal_scores():
+    rng = np.random.default_rng(1)
+    scores = rng.integers(-3, 4, size=(5, 300)).astype(float)
+    best = vectors._Best(pa.array(range(5)), np.eye(5), 7)
+    for at in range(0, 300, 11):
+        best.add(pa.array(range(at, min(at + 11, 300))), scores[:, at:at + 11].T, 2)
+    for row, line in enumerate(scores):
+        assert best.ids[row].tolist() == np.lexsort((np.arange(300), -line))[:7].tolist()
 
 
 @pytest.mark.parametrize("words,chunks", [(0, 1), (1, 1), (350, 1), (351, 2), (600, 2), (601, 3)])
