@@ -179,7 +179,7 @@ def _streamed(k: int, question_block: int, chunk_block: int, schema: pa.Schema):
 
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = TOP_K,
                    question_block: int = 512, chunk_block: int = 1024,
-                   shard_rows: int = 1 << 16, part_rows: int = 4096) -> DataFrame:
+                   shard_rows: int = 8192, part_rows: int = 4096) -> DataFrame:
     """The k chunks of the question's repository with the largest inner product.
 
     Inputs are `questions(repo, question_id, vector)` and `chunks(repo, chunk_id, vector)`; the
