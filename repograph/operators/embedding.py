@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from repograph.functions.text import nonempty
 from repograph.operators.once import compute_once
+from repograph.operators.skew import split_join
 from repograph.stage import staged
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -106,21 +107,22 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame, embedder: Embedder | N
     """Chunks with vectors, and the cache rows `(text_hash, vector)` this added.
 
     Each distinct text that the cache lacks is embedded once. Failed texts are not cached.
-    The new rows are written out before use: the embedder runs once for them.
+    The new rows are written out before use: the embedder runs once for them. Texts are made
+    distinct before they meet the cache, so a text of very many chunks is one row there.
     """
     keyed = chunks.withColumn("text_hash", F.sha2("text", 256))
     known = cache.limit(0) if force else cache
-    missing = keyed.join(known.select("text_hash"), "text_hash", "left_anti").groupBy(
-        "text_hash").agg(F.first("text").alias("text"))
+    missing = keyed.groupBy("text_hash").agg(F.first("text").alias("text")).join(
+        known.select("text_hash"), "text_hash", "left_anti")
     added = staged(embed(missing, embedder).where(F.size("vector") > 0).select(
         "text_hash", "vector"))
     return with_cached_vectors(keyed, known.unionByName(added)).drop("text_hash"), added
 
 
 def with_cached_vectors(keyed: DataFrame, cache: DataFrame) -> DataFrame:
-    """Vectors by text hash; an empty vector where the text has none."""
+    """Vectors by text hash; an empty vector where the text has none. One text may have most chunks."""
     none = F.array().cast("array<float>")
-    return keyed.join(cache.select("text_hash", "vector"), "text_hash", "left").withColumn(
+    return split_join(keyed, cache.select("text_hash", "vector"), ["text_hash"], "left").withColumn(
         "vector", F.coalesce("vector", none))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repograph.functions import paths, text
 from repograph.model import MERGED_ORDER, first_location, level_name, level_rank
 from repograph.operators.ordering import dense_index, first_n
+from repograph.operators.skew import split_join
+from repograph.stage import staged
 
 
 def level_or_warning() -> Column:
@@ -162,10 +164,10 @@ def explain_findings(findings: DataFrame, rules: DataFrame, wanted: DataFrame) -
     """Rule text for the findings named by `wanted(run_id, index)`.
 
     Only the runs asked about are numbered, and rules are joined after the index lookup, so only
-    the asked findings meet them.
+    the asked findings meet them. One run, or one rule, may have most of the findings.
     """
-    runs = findings.join(wanted.select("run_id").distinct(), "run_id", "left_semi")
-    asked = global_index(runs).join(wanted, ["run_id", "index"], "left_semi")
+    runs = split_join(findings, wanted.select("run_id").distinct(), ["run_id"], "left_semi")
+    asked = staged(global_index(runs).join(wanted, ["run_id", "index"], "left_semi"))
     # One entry per (run, tool, rule id); a later entry replaces an earlier one.
     texts = rules.groupBy("run_id", "tool", "rule_id").agg(
         F.max_by(F.struct("description", "help_uri"), F.struct(
@@ -174,7 +176,7 @@ def explain_findings(findings: DataFrame, rules: DataFrame, wanted: DataFrame) -
         "run_id", "index", "tool", F.coalesce("rule_id", F.lit("unknown")).alias("rule_id"),
         level_or_warning().alias("level"), F.coalesce("message", F.lit("")).alias("message"),
         first_location("uri").alias("file"), first_location("start_line").alias("line"))
-    return flat.join(texts, ["run_id", "tool", "rule_id"], "left").select(
+    return split_join(flat, texts, ["run_id", "tool", "rule_id"], "left").select(
         *flat.columns, F.coalesce("rule.description", F.lit("")).alias("description"),
         F.coalesce("rule.help_uri", F.lit("")).alias("help_uri"))
 
