@@ -276,14 +276,12 @@ edges AS (SELECT run_id, path AS source, unnest(['os/path.py', 'src/' || repo ||
 SELECT run_id, source, target, 'import' AS type FROM edges e
 WHERE EXISTS (SELECT 1 FROM known k WHERE k.run_id = e.run_id AND k.file = e.source)
   OR EXISTS (SELECT 1 FROM known k WHERE k.run_id = e.run_id AND k.file = e.target)""")
-def import_edges(spark, sf, everywhere=False):
-    known = ops.file_nodes(views.file_findings(spark, sf, everywhere).where("level = 'error'"))
+def import_edges(spark, sf):
+    known = ops.file_nodes(views.file_findings(spark, sf).where("level = 'error'"))
     return graph.import_edges(views.code_files(spark, sf), known)
 
 
-@query("import_edges_all", views.over_all_documents(ORACLES["import_edges"]))
-def import_edges_all(spark, sf):
-    return import_edges(spark, sf, everywhere=True)
+import_edges_all = query("import_edges_all", ORACLES["import_edges"])(import_edges)    # its name beside one over fewer documents
 
 
 MODULES = """
@@ -307,16 +305,14 @@ summaries AS (SELECT coalesce(t.run_id, s.run_id) AS run_id, coalesce(t.module,
 
 @query("module_summaries", f"""WITH {LEVELLED}, {FILE_FINDINGS}, {MODULES}
 SELECT * FROM summaries""")
-def module_summaries(spark, sf, everywhere=False):
-    found = views.file_findings(spark, sf, everywhere)
+def module_summaries(spark, sf):
+    found = views.file_findings(spark, sf)
     out = modules.module_summaries(views.code_files(spark, sf), found, 20, 5).drop("file_count")
     return out.withColumns({k: F.array_join(k, ";") for k in ("file_summaries",
                                                               "sample_findings")})
 
 
-@query("module_summaries_all", views.over_all_documents(ORACLES["module_summaries"]))
-def module_summaries_all(spark, sf):
-    return module_summaries(spark, sf, everywhere=True)
+module_summaries_all = query("module_summaries_all", ORACLES["module_summaries"])(module_summaries)    # its name beside one over fewer documents
 
 
 @query("analysis_report", f"""WITH {LEVELLED}, {FILE_FINDINGS}, {MODULES},
@@ -331,7 +327,7 @@ nodes AS (SELECT run_id, file, CASE WHEN contains(file, 'test') OR contains(file
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY place) AS rn,
   count(*) OVER (PARTITION BY run_id, type) AS c FROM nodes),
 edges AS (SELECT run_id, 2 * count(*) AS edges FROM code_files WHERE path LIKE '%.py'
-  AND doc_id IN (SELECT seq % 1000 FROM file_findings) GROUP BY run_id),
+  AND doc_id IN (SELECT seq % {views.DOCUMENT_COUNT} FROM file_findings) GROUP BY run_id),
 serious AS (SELECT *, row_number() OVER (PARTITION BY run_id, level ORDER BY tool, seq) AS rn,
   count(*) OVER (PARTITION BY run_id, level) AS c FROM file_findings
   WHERE level IN ('error', 'warning'))
@@ -359,17 +355,15 @@ UNION ALL SELECT run_id, 3, level, rn, '- **' || rule_id || '** in `' || file ||
   || '` -- ' || message || n FROM serious, nl WHERE rn <= 20
 UNION ALL SELECT run_id, 3, level, 21, '- ... and ' || (c - 20) || ' more' || n FROM serious, nl
   WHERE rn = 1 AND c > 20""")
-def analysis_report(spark, sf, everywhere=False):
+def analysis_report(spark, sf):
     from repograph.plans.code_report import code_report
-    findings, files = views.file_findings(spark, sf, everywhere), views.code_files(spark, sf)
+    findings, files = views.file_findings(spark, sf), views.code_files(spark, sf)
     targets = findings.select("run_id").distinct().withColumn(
         "target", F.concat(F.lit("/repos/"), "run_id"))
     return code_report(findings, findings.select("run_id", "tool").distinct(), files, targets)
 
 
-@query("analysis_report_all", views.over_all_documents(ORACLES["analysis_report"]))
-def analysis_report_all(spark, sf):
-    return analysis_report(spark, sf, everywhere=True)
+analysis_report_all = query("analysis_report_all", ORACLES["analysis_report"])(analysis_report)    # its name beside one over fewer documents
 
 
 # --- addresses ---------------------------------------------------------------------------

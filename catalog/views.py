@@ -110,26 +110,20 @@ def code_files(spark, sf) -> DataFrame:
     return _sql(spark, sf, CODE_FILES, "documents")
 
 
-# Findings of FINDINGS placed in the files of CODE_FILES.
+# Findings of FINDINGS dealt over all files of CODE_FILES.
+DOCUMENT_COUNT = "(SELECT max(doc_id) + 1 FROM documents)"
 FILE_FINDINGS = f"""
 code_files AS ({CODE_FILES}),
 file_findings AS (SELECT v.seq, c.run_id, v.tool, v.rule_id, v.level, c.path AS file, v.line,
-  v.message FROM levelled v JOIN code_files c ON c.doc_id = v.seq % 1000)"""
+  v.message FROM levelled v JOIN code_files c ON c.doc_id = v.seq % {DOCUMENT_COUNT})"""
 
 
-def over_all_documents(sql: str) -> str:
-    """SQL over FILE_FINDINGS with findings dealt over every document of the table."""
-    return sql.replace("seq % 1000", "seq % (SELECT max(doc_id) + 1 FROM documents)")
-
-
-def file_findings(spark, sf, everywhere: bool = False) -> DataFrame:
-    """FILE_FINDINGS; `everywhere` deals the findings over every document, not the first 1,000."""
-    documents = F.lit(1000)
-    if everywhere:
-        documents = F.lit(table(spark, sf, "documents").agg(F.max("doc_id") + 1).first()[0])
-    base = findings(spark, sf).drop("run_id").withColumn("line", F.get(
-        "locations", F.lit(0))["start_line"])
+def file_findings(spark, sf) -> DataFrame:
+    """FILE_FINDINGS in the common finding layout."""
+    dealt = spark.sql("SELECT *, result_idx % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_id "
+                      "FROM {findings}", documents=table(spark, sf, "documents"),
+                      findings=findings(spark, sf).drop("run_id"))
     paths = code_files(spark, sf).select("doc_id", "run_id", "path")
-    placed = base.join(paths, F.col("doc_id") == F.col("result_idx") % documents)
+    placed = dealt.withColumn("line", F.get("locations", F.lit(0))["start_line"]).join(paths, "doc_id")
     return placed.withColumn("locations", one_location(F.col("path"), F.col("line"))).drop(
         "line", "doc_id", "path")

@@ -191,21 +191,15 @@ SELECT wiki_id, 0 AS part, (-1)::BIGINT AS seq, '{{"metadata":{{"repository":"'
   || '","generated_at":"now","page_count":' || (SELECT count(*) FROM pages_v p
     WHERE p.wiki_id = w.wiki_id) || '}},"pages":[' AS text FROM wikis w
 UNION ALL SELECT wiki_id, 2, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY wiki_id) THEN '' ELSE ','
-  END || '{{"id":"' || id || '","title":' || to_json(left(title, 8))::VARCHAR || ',"content":"c","filePaths":["src/'
+  END || '{{"id":"' || id || '","title":' || to_json(title)::VARCHAR || ',"content":' || to_json(content)::VARCHAR || ',"filePaths":["src/'
   || id || '"],"importance":"' || importance || '","relatedPages":["' || related_1 || '","'
   || related_2 || '"]}}' FROM pages_v
 UNION ALL SELECT wiki_id, 3, 0, ']}}' FROM wikis""")
 def json_export(spark, sf):
-    short = pages(spark, sf).withColumns({"content": F.lit("c"), "title": F.left(
-        c("title"), F.lit(8))})
-    return wiki.json_export(_wikis(spark, sf), short, "now")
+    return wiki.json_export(_wikis(spark, sf), pages(spark, sf), "now")
 
 
-# Whole titles and contents.
-@query("json_export_all", ORACLES["json_export"].replace("left(title, 8)", "title").replace(
-    ',"content":"c",', ""","content":' || to_json(content)::VARCHAR || ',"""))
-def json_export_all(spark, sf):
-    return wiki.json_export(_wikis(spark, sf), pages(spark, sf), "now")
+json_export_all = query("json_export_all", ORACLES["json_export"])(json_export)    # its name beside a shortened one
 
 
 # One structure answer per 20 pages of a wiki.

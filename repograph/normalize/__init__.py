@@ -22,6 +22,7 @@ from repograph.normalize.line_tools import (
     CARGO_DENY, CHKTEX, CLIPPY, DEPTRAC, LACHECK, TAPLO, TRUFFLEHOG)
 from repograph.normalize.xml_tools import PHPCS
 from repograph.operators.ordering import first_n
+from repograph.stage import staged
 
 CONVERTERS = {c.tool: c for c in (
     PYRIGHT, LIZARD, TRUFFLEHOG, PHPCS, DEPTRAC, HORUSEC, CLIPPY, CARGO_AUDIT, CARGO_DENY,
@@ -43,17 +44,21 @@ class Normalised:
 
 def normalise(reports: DataFrame, tools: list[str] | None = None,
               extra: dict[str, Converter] | None = None,
-              processed_at: str | None = None) -> Normalised:
-    """Read reports `(run_id, doc_idx, tool, raw)`, or pieces of them as `read_reports` gives.
+              processed_at: str | None = None, keep: bool = False) -> Normalised:
+    """Read reports `(run_id, doc_idx, tool, raw)`, or pieces of them as `read_report_pieces` gives.
 
     `tools` narrows the branches to the tools known to occur; `extra` adds or replaces
     converters by tool name. Documents that cannot be read end up in `rejects`.
+
+    The five results come from one parsed form of each report. With `keep` it is written out, a
+    table per branch, and no report is parsed twice; without, every result parses what it reads.
     """
+    hold = staged if keep else lambda df: df
     known = {**CONVERTERS, **(extra or {})}
     wanted = [c for name, c in known.items() if tools is None or name in tools]
-    parts = [_converted(reports, c) for c in wanted]
+    parts = [_converted(reports, c, hold) for c in wanted]
     if tools is None or any(t not in known for t in tools):
-        parts.append(_native(reports, set(known), processed_at))
+        parts.append(_native(reports, set(known), processed_at, hold))
         parts.append(_unreadable(reports))
     def gather(name):
         have = [p[name] for p in parts if p.get(name) is not None]
@@ -100,11 +105,12 @@ def rule_catalogue(results: DataFrame, converter: Converter, accepted: DataFrame
     return first.unionByName(stated(bare, converter.fallback))
 
 
-def _converted(reports: DataFrame, c: Converter) -> dict[str, DataFrame]:
+def _converted(reports: DataFrame, c: Converter, hold) -> dict[str, DataFrame]:
     mine = c.parse(reports.where(F.col("tool") == c.tool))
-    rejects, accepted = None, mine
+    reason = c.reason() if c.reason else F.lit(None).cast("string")
+    judged = hold(mine.withColumn("reason", reason))
+    rejects, accepted = None, judged
     if c.reason:
-        judged = mine.withColumn("reason", c.reason())
         rejects = judged.where(F.col("reason").isNotNull()).select(*KEYS, "tool", "reason")
         accepted = judged.where(F.col("reason").isNull())
     results = c.results(accepted)
@@ -118,9 +124,9 @@ def _converted(reports: DataFrame, c: Converter) -> dict[str, DataFrame]:
             "rules": rule_catalogue(results, c, accepted), "runs": runs, "rejects": rejects}
 
 
-def _native(reports: DataFrame, converted: set[str], processed_at) -> dict[str, DataFrame]:
+def _native(reports: DataFrame, converted: set[str], processed_at, hold) -> dict[str, DataFrame]:
     mine = reports.where(~F.col("tool").isin(*converted, *UNREADABLE))
-    judged = native.parse(mine).withColumn("reason", native.reason())
+    judged = hold(native.parse(mine).withColumn("reason", native.reason()))
     accepted = judged.where(F.col("reason").isNull())
     return {"findings": native.findings(accepted), "rules": native.rules(accepted),
             "runs": native.runs(accepted, processed_at), "artifacts": native.artifacts(accepted),

@@ -9,6 +9,7 @@ from repograph.functions.text import nonempty, strip
 from repograph.model import MERGED_ORDER
 from repograph.operators.once import compute_once
 from repograph.operators.ordering import first_n
+from repograph.stage import staged
 
 _SCRIPT_SUFFIXES = (".js", ".ts", ".tsx", ".jsx")
 
@@ -48,7 +49,8 @@ def module_summaries(files: DataFrame, findings: DataFrame, max_files: int,
     told = files.select("run_id", "path", paths.directory(F.col("path")).alias("module"),
                         paths.file_name(F.col("path")).alias("name"), "content")
     told = compute_once(told, "purpose", file_purpose(F.col("path"), F.col("content")))
-    told = told.drop("content").where(F.col("purpose").isNotNull())
+    # Three results read this, and the contents are large: written out, they are read once.
+    told = staged(told.drop("content").where(F.col("purpose").isNotNull()))
     shown = first_n(told, ["run_id", "module"], ["name"], max_files).groupBy(
         "run_id", "module").agg(F.transform(F.array_sort(F.collect_list(F.struct(
             "name", F.concat_ws(": ", "name", "purpose").alias("text")))),

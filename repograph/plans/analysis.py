@@ -32,14 +32,15 @@ def analyse(reports: DataFrame, tools: list[str] | None = None,
     """Normalise, merge by tool, deduplicate and count.
 
     Findings need no shuffle for the merge: sorting by tool name is the merged order. The only
-    shuffle of findings is the one on (run, fingerprint). Normalised findings are written out
-    first, so that the several results do not parse the reports again; `keep=False` leaves
-    everything lazy.
+    shuffle of findings is the one on (run, fingerprint). What several results read is written out
+    first: the parsed reports, the findings, the runs and the deduplicated findings. Each report is
+    read and parsed once; `keep=False` leaves everything lazy.
     """
-    raw = normalise(reports, tools, extra)
-    findings = staged(raw.findings) if keep else raw.findings
-    unique = ops.deduplicate(ops.with_fingerprint(findings)).drop("fp")
+    hold = staged if keep else lambda df: df
+    raw = normalise(reports, tools, extra, keep=keep)
+    findings, runs = hold(raw.findings), hold(raw.runs)
+    unique = hold(ops.deduplicate(ops.with_fingerprint(findings)).drop("fp"))
     return Analysis(
-        findings=unique, rules=merge.merge_rules(raw.rules, raw.runs),
-        runs=merge.merge_runs(raw.runs), rejects=raw.rejects,
-        metrics=ops.run_metrics(unique, raw.runs), artifacts=ops.artifacts(findings).unionByName(raw.artifacts).distinct())
+        findings=unique, rules=merge.merge_rules(raw.rules, runs), runs=merge.merge_runs(runs),
+        rejects=raw.rejects, metrics=ops.run_metrics(unique, runs),
+        artifacts=ops.artifacts(findings).unionByName(raw.artifacts).distinct())

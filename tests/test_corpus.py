@@ -180,5 +180,5 @@ def test_findings_reach_every_document(spark, tmp_path):
     spark.range(2500).select(
         F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("e").alias("event_type"),
         F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
-    found = views.file_findings(spark, str(tmp_path), everywhere=True)
+    found = views.file_findings(spark, str(tmp_path))
     assert found.select(F.explode("locations.uri")).distinct().count() == 2500
