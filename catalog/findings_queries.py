@@ -8,7 +8,7 @@ from catalog import views
 from catalog.registry import query, table
 from catalog.views import FINDINGS, LEVELLED, TOOL_RESULTS
 from repograph.functions import severity, text
-from repograph.model import one_location
+from repograph.model import PROPERTIES, one_location
 from repograph.operators import findings as ops, merge, sarif
 
 NORMAL = r"""
@@ -351,7 +351,7 @@ def unified_sarif(spark, sf):
     merged = every.select("run_id", "tool").distinct().select(
         "run_id", "tool", F.lit("unknown").alias("version"),
         F.lit(None).cast("string").alias("extensions"),
-        F.lit(None).cast("map<string,string>").alias("properties"))
+        F.lit(None).cast(PROPERTIES).alias("properties"))
     rules = every.groupBy("run_id", "tool", "rule_id").agg(F.min("result_idx").alias("rule_idx"))
     rules = rules.select(
         "run_id", "tool", "rule_id", "rule_idx", F.lit(0).cast("bigint").alias("doc_idx"),
@@ -381,7 +381,7 @@ def line_findings(spark, sf):
         F.col("seq").alias("result_idx"), "tool", "rule_id", "level", "message",
         one_location(F.col("file"), F.col("line")).alias("locations"),
         F.lit(None).cast("map<string,string>").alias("fingerprints"),
-        F.lit(None).cast("map<string,string>").alias("properties"))
+        F.lit(None).cast(PROPERTIES).alias("properties"))
 
 
 @query("line_item_metrics", f"""WITH f AS ({LINE_FINDINGS}),

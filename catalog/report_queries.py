@@ -55,7 +55,8 @@ def reports(df: DataFrame, tool: str, item, prefix="", suffix="", separator="\n"
 
 def flatten(findings: DataFrame) -> DataFrame:
     place = F.get("locations", F.lit(0))
-    entries = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws(
+    shown = F.transform_values("properties", lambda k, v: v.cast("string"))
+    entries = F.transform(F.array_sort(F.map_entries(shown)), lambda e: F.concat_ws(
         "=", e["key"], e["value"]))
     return findings.select(
         "run_id", "doc_idx", "result_idx", "rule_id", "level", "message",
@@ -355,8 +356,10 @@ FROM (SELECT DISTINCT run_id, doc_idx FROM base), (SELECT unnest([0, 1])::INT AS
 def sarif_run_properties(spark, sf):
     raw = _sarif_reports(base(spark, sf), "trivy")
     runs = normalize.normalise(raw, tools=["trivy"], processed_at="now").runs
-    return runs.select("run_id", "doc_idx", "run_idx", "version",
-                       F.element_at("properties", F.lit("normalizer")).alias("stamp"))
+    own = F.element_at("properties", F.lit("normalizer"))
+    stamp = F.struct(*[F.variant_get(own, f"$.{k}", "string").alias(k) for k in (
+        "converter", "originalTool", "category", "processedAt")])
+    return runs.select("run_id", "doc_idx", "run_idx", "version", F.to_json(stamp).alias("stamp"))
 
 
 @query("rejected_reports", BASE + """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.registry import table
 from repograph.functions.severity import map_severity
-from repograph.model import one_location
+from repograph.model import PROPERTIES, one_location
 
 FILES = """
 SELECT doc_id, concat('src/', source, '/', lang, '/', CASE doc_id % 6 WHEN 0 THEN 'test_'
@@ -75,7 +75,7 @@ def findings(spark, sf) -> DataFrame:
         map_severity(F.col("tool"), F.col("native_severity")).alias("level"), "message",
         one_location(F.col("file"), F.col("line")).alias("locations"),
         F.lit(None).cast("map<string,string>").alias("fingerprints"),
-        F.lit(None).cast("map<string,string>").alias("properties"))
+        F.lit(None).cast(PROPERTIES).alias("properties"))
 
 
 def flat_findings(spark, sf) -> DataFrame:

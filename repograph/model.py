@@ -19,12 +19,15 @@ LEVEL_RANK = {"error": 3, "warning": 2, "note": 1, "none": 0}
 
 LOCATION = "struct<uri:string,start_line:int,start_col:int,end_line:int,end_col:int>"
 
+# Property values of any kind: text, numbers, booleans, lists and objects stay what they are.
+PROPERTIES = "map<string,variant>"
+
 # One row per SARIF result. `level` is null where a native document omitted it.
 FINDING_SCHEMA = (
     "run_id string, doc_idx bigint, run_idx int, result_idx bigint, tool string, "
     "rule_id string, level string, message string, "
     f"locations array<{LOCATION}>, "
-    "fingerprints map<string,string>, properties map<string,string>"
+    f"fingerprints map<string,string>, properties {PROPERTIES}"
 )
 RULE_SCHEMA = (
     "run_id string, doc_idx bigint, run_idx int, rule_idx bigint, tool string, "
@@ -32,7 +35,7 @@ RULE_SCHEMA = (
 )
 RUN_SCHEMA = (
     "run_id string, doc_idx bigint, run_idx int, tool string, version string, "
-    "extensions string, properties map<string,string>"
+    f"extensions string, properties {PROPERTIES}"
 )
 # JSON text of a native result or rule as it was written; null where a converter made the row.
 ORIGINAL = "original string"

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from repograph.model import (
-    ARTIFACT_SCHEMA, FINDING_SCHEMA, ORIGINAL, REJECT_SCHEMA, RULE_SCHEMA, RUN_SCHEMA)
+    ARTIFACT_SCHEMA, FINDING_SCHEMA, ORIGINAL, PROPERTIES, REJECT_SCHEMA, RULE_SCHEMA, RUN_SCHEMA)
 from repograph.normalize import native
 from repograph.normalize.base import KEYS, Converter, Rule, parse_lines, report_heads
 from repograph.normalize.json_tools import (
@@ -119,7 +119,7 @@ def _converted(reports: DataFrame, c: Converter, hold) -> dict[str, DataFrame]:
         *KEYS, F.lit(0).alias("run_idx"), F.lit(c.driver).alias("tool"),
         (c.version() if c.version else F.lit("unknown")).alias("version"),
         F.lit(None).cast("string").alias("extensions"),
-        F.lit(None).cast("map<string,string>").alias("properties"))
+        F.lit(None).cast(PROPERTIES).alias("properties"))
     return {"findings": results.drop("rule_name", "rule_description"),
             "rules": rule_catalogue(results, c, accepted), "runs": runs, "rejects": rejects}
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repograph.functions import text
-from repograph.model import LOCATION
+from repograph.model import LOCATION, PROPERTIES
 from repograph.operators.once import compute_once
 
 KEYS = ["run_id", "doc_idx"]
@@ -26,7 +26,7 @@ RESULT_COLUMNS = {
     "run_id": "string", "doc_idx": "bigint", "run_idx": "int", "result_idx": "bigint",
     "tool": "string", "rule_id": "string", "level": "string", "message": "string",
     "locations": f"array<{LOCATION}>", "fingerprints": "map<string,string>",
-    "properties": "map<string,string>", "rule_name": "string", "rule_description": "string",
+    "properties": PROPERTIES, "rule_name": "string", "rule_description": "string",
 }
 
 
@@ -120,7 +120,8 @@ def as_int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def drop_null_values(entries: Column) -> Column:
-    """Map without the entries that have no value; null when none remain."""
-    kept = F.map_filter(entries, lambda k, v: v.isNotNull())
+def property_map(**values: Column) -> Column:
+    """Properties by name, each with its own type; null when no value is left."""
+    pairs = [x for name, value in values.items() for x in (F.lit(name), value.cast("variant"))]
+    kept = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
     return F.when(F.size(kept) > 0, kept)

@@ -8,7 +8,7 @@ from repograph.functions import text
 from repograph.functions.severity import map_severity
 from repograph.model import one_location
 from repograph.normalize.base import (
-    KEYS, Converter, Rule, as_int, drop_null_values, explode_items, fields, finish, json_reason,
+    KEYS, Converter, Rule, as_int, property_map, explode_items, fields, finish, json_reason,
     parse_json)
 from repograph.operators.once import compute_once
 
@@ -76,10 +76,9 @@ def _horusec(df: DataFrame) -> DataFrame:
         message=F.when(details != "", details).otherwise(detected),
         locations=F.when(file != "", one_location(file, line, F.when(column >= 1, column))),
         fingerprints=F.create_map(F.lit("horusec/v1"), F.sha2(source, 256)),
-        properties=drop_null_values(F.create_map(
-            F.lit("securityTool"), tool, F.lit("language"), text.nonempty(get("language")),
-            F.lit("codeSnippet"), text.nonempty(get("code")),
-            F.lit("confidence"), text.nonempty(get("confidence")))),
+        properties=property_map(
+            securityTool=tool, language=text.nonempty(get("language")),
+            codeSnippet=text.nonempty(get("code")), confidence=text.nonempty(get("confidence"))),
         rule_name=F.concat(F.lit("horusec: "), tool),
         rule_description=F.concat(detected, F.lit(" via Horusec.")))), "horusec")
 
@@ -109,8 +108,7 @@ def _cargo_audit(df: DataFrame) -> DataFrame:
                        F.when(url != "", F.concat(F.lit(" -- "), url)).otherwise(""))
     return finish(d.select(*KEYS, "result_idx", *fields(
         rule_id=F.concat(F.lit("cargo-audit/"), advisory), level=F.lit("error"), message=message,
-        properties=F.create_map(F.lit("package"), package, F.lit("version"), version,
-                                F.lit("advisory_url"), url),
+        properties=property_map(package=package, version=version, advisory_url=url),
         rule_name=advisory,
         rule_description=text.first_nonempty(F.col("item.advisory.description"), title))),
         "cargo-audit")
@@ -186,8 +184,8 @@ def _cargo_udeps(df: DataFrame) -> DataFrame:
     return finish(names.select(*KEYS, *fields(
         result_idx=place, rule_id=F.lit(_UDEPS_RULE.rule_id), level=F.lit("warning"),
         message=message,
-        properties=F.create_map(F.lit("crate"), F.col("crate"), F.lit("dependency"), name,
-                                F.lit("kind"), F.col("kind")))), "cargo-udeps")
+        properties=property_map(crate=F.col("crate"), dependency=name, kind=F.col("kind")))),
+        "cargo-udeps")
 
 
 _UDEPS_RULE = Rule("cargo-udeps/unused-dependency", "Unused dependency",
@@ -279,8 +277,7 @@ def lizard(threshold: int = 10) -> Converter:
             result_idx=place, rule_id=F.lit(rule.rule_id), level=F.lit("warning"), message=message,
             locations=one_location(text.first_nonempty(filename, value("file")), start, None,
                                    number("end_line", "end")),
-            properties=F.create_map(F.lit("cyclomaticComplexity"), cc, F.lit("functionName"),
-                                    name)))
+            properties=property_map(cyclomaticComplexity=F.col("cc_value"), functionName=name)))
 
     def results(df: DataFrame) -> DataFrame:
         return finish(json_functions(df).unionByName(csv_functions(df)), "lizard")

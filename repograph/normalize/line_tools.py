@@ -8,8 +8,8 @@ from repograph.functions import text
 from repograph.functions.severity import map_severity
 from repograph.model import one_location
 from repograph.normalize.base import (
-    KEYS, Converter, Rule, as_int, captured, drop_null_values, explode_items, fields, finish,
-    json_lines, parse_lines)
+    KEYS, Converter, Rule, as_int, captured, explode_items, fields, finish,
+    json_lines, parse_lines, property_map)
 from repograph.operators.once import compute_once
 
 
@@ -44,8 +44,7 @@ def _trufflehog(df: DataFrame) -> DataFrame:
         rule_id=F.concat(F.lit("trufflehog/"), detector), level=level, message=message,
         locations=F.when(file != "", one_location(file, line)),
         fingerprints=F.create_map(F.lit("trufflehog/v1"), mark),
-        properties=F.create_map(F.lit("detector"), detector, F.lit("verified"),
-                                verified.cast("string")),
+        properties=property_map(detector=detector, verified=verified),
         rule_name=F.concat(F.lit("trufflehog: "), detector),
         rule_description=F.concat(F.lit("Secret detected by the "), detector,
                                   F.lit(" detector.")))), "trufflehog")
@@ -163,8 +162,7 @@ def _deptrac(df: DataFrame) -> DataFrame:
         rule_id=F.lit(_DEPTRAC_RULE.rule_id), level=F.lit("warning"),
         locations=F.when(F.col("file") != "", one_location(F.col("file"), F.col("at"))),
         fingerprints=F.create_map(F.lit("deptrac/v1"), mark),
-        properties=drop_null_values(F.create_map(
-            F.lit("sourceLayer"), layer(1), F.lit("targetLayer"), layer(2))))), "deptrac")
+        properties=property_map(sourceLayer=layer(1), targetLayer=layer(2)))), "deptrac")
 
 
 DEPTRAC = Converter("deptrac", "deptrac", parse_lines, _deptrac, always=_DEPTRAC_RULE)

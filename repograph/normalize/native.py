@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repograph.functions import text
-from repograph.model import LOCATION, SARIF_VERSION
+from repograph.model import LOCATION, PROPERTIES, SARIF_VERSION
 from repograph.normalize.base import KEYS, as_int
 from repograph.operators.once import compute_once
 
@@ -20,12 +20,12 @@ CATEGORIES = {
 _REGION = "struct<startLine:string,startColumn:string,endLine:string,endColumn:string>"
 _RESULT = ("struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<"
            f"physicalLocation:struct<artifactLocation:struct<uri:string>,region:{_REGION}>>>,"
-           "fingerprints:map<string,string>,properties:map<string,string>>")
+           f"fingerprints:map<string,string>,properties:{PROPERTIES}>")
 _RULE = ("struct<id:string,name:string,fullDescription:struct<text:string>,"
          "defaultConfiguration:struct<level:string>,helpUri:string>")
 _DOCUMENT = ("`$schema` string, version string, runs array<struct<tool:struct<driver:struct<"
              f"name:string,version:string,rules:array<{_RULE}>>,extensions:string>,"
-             f"results:array<{_RESULT}>,properties:map<string,string>>>")
+             f"results:array<{_RESULT}>,properties:{PROPERTIES}>>")
 # Results and rules once more as they were written, with all that the typed columns do not hold.
 _GIVEN = ("runs array<struct<tool:struct<driver:struct<rules:array<string>>>,results:array<string>,"
           "artifacts:array<struct<location:struct<uri:string>>>>>")
@@ -112,10 +112,10 @@ def runs(accepted: DataFrame, processed_at: str | None = None) -> DataFrame:
     when = F.lit(processed_at) if processed_at else F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
         "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    stamp = F.to_json(F.struct(
+    stamp = F.to_variant_object(F.struct(
         F.lit("passthrough").alias("converter"), F.col("report_tool").alias("originalTool"),
         category.alias("category"), when.alias("processedAt")))
-    own = F.map_filter(F.coalesce("run.properties", F.create_map().cast("map<string,string>")),
+    own = F.map_filter(F.coalesce("run.properties", F.create_map().cast(PROPERTIES)),
                        lambda k, v: k != "normalizer")
     return _runs(accepted).select(
         *KEYS, "run_idx", F.col("run.tool.driver.name").alias("tool"),

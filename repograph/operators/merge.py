@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from repograph.functions.text import nonempty
 from repograph.operators.ordering import first_n
@@ -23,9 +23,14 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         F.min_by(F.coalesce("version", F.lit("unknown")), place).alias("_first"),
         F.min_by(F.coalesce("extensions", F.lit("")), place).alias("_extensions"))
     entries = runs.select("run_id", "tool", *PLACE, F.explode("properties").alias("key", "value"))
+    kind = runs.schema["properties"].dataType
+    typed = isinstance(kind, T.MapType) and isinstance(kind.valueType, T.VariantType)
+    # Values of any kind have no order; as JSON text they can be sorted with their keys.
+    value = F.to_json("value") if typed else F.col("value")
+    read = (lambda k, v: F.parse_json(v)) if typed else (lambda k, v: v)
     properties = entries.groupBy("run_id", "tool", "key").agg(
-        F.min_by("value", place).alias("value")).groupBy("run_id", "tool").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+        F.min_by(value, place).alias("value")).groupBy("run_id", "tool").agg(F.transform_values(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))), read)
         .alias("properties"))
     return merged.join(properties, ["run_id", "tool"], "left").select(
         "run_id", "tool", F.coalesce("_last", "_first").alias("version"),

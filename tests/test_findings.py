@@ -168,7 +168,7 @@ def test_unified_document_is_json(spark, tmp_path):
     assert c["results"][0]["message"]["text"] == "odd"
     uris = [{"location": {"uri": "m.tex"}}, {"location": {"uri": "x.py"}}]
     assert a["artifacts"] == b["artifacts"] == uris
-    assert json.loads(b["properties"]["normalizer"])["originalTool"] == "semgrep"
+    assert b["properties"]["normalizer"]["originalTool"] == "semgrep"
     assert normalise(reports, tools=["semgrep", "lacheck"]).rejects.count() == 0
 
 
@@ -217,6 +217,7 @@ def test_unified_document_keeps_what_native_reports_carry(spark, tmp_path):
               "properties": {"score": 7.5, "nested": {"on": True, "n": None}, "text": "7"}}
     plain = {"ruleId": "S", "level": "weird", "message": {"id": "default", "arguments": ["é"]}, "rank": 1.5}
     source = {"runs": [{"tool": {"driver": {"name": "b", "rules": [rule]}}, "results": [result, plain],
+                        "properties": {"n": 3, "on": False, "nested": {"list": [1, "2", None]}, "t": "4"},
                         "artifacts": [{"location": {"uri": "unnamed.py"}}, {"location": {"uri": "x.py"}}]}]}
     reports = spark.createDataFrame([("run1", 0, "semgrep", json.dumps(source))],
                                     "run_id string, doc_idx bigint, tool string, raw string")
@@ -227,3 +228,29 @@ def test_unified_document_keeps_what_native_reports_carry(spark, tmp_path):
     del result["ruleIndex"]  # rules are merged: the number no longer holds
     assert run["results"] == [result, {**plain, "level": "warning", "message": {**plain["message"], "text": ""}}]
     assert run["artifacts"] == [{"location": {"uri": u}} for u in ("unnamed.py", "x.py")]
+    stamp = run["properties"].pop("normalizer")
+    assert run["properties"] == source["runs"][0]["properties"] and stamp["converter"] == "passthrough"
+
+
+def test_properties_of_converted_tools_keep_their_types(spark, tmp_path):
+    from repograph.plans.analysis import analyse
+    from repograph.sources.documents import read_document, write_documents
+    secret = {"DetectorName": "AWS", "Raw": "secret", "Verified": True}
+    raws = {"trufflehog": json.dumps(secret), "lizard": json.dumps(
+        [{"filename": "a.py", "function_list": [{"name": "f", "cyclomatic_complexity": 12}]}])}
+    reports = spark.createDataFrame([("run1", i, t, raws[t]) for i, t in enumerate(sorted(raws))],
+                                    "run_id string, doc_idx bigint, tool string, raw string")
+    out = analyse(reports, tools=list(raws))
+    write_documents(out.document(), str(tmp_path / "docs"), "run_id", sarif.FRAGMENT_ORDER)
+    runs = json.loads(read_document(spark, str(tmp_path / "docs"), "run_id", "run1"))["runs"]
+    held = {r["tool"]["driver"]["name"]: r["results"][0]["properties"] for r in runs}
+    assert held == {"lizard": {"cyclomaticComplexity": 12, "functionName": "f"},
+                    "trufflehog": {"detector": "AWS", "verified": True}}
+
+
+def test_merged_run_properties_of_any_kind(spark):
+    runs = spark.sql("""SELECT 'r' AS run_id, d AS doc_idx, 0 AS run_idx, 't' AS tool, '1' AS version,
+      CAST(NULL AS string) AS extensions, from_json(p, 'map<string,variant>') AS properties
+      FROM VALUES (0L, '{"b":{"x":[1,true]},"a":1}'), (1L, '{"a":"later","c":null}'), (2L, NULL) AS t(d, p)""")
+    row, = merge.merge_runs(runs).select(F.to_json("properties")).collect()
+    assert row[0] == '{"a":1,"b":{"x":[1,true]},"c":null}'

@@ -20,6 +20,11 @@ def run(spark, reports, **options):
     return normalise(df, tools=[t for t, _ in reports], **options)
 
 
+def values(properties):
+    """A property map as Python values, each of its own type."""
+    return {k: v.toPython() for k, v in properties.items()}
+
+
 def findings(spark, tool, raw):
     out = run(spark, [(tool, raw)]).findings.orderBy("doc_idx", "run_idx", "result_idx").collect()
     return [(r.rule_id, r.level, r.message,
@@ -41,7 +46,7 @@ def test_sarif(spark):
     assert second.level is None and second.locations is None
     rule = out.rules.collect()[0]
     assert (rule.rule_id, rule.description, rule.tool) == ("R1", "d", "t")
-    props = json.loads(out.runs.collect()[0].properties["normalizer"])
+    props = out.runs.collect()[0].properties["normalizer"].toPython()
     assert props == {"converter": "passthrough", "originalTool": "semgrep", "category": "sast",
                      "processedAt": "2024-01-01T00:00:00Z"}
 
@@ -105,7 +110,7 @@ def test_trufflehog(spark):
         "trufflehog/AWS", "error", "VERIFIED secret detected by AWS: AKIA****")
     assert a.locations[0].start_line == 1 and b.locations[0].start_line == 7
     assert a.fingerprints == {"trufflehog/v1": sha("AWS:a.env:" + sha("AKIA12345"))}
-    assert a.properties == {"detector": "AWS", "verified": "true"}
+    assert values(a.properties) == {"detector": "AWS", "verified": True}
     assert (b.rule_id, b.level, b.message) == (
         "trufflehog/unknown-detector", "warning", "unverified secret detected by unknown-detector: ****")
     empty = run(spark, [("trufflehog", "noise")])
@@ -122,7 +127,7 @@ def test_horusec(spark):
     assert (a.rule_id, a.level, a.message) == ("horusec/gosec/abcdef012345", "error", "d")
     assert tuple(a.locations[0]) == ("a.go", 42, None, None, None)
     assert a.fingerprints == {"horusec/v1": sha("abcdef0123456789")}
-    assert a.properties == {"securityTool": "GoSec"}
+    assert values(a.properties) == {"securityTool": "GoSec"}
     assert (b.rule_id, b.level, b.message) == (
         "horusec/horusec", "warning", "Vulnerability detected by horusec")
     assert b.fingerprints == {"horusec/v1": sha("b:1:")}
@@ -135,7 +140,7 @@ def test_deptrac(spark):
     out = run(spark, [("deptrac", raw)])
     a, b, c = out.findings.orderBy("result_idx").collect()
     assert a.message == "A must not depend on B (LayerA -> LayerB)"
-    assert a.properties == {"sourceLayer": "LayerA", "targetLayer": "LayerB"}
+    assert values(a.properties) == {"sourceLayer": "LayerA", "targetLayer": "LayerB"}
     assert a.fingerprints == {"deptrac/v1": sha("src/A.php:42:" + a.message)}
     assert (b.locations[0].uri, b.locations[0].start_line, b.properties) == ("src/C.php", 1, None)
     assert c.message == r"App\X must not depend on Y" and c.locations is None
