@@ -263,10 +263,30 @@ SELECT repo, unnest(['semgrep', 'trivy', 'horusec', 'lizard', 'trufflehog', 'det
   'ggshield']) FROM pairs""")
 def tools_per_language(spark, sf):
     languages = detect.detected_languages(marked_files(spark, sf))
-    registry = detect.tool_registry(spark).withColumnRenamed("languages", "fits")
-    fits = F.array_contains("fits", "*") | F.arrays_overlap("fits", "languages")
     # The registry has 32 rows by definition.
-    return languages.join(F.broadcast(registry), fits).select("repo", "name")
+    return detect.tools_per_language(languages, detect.tool_registry(spark))
+
+
+@query("tool_lookups", f"""WITH findings_v AS ({views.FINDINGS}),
+counts AS (SELECT tool AS name, count(*) AS findings FROM findings_v GROUP BY tool)
+SELECT lookup, name, findings FROM counts JOIN (VALUES ('name', 'clippy'), ('security', 'trivy'),
+  ('security', 'bandit'), ('security', 'horusec'), ('quality', 'pyright'), ('quality', 'clippy'),
+  ('python or go', 'bandit'), ('python or go', 'pyright'), ('python or go', 'trivy'),
+  ('python or go', 'horusec')) AS found(lookup, name) USING (name)""")
+def tool_lookups(spark, sf):
+    """Findings of the tools that the registry finds by name, category and language."""
+    known = detect.tool_registry(spark)
+    found = {"name": detect.tools_by_name(known, "clippy"),
+             "security": detect.tools_by_category(known, "security"),
+             "quality": detect.tools_by_category(known, "quality"),
+             "python or go": detect.tools_for_languages(known, F.array(F.lit("python"), F.lit("go")))}
+    counts = views.raw_findings(spark, sf).groupBy(c("tool").alias("name")).agg(
+        F.count(F.lit(1)).alias("findings"))
+    parts = [tools.select(F.lit(label).alias("lookup"), "name") for label, tools in found.items()]
+    listed = parts[0]
+    for p in parts[1:]:
+        listed = listed.unionByName(p)
+    return counts.join(F.broadcast(listed), "name").select("lookup", "name", "findings")
 
 
 @query("import_edges", f"""WITH {LEVELLED}, {FILE_FINDINGS},

@@ -16,6 +16,7 @@ from catalog.registry import query
 from catalog.views import FINDINGS
 from repograph import normalize
 from repograph.functions import text
+from repograph.model import one_location
 from repograph.operators.findings import global_index
 from repograph.sources import reports as reports_on_disk
 from repograph.stage import stage_folder
@@ -451,6 +452,34 @@ def analysis_findings(spark, sf):
                       place["uri"].alias("file"), place["start_line"].alias("line"), "message")
 
 
+# --- a converter of one's own ---
+
+
+def _own_results(df):
+    """Lines `rule|file|line|message`; other lines are left out."""
+    lines_of = normalize.base.explode_items(df, c("doc"), "line")
+    cells = lines_of.withColumn("x", F.split("line", r"\|", 4)).where(F.size("x") == 4)
+    cell = lambda k: F.get("x", F.lit(k))
+    return normalize.base.finish(cells.select(*normalize.base.KEYS, "result_idx", *normalize.base.fields(
+        rule_id=F.concat(F.lit("own/"), cell(0)), level=F.lit("note"), message=cell(3),
+        locations=one_location(cell(1), cell(2).try_cast("int")),
+        properties=normalize.base.property_map(length=F.length("line")),
+        rule_name=cell(0), rule_description=F.lit("stated by the converter"))), "own-tool")
+
+
+OWN = normalize.base.Converter("own", "own-tool", normalize.base.parse_lines, _own_results)
+
+
+@query("own_converter", _expected(
+    "'own/' || kind", "'note'", "message", "kind <> 'signup'",
+    props="'length=' || (length(kind) + length(file) + length(line::VARCHAR) + length(message) + 3)"))
+def own_converter(spark, sf):
+    item = F.when(c("kind") == "signup", "not of this form").otherwise(
+        F.concat_ws("|", "kind", "file", "line", "message"))
+    raw = reports(base(spark, sf), "own", item)
+    return flatten(normalize.normalise(raw, tools=["own"], extra={"own": OWN}).findings)
+
+
 # --- reports on disk -----------------------------------------------------------------------
 
 # One run is 256 findings; its one tool is chktex or taplo. Every fifth run failed, and of the

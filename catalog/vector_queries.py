@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -9,7 +11,8 @@ from catalog.registry import ORACLES, query, spread, table
 from catalog.views import FILES
 from repograph.operators import embedding, vectors
 from repograph.operators.chunks import split_documents
-from repograph.stage import staged
+from repograph.sources.chunk_store import load_chunks, save_chunks
+from repograph.stage import stage_folder, staged
 
 c = F.col
 
@@ -215,6 +218,22 @@ def refreshed_chunks(spark, sf):
         F.size("vector") == 1, "stored").otherwise("fresh").alias("origin"))
 
 
+@query("stored_chunks", f"""WITH {CHUNKS}
+SELECT repo, doc_id, chunk_no, md5(text) AS digest, CASE WHEN repo IN ('src1', 'src2') THEN 9 ELSE 1
+  END::DOUBLE AS value FROM chunks WHERE repo <> 'src3'""")
+def stored_chunks(spark, sf):
+    """Chunks saved, those of two repositories replaced, and read back but for one repository."""
+    path = f"{stage_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks = document_chunks(spark, sf)
+    valued = lambda df, x: df.withColumn("vector", F.array(F.lit(x)).cast("array<float>"))
+    save_chunks(valued(chunks, 1.0), path)
+    save_chunks(valued(chunks.where(c("repo").isin("src1", "src2")), 9.0), path)
+    repos = [r["repo"] for r in load_chunks(spark, path).select("repo").distinct().collect()]
+    return load_chunks(spark, path, [r for r in repos if r != "src3"]).select(
+        "repo", "doc_id", "chunk_no", F.md5(c("text").cast("binary")).alias("digest"),
+        F.get("vector", F.lit(0)).cast("double").alias("value"))
+
+
 @query("cached_embeddings", f"""WITH {CHUNKS}, known AS (SELECT DISTINCT text FROM chunks
   WHERE repo IN ('src1', 'src2'))
 SELECT repo, count(*) FILTER (text IN (SELECT text FROM known)) AS hits,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -10,6 +12,7 @@ from catalog.views import WIKI_PAGES
 from repograph.functions import text, wiki_text
 from repograph.operators import wiki
 from repograph.sources import wiki_store
+from repograph.stage import stage_folder
 
 c = F.col
 P = f"pages_v AS ({WIKI_PAGES})"
@@ -397,6 +400,30 @@ def project_search(spark, sf):
     return wiki_store.search_projects(projects(spark, sf), "OWN1", 7).select("id", "submitted_at")
 
 
+@query("stored_wikis", """
+WITH kept AS (SELECT 'web' AS repo_type, 'o' || (page_id % 5) AS owner, 'r' || (page_id % 3) AS repo,
+  CASE page_id % 4 WHEN 1 THEN 'ja' WHEN 3 THEN 'fr' ELSE 'en' END AS language,
+  'page-' || page_id AS id, html FROM pages)
+SELECT repo_type, owner, repo, language, id, CASE WHEN owner = 'o1' AND language = 'ja'
+    THEN md5(html || ' again') ELSE md5(html) END AS digest
+FROM kept WHERE NOT (owner = 'o2' AND repo = 'r2' AND language = 'en')""")
+def stored_wikis(spark, sf):
+    """Wikis saved, some saved again, one deleted, and all read back."""
+    path = f"{stage_folder(spark)}/wikis-{uuid.uuid4().hex}"
+    n = c("page_id")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("en", "ja", "tlh", "fr")]), (n % 4 + 1).cast("int"))
+    kept = table(spark, sf, "pages").select(
+        F.lit("web").alias("repo_type"), F.concat(F.lit("o"), n % 5).alias("owner"),
+        F.concat(F.lit("r"), n % 3).alias("repo"), asked.alias("language"),
+        F.concat(F.lit("page-"), n).alias("id"), "html")
+    wiki_store.save_wikis(kept, path)
+    wiki_store.save_wikis(kept.where("owner = 'o1' AND language = 'ja'").withColumn(
+        "html", F.concat("html", F.lit(" again"))), path)
+    wiki_store.delete_wiki(spark, path, "web", "o2", "r2", "en")
+    return wiki_store.read_wikis(spark, path).select(
+        *wiki_store.KEYS, "id", F.md5(c("html").cast("binary")).alias("digest"))
+
+
 @query("wiki_languages", """SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'en' WHEN conv_id % 3 = 1
   THEN 'ja' ELSE 'en' END AS language, count(*) AS turns FROM conversations GROUP BY ALL""")
 def wiki_languages(spark, sf):

@@ -177,6 +177,16 @@ def tools_for_languages(registry: DataFrame, languages: Column) -> DataFrame:
                           | F.arrays_overlap("languages", languages))
 
 
+def tools_per_language(languages: DataFrame, registry: DataFrame) -> DataFrame:
+    """Tools `(repo, name)` that fit any language of `(repo, languages)`; a star fits all.
+
+    The languages of both sides meet as keys, so no repository is compared with every tool.
+    """
+    fits = registry.select("name", F.explode("languages").alias("language"))
+    own = languages.select("repo", F.explode(F.array_append("languages", F.lit("*"))).alias("language"))
+    return own.join(F.broadcast(fits), "language").select("repo", "name").distinct()
+
+
 def registered_tools(selected: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Selected tools with their definitions, and the selected names nobody defined."""
     names = selected.select("repo", F.explode("tools").alias("name"))

@@ -25,13 +25,17 @@ def save_wikis(pages: DataFrame, path: str) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
+def read_wikis(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of all stored wikis."""
+    stored = spark.read.option("basePath", path).parquet(path)
+    return stored.withColumns({k: F.col(k).cast("string") for k in KEYS})
+
+
 def read_wiki(spark: SparkSession, path: str, repo_type: str, owner: str, repo: str,
               language: str) -> DataFrame:
     """Pages of one wiki; only its partition is scanned. Empty when it is not stored."""
     asked = language if language in LANGUAGES else DEFAULT_LANGUAGE
-    stored = spark.read.option("basePath", path).parquet(path)
-    typed = stored.withColumns({k: F.col(k).cast("string") for k in KEYS})
-    return typed.where((F.col("repo_type") == repo_type) & (F.col("owner") == owner)
+    return read_wikis(spark, path).where((F.col("repo_type") == repo_type) & (F.col("owner") == owner)
                        & (F.col("repo") == repo) & (F.col("language") == asked))
 
 
