@@ -29,6 +29,7 @@ _KEPT_VALUES = 128           # of the MinHash values, for the comparison
 _STEP = 16
 _TOLERANCE = 1e-7
 _BLOCK = 256                 # documents
+_BROADCAST_DOCS = 100_000    # documents of several texts up to which they are broadcast
 _U = np.uint64
 _MULTIPLY = words.mix(np.arange(1, _BANDS * _ROWS + 1, dtype=_U)) | _U(1)
 _ADD = words.mix(np.arange(10_001, 10_001 + _BANDS * _ROWS, dtype=_U))
@@ -224,7 +225,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
                 cols = [batch.column(c)[to] for c in ("comp", "size", "node", "copies", "signature")]
                 table = pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=[
                     "comp", "size", "node", "copies", "signature", "grams"])
-                # Of rows with one doc_id only those whose text is the class's.
+                # Of rows with the class's least doc_id only those whose text is the class's.
                 yield table.filter(pa.array(own.view(np.int64) == d1[to]))
 
     return rows.mapInArrow(run, "comp bigint, size bigint, node bigint, copies bigint, "
@@ -240,13 +241,26 @@ def ngram_join(docs: DataFrame, text: str = "text", n: int = 5,
     documents that links connect; n_links counts linked rows other than the row itself; n_copies
     counts the rows with the same words. Words are compared as they stand, case included. A null
     text, a text without words and a row with a null doc_id are linked to nothing: class_id is
-    their doc_id and n_links is 0. Repeated rows are copies of each other. Other columns are not
-    read; an empty table gives an empty result.
+    their doc_id and n_links is 0. Repeated rows are copies of each other. Rows with one doc_id and
+    different texts are one document: its class holds what any of its texts is linked to, while
+    n_links and n_copies are those of the row's text. doc_ids lie below 2**62. Other columns are
+    not read; an empty table gives an empty result.
     """
     signed = staged(_signed(docs, text, n))
-    classes = staged(signed.filter("doc_id IS NOT NULL AND d1 IS NOT NULL").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"),
-        F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
+    worded = signed.filter("doc_id IS NOT NULL AND d1 IS NOT NULL")
+    # Documents of several texts: few, mostly none.
+    several = staged(worded.groupBy("doc_id").agg(
+        F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi"))
+        .filter("lo <> hi").select(F.col("doc_id").alias("doc")))
+    marks = several.withColumn("several", F.lit(True))
+    marks = F.broadcast(marks) if several.count() <= _BROADCAST_DOCS else marks
+    # A class is a node named by its least document, or by its texts where that has other ones too.
+    named = F.when(F.col("several"), F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2)
+                   .bitwiseOR(F.lit(1 << 62))).otherwise(F.col("doc"))
+    classes = staged(worded.groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"),
+        F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+        .join(marks, "doc", "left").withColumn("node", named).drop("several"))
 
     members = classes.select("node", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(
@@ -261,8 +275,8 @@ def ngram_join(docs: DataFrame, text: str = "text", n: int = 5,
     placed = staged(others.select("node", F.col("root").alias("comp"), "size").unionByName(roots)
                     .join(classes.drop("bands", "d2"), "node"))
 
-    found = _with_sets(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text"))
-                       .join(placed, "node"), n)
+    found = _with_sets(docs.select(F.col("doc_id").alias("doc"), F.col(text).alias("text"))
+                       .join(placed, "doc"), n)
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (found.withColumn("own", own)
@@ -274,14 +288,18 @@ def ngram_join(docs: DataFrame, text: str = "text", n: int = 5,
     links = staged(dealt.repartition(_partitions(docs), "comp", "a", "b")
                    .sortWithinPartitions("comp", "a", "b")
                    .mapInArrow(_verified(threshold, least), "node bigint, links bigint, root bigint"))
-    roots_ = components(links.select("node", "root"))
+    # The texts of a document of several are tied to the document.
+    ties = (worded.select(F.col("doc_id").alias("doc"), "d1", "d2").join(several, "doc").distinct()
+            .join(classes.select("d1", "d2", "node"), ["d1", "d2"])
+            .select("node", F.col("doc").alias("root")))
+    roots_ = components(links.select("node", "root").unionByName(ties))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = staged(classes.select("d1", "d2", "node", "copies").join(counted, "node", "left")
                    .join(roots_, "node", "left").select(
         "d1", "d2", F.coalesce("root", "node").alias("class_id"), "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     rows = signed.select("doc_id", "d1", "d2")
-    joined = join_counted(rows.filter("doc_id IS NOT NULL AND d1 IS NOT NULL"), known, ["d1", "d2"],
+    joined = join_counted(worded.select("doc_id", "d1", "d2"), known, ["d1", "d2"],
                           "copies", max(1000, rows.count()), "inner")
     alone = rows.filter("doc_id IS NULL OR d1 IS NULL").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),

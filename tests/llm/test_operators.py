@@ -100,18 +100,8 @@ def test_one_phrase_in_many_first_documents_is_kept_once():
     assert shard.covered(300, np.concatenate([word(5), own[9][10:61], word(9)])) == [(5, 56)]
 
 
-def test_ngram_join_matches_brute_force(spark):
-    rnd = random.Random(5)
-    rows = []
-    for _ in range(12):
-        base = _words(rnd, rnd.randrange(1, 120), 5000)
-        for _ in range(rnd.randrange(1, 6)):
-            own = list(base)
-            for _ in range(rnd.randrange(0, 4)):
-                own[rnd.randrange(len(own))] = f"z{rnd.random()}"
-            rows.append((rnd.randrange(10 ** 6), " ".join(own)))
-    rows += [(1, None), (2, ""), (3, " "), (4, "one two"), (5, "one  two"), (6, "one"),
-             (None, "one two"), (7, rows[0][1]), (7, rows[0][1])]
+def _expected_links(rows):
+    """doc_id, class_id and n_links of every row; documents are joined by doc_id."""
     grams = []
     for i, t in rows:
         w = _WORD.findall(t or "")
@@ -132,12 +122,49 @@ def test_ngram_join_matches_brute_force(spark):
             links[b] += 1
             p, q = root(rows[a][0]), root(rows[b][0])
             parent[max(p, q)] = min(p, q)
-    want = sorted([(i, root(i), n) for (i, _), n in zip(rows, links)], key=str)
+    return sorted([(i, root(i), n) for (i, _), n in zip(rows, links)], key=str)
+
+
+def test_ngram_join_matches_brute_force(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(12):
+        base = _words(rnd, rnd.randrange(1, 120), 5000)
+        for _ in range(rnd.randrange(1, 6)):
+            own = list(base)
+            for _ in range(rnd.randrange(0, 4)):
+                own[rnd.randrange(len(own))] = f"z{rnd.random()}"
+            rows.append((rnd.randrange(10 ** 6), " ".join(own)))
+    rows += [(1, None), (2, ""), (3, " "), (4, "one two"), (5, "one  two"), (6, "one"),
+             (None, "one two"), (7, rows[0][1]), (7, rows[0][1])]
     got = ngram_join(_docs(spark, rows)).select("doc_id", "class_id", "n_links").collect()
-    assert sorted(map(tuple, got), key=str) == want
+    assert sorted(map(tuple, got), key=str) == _expected_links(rows)
     assert ngram_join(_docs(spark, [])).count() == 0
 
 
+def test_ngram_join_of_documents_with_several_texts(spark):
+    rnd = random.Random(8)
+    texts = [_words(rnd, 60, 5000) for _ in range(9)]
+
+    def near(k):
+        own = list(texts[k])
+        own[rnd.randrange(60)] = f"z{rnd.random()}"
+        return " ".join(own)
+
+    a, b = " ".join(texts[0]), " ".join(texts[1])
+    rows = [(7, a), (7, b), (8, near(0)), (10, near(0)), (9, near(1)), (11, near(1))]
+    got = ngram_join(_docs(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == _expected_links(rows)
+    assert {r.class_id for r in got} == {7} and min(r.n_links for r in got) > 0
+    # The document of several texts need not be the least one, and may tie many classes.
+    rows += [(50, near(2)), (51, near(2)), (51, near(3)), (40, near(3)), (51, near(4)), (30, near(4)),
+             (51, " ".join(texts[5])), (51, None), (60, near(6)), (60, near(6)), (61, near(7)),
+             (61, near(7)), (61, near(8)), (62, near(8)), (5, near(8)), (None, a), (7, a), (7, b)]
+    rnd.shuffle(rows)
+    got = ngram_join(_docs(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == _expected_links(rows)
+
+
 def test_pruning_keeps_likely_pairs():
     least = least_agreements(0.8, 1e-7, 128, 16)
     assert all(m < 0.8 * n for n, m in least.items()) and least[128] > 64
