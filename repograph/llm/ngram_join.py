@@ -241,7 +241,7 @@ def ngram_join(docs: DataFrame, text: str = "text", n: int = 5,
     documents that links connect; n_links counts linked rows other than the row itself; n_copies
     counts the rows with the same words. Words are compared as they stand, case included. A null
     text, a text without words and a row with a null doc_id are linked to nothing: class_id is
-    their doc_id and n_links is 0. Repeated rows are copies of each other. Rows with one doc_id and
+    that of the document's other rows, else the doc_id, and n_links is 0. Repeated rows are copies of each other. Rows with one doc_id and
     different texts are one document: its class holds what any of its texts is linked to, while
     n_links and n_copies are those of the row's text. doc_ids lie below 2**62. Other columns are
     not read; an empty table gives an empty result.
@@ -301,9 +301,14 @@ def ngram_join(docs: DataFrame, text: str = "text", n: int = 5,
     rows = signed.select("doc_id", "d1", "d2")
     joined = join_counted(worded.select("doc_id", "d1", "d2"), known, ["d1", "d2"],
                           "copies", max(1000, rows.count()), "inner")
-    alone = rows.filter("doc_id IS NULL OR d1 IS NULL").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
-        F.lit(1).cast("bigint").alias("n_copies"))
+    alone = rows.filter("doc_id IS NULL OR d1 IS NULL").select("doc_id")
+    # A row without words belongs to the class that other rows of its document have.
+    homes = (worded.select("doc_id", "d1", "d2").join(alone.distinct(), "doc_id", "left_semi")
+             .join(known.select("d1", "d2", "class_id"), ["d1", "d2"])
+             .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    alone = alone.join(homes, "doc_id", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return joined.select("doc_id", "class_id", "n_links",
                          F.col("copies").alias("n_copies")).unionByName(alone)
 
