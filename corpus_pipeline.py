@@ -21,6 +21,10 @@ from repograph.stage import staged
 
 _PACKAGE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "repograph")
 TOXIC_AT = 0.3
+#: Rows that one Arrow batch takes to a Python worker. Here a row carries its text twice, so
+#: Spark's default of 10,000 rows is tens of megabytes a batch, in the executor and in the worker.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -28,9 +32,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
 
 
+def _prepare(spark: SparkSession) -> None:
+    """The package on the workers, and small batches to them."""
+    ship_packages(spark, _PACKAGE)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, learned from all labels, is below the threshold."""
-    ship_packages(spark, _PACKAGE)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(_rows(docs), labels, ["_row"], F.lit(True))
     return scored.filter(F.col("score") < TOXIC_AT).select("_row.*")
@@ -38,7 +49,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters go."""
-    ship_packages(spark, _PACKAGE)
+    _prepare(spark)
     found = identify(_rows(docs), ["_row"], F.lit(True))
     return found.filter(F.col("lang_pred") != "und").select("_row.*")
 
@@ -48,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without a doc_id stay; of rows with one doc_id and one text one stays.
     """
-    ship_packages(spark, _PACKAGE)
+    _prepare(spark)
     first = (ngram_join(docs).filter(F.col("doc_id") == F.col("class_id"))
              .select("doc_id").distinct())
     same = F.xxhash64("text")
@@ -62,7 +73,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses words gets the others joined by one space; n_chars follows.
     """
-    ship_packages(spark, _PACKAGE)
+    _prepare(spark)
     changed = (remove_repeats(docs).filter("n_removed > 0")
                .select("doc_id", F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"))
                .dropDuplicates(["doc_id", "_hash"]))
@@ -76,7 +87,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place."""
-    ship_packages(spark, _PACKAGE)
+    _prepare(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
