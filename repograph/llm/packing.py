@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, text: str = "text",
                     [pa.array(c, t) for c, t in zip(zip(*out), [
                         pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()
 
     return docs.select("doc_id", text).mapInArrow(run, _PIECE)
 

@@ -42,7 +42,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self.letters = _byte_letters()
-        self._forget()
+        self.forget()
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -51,7 +51,8 @@ class WordTokenizer:
             _shared[path] = cls(path)
         return _shared[path]
 
-    def _forget(self):
+    def forget(self):
+        """Drop the words that are kept. Called at a task's end: a worker lives on, for other work."""
         self.words: dict[str, int] = {}
         self.parts: dict[str, int] = {"": 0}
         self.word_parts = np.zeros((1 << 14, 2), np.int32)
@@ -140,7 +141,7 @@ class WordTokenizer:
         if not names:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.words) + len(names) > _KEPT:
-            self._forget()
+            self.forget()
         new = [w for w in names if w not in self.words]
         if new:
             self._learn(new)
