@@ -28,8 +28,11 @@ _GROUP_ROWS = 50_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, text: str = "text",
-           end_id: int = 0) -> DataFrame:
-    """Pieces of every whole text: its ids and one end id, cut at multiples of `size`."""
+           end_id: int = 0, keep_words: bool = True) -> DataFrame:
+    """Pieces of every whole text: its ids and one end id, cut at multiples of `size`.
+
+    A worker keeps the words it has met for its next task, unless other work shares its memory.
+    """
     def run(batches: Iterator[pa.RecordBatch]):
         encode = WordTokenizer.shared(tokenizer)
         for batch in batches:
@@ -46,7 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, text: str = "text",
                     [pa.array(c, t) for c, t in zip(zip(*out), [
                         pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        encode.forget()
+        if not keep_words:
+            encode.forget()
 
     return docs.select("doc_id", text).mapInArrow(run, _PIECE)
 
@@ -109,7 +113,8 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text",
+         keep_words: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is
@@ -119,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text")
     Groups hold about 50,000 pieces each, whatever the size of the table, and are dealt by a hash
     of the piece's contents and place, so no document or source can swell one.
     """
-    cut = staged(pieces(docs, tokenizer, size, text))
+    cut = staged(pieces(docs, tokenizer, size, text, keep_words=keep_words))
     groups = max(1, -(-cut.count() // _GROUP_ROWS))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"),
                                            F.lit(groups)))

@@ -52,7 +52,7 @@ class WordTokenizer:
         return _shared[path]
 
     def forget(self):
-        """Drop the words that are kept. Called at a task's end: a worker lives on, for other work."""
+        """Drop the words that are kept."""
         self.words: dict[str, int] = {}
         self.parts: dict[str, int] = {"": 0}
         self.word_parts = np.zeros((1 << 14, 2), np.int32)
