@@ -88,7 +88,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place."""
     _prepare(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # The same workers serve the other stages, which need the memory.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
 
 
 STAGES = [("toxicity", toxicity), ("language ID", language), ("n-gram Jaccard join", near_duplicates),
