@@ -11,7 +11,8 @@ pieces; its shortest path in the tropical semiring (least sum of costs) is found
 
 No piece crosses certain borders (before a mark, between two letters that no piece has side by
 side). The lattice falls into independent stretches there, and a stretch's path is kept for the
-next time that it is met.
+next time that it is met. What is kept is bounded: paths go when they were not met for two
+generations, words between runs of rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 _MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _DEAD, _SPELLED = -2, -1     # no path to a position; the last character went to byte pieces
-_KEPT = 1_500_000           # stretches and pairs kept between batches
+# What a worker keeps between runs of rows: in all about 150 MB.
+_KEPT_WORDS = 300_000
+_KEPT_PATHS = 150_000       # in each of two generations
+_KEPT_JOINS = 200_000
+_LONGEST_KEPT = 64          # characters of a stretch whose path is kept
 _shared: dict[str, PieceModel] = {}
 
 
@@ -105,9 +110,13 @@ class PieceModel:
         return _shared[path]
 
     def _forget(self):
-        self.words: dict[str, int] = {}
-        self.paths: dict[str, list[int]] = {}
+        self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.joins: dict[int, bool] = {}
+        self._forget_words()
+
+    def _forget_words(self):
+        self.words: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.begins, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -127,6 +136,8 @@ class PieceModel:
     def _joined(self, key: int) -> bool:
         """Whether the merges join across the border of a pair of pieces: an arc of infinite cost."""
         a, b = self.pieces[key >> 20], self.pieces[key & 0xFFFFF]
+        if len(self.joins) >= _KEPT_JOINS:
+            self.joins.clear()
         out = self.joins[key] = self._merged(a + b) != [a, b]
         return out
 
@@ -167,18 +178,29 @@ class PieceModel:
             at = before[at]
         return [i for ids in reversed(out) for i in ids]
 
-    def _path(self, word: str) -> list[int]:
-        out: list[int] = []
-        a = 0
+    def _kept_path(self, part: str) -> bytes:
+        """The path of a stretch as 32-bit ids. Paths not met for two generations are dropped."""
+        ids = self.older.get(part)
+        if ids is None:
+            ids = np.array(self.shortest(part), np.int32).tobytes()
+        if len(self.paths) >= _KEPT_PATHS:
+            self.older, self.paths = self.paths, {}
+        if len(part) <= _LONGEST_KEPT:
+            self.paths[part] = ids
+        return ids
+
+    def _path(self, word: str) -> bytes:
+        out, paths, a = [], self.paths, 0
         for b in range(1, len(word) + 1):
             if b == len(word) or word[b - 1:b + 1] not in self.inner:
                 part = word[a:b]
-                ids = self.paths.get(part)
+                ids = paths.get(part)
                 if ids is None:
-                    ids = self.paths[part] = self.shortest(part)
-                out += ids
+                    ids = self._kept_path(part)
+                    paths = self.paths
+                out.append(ids)
                 a = b
-        return out
+        return b"".join(out)
 
     def _normal(self, texts: pa.Array) -> pa.Array:
         texts = pc.fill_null(texts, "")
@@ -189,7 +211,7 @@ class PieceModel:
             return marked
         return pc.if_else(pc.equal(marked, ""), "", pc.binary_join_element_wise(_MARK, marked, ""))
 
-    def encode(self, texts: pa.Array, limit: int = 8 << 20):
+    def encode(self, texts: pa.Array, limit: int = 4 << 20):
         """First row, ids of a run of rows, and where each row's ids begin and end."""
         marked = self._normal(texts)
         sizes = pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -206,8 +228,8 @@ class PieceModel:
         words = lists.flatten()
         coded = words.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.paths) > _KEPT or len(self.joins) > 2 * _KEPT:
-            self._forget()
+        if len(self.words) > _KEPT_WORDS or self.used > 8 * _KEPT_WORDS:
+            self._forget_words()
         codes = coded.indices.to_numpy()
         row_ends = np.cumsum(parts)
         opening = np.zeros(len(codes), bool)
@@ -227,8 +249,8 @@ class PieceModel:
         if odd.any():
             rows = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
             for r in np.flatnonzero(odd).tolist():
-                rows[r] = np.array([i for w in self._words(marked[r].as_py())
-                                    for i in self._path(w)], np.int32)
+                rows[r] = np.frombuffer(b"".join(map(self._path, self._words(marked[r].as_py()))),
+                                        np.int32)
             flat = np.concatenate(rows)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         return flat, offsets
@@ -245,15 +267,14 @@ class PieceModel:
 
     def _store(self, words: list[str], names: list[str]) -> None:
         found = [self._path(w) for w in words]
-        n, total = len(self.words), sum(map(len, found))
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n, total = len(self.words), int(counts.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat[self.used:self.used + total] = np.fromiter(
-            (i for ids in found for i in ids), np.int32, total)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(found), np.int32)
         self.counts[n:n + len(words)] = counts
         self.begins[n:n + len(words)] = self.used + np.cumsum(counts) - counts
         self.used += total
