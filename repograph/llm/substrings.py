@@ -8,16 +8,17 @@ word in seventeen starts an anchor.
    too. A window in two documents recurs and is confirmed; its first document (least doc_id)
    holds the original.
 2. The first documents are dealt over shards. A shard compiles one automaton (pyahocorasick) over
-   the first words of the anchors of its confirmed windows; each word is one letter of its
-   alphabet.
-3. Documents that hold such an anchor stream through the shard's automaton, which locates every
-   occurrence. The windows that hold an occurrence are looked up among the shard's confirmed
-   windows, each kept once with its first document; those of an earlier document are covered. A
-   phrase costs one look-up per window, however many first documents hold it.
-
-A document streams only through shards that hold phrases of its own, and shards hold a bounded
-number of phrases, so the work grows with the input. The readers of a busy shard are dealt over
-copies of it.
+   the first words of the anchors of its confirmed windows; each word is three letters of small
+   alphabets.
+3. Of documents that hold such an anchor, the stretches around it (found by hash) stream through
+   the shard's automaton, which locates the phrases. The windows that hold one are looked up by
+   two hashes among the shard's confirmed windows, each kept once with its first document; those
+   of an earlier document are covered. A phrase costs one look-up per window, however many first
+   documents hold it.
+
+A document streams only through shards that hold phrases of its own; a phrase whose windows have
+first documents in many shards sends its holders to each of them. The readers of a busy shard are
+dealt over copies of it.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ _COPY_READERS = 2_000
 _GAP = 1                     # stands for no word
 _LEAD = 6                    # words of a phrase in the automaton; the look-up tests the rest
 _SECOND = np.uint64(0x8CB92BA72F3D8DD7)     # makes the second hash of a window
-_FIRST_LETTER, _LETTERS = 0x10000, 0x100000     # beyond the surrogates
+# A word is three letters of 7 bits, each with an alphabet of its own, so that matches begin and end
+# with words and no state has more than 128 followers.
+_WORD_LETTERS, _LETTER_BITS, _FIRST_LETTER = 3, 7, 0x100
+_RUN_WORDS = 1 << 20        # words of readers or originals worked on at once
 
 
 def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -254,9 +258,12 @@ def _readers(copies: dict[int, int], size: int, phrase: int):
 
 
 def _letters(hashes: np.ndarray) -> str:
-    """One letter per word; equal words get equal letters."""
-    return (hashes % np.uint64(_LETTERS) + np.uint64(_FIRST_LETTER)).astype("<u4").tobytes().decode(
-        "utf-32-le")
+    """The letters of all words; equal words get equal letters."""
+    out = np.empty((len(hashes), _WORD_LETTERS), "<u2")
+    for j in range(_WORD_LETTERS):
+        bits = (hashes >> np.uint64(j * _LETTER_BITS)) & np.uint64((1 << _LETTER_BITS) - 1)
+        out[:, j] = bits + np.uint64(_FIRST_LETTER + (j << _LETTER_BITS))
+    return out.tobytes().decode("utf-16-le")
 
 
 class _Shard:
@@ -272,13 +279,16 @@ class _Shard:
     def _hashes(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         return words.stretch_hashes(words.prefix_sums(hashes), at, at + self.size)
 
-    def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> None:
-        letters = _letters(hashes)
-        self.phrases.update(letters[s:s + self.lead] for s in starts.tolist())
+    def add(self, doc: int | np.ndarray, hashes: np.ndarray, starts: np.ndarray,
+            runs: np.ndarray) -> None:
+        """Words of a first document, or of several one after another (doc: whose each word is), the
+        places of their phrases, and their confirmed windows as runs (first window, how many)."""
+        letters, n = _letters(hashes), _WORD_LETTERS
+        self.phrases.update(letters[s * n:(s + self.lead) * n] for s in starts.tolist())
         first, n = runs.T
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
         self.parts.append((self._hashes(hashes, at), self._hashes(words.mix(hashes ^ _SECOND), at),
-                           np.full(len(at), doc)))
+                           np.broadcast_to(doc, len(hashes))[at]))
 
     def compiled(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -291,20 +301,22 @@ class _Shard:
         once = order[np.append(True, np.diff(window[order]) != 0)[:len(order)]]
         self.window, self.second, self.owner = window[once], second[once], owner[once]
 
-    def covered(self, doc: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of the document that windows of earlier documents cover."""
+    def covered(self, doc: int | np.ndarray, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches that windows of earlier documents cover, of a document or of several one after
+        another (doc: whose each word is) with a gap between them.
+        """
         last = np.fromiter((end for end, _ in self.automaton.iter(_letters(hashes))), np.int64)
         n = len(hashes) - self.size + 1
         if not len(last) or n < 1 or not len(self.window):
             return []
-        phrases = last - self.lead + 1
+        phrases = last // _WORD_LETTERS - self.lead + 1
         holding = np.zeros(n + 1, np.int64)
         np.add.at(holding, np.minimum(np.maximum(phrases - self.side, 0), n), 1)
         np.add.at(holding, np.minimum(phrases + 1, n), -1)
         at = np.flatnonzero(np.cumsum(holding)[:n] > 0)
         found = self._hashes(hashes, at)
         place = np.minimum(np.searchsorted(self.window, found), len(self.window) - 1)
-        ok = (self.window[place] == found) & (self.owner[place] < doc)
+        ok = (self.window[place] == found) & (self.owner[place] < np.broadcast_to(doc, len(hashes))[at])
         at, place = at[ok], place[ok]
         at = at[self._hashes(words.mix(hashes ^ _SECOND), at) == self.second[place]]
         cover = np.zeros(len(hashes) + 1, np.int64)
@@ -315,38 +327,75 @@ class _Shard:
         return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _joined(values: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind)
+
+
+def _add_originals(shard: _Shard, rows: list[dict]) -> None:
+    sizes = np.array([len(r["hashes"]) // 8 for r in rows])
+    base = np.cumsum(sizes) - sizes
+    starts, runs = _joined([r["starts"] for r in rows], np.int64), _joined(
+        [r["windows"] for r in rows], np.int64).reshape(-1, 2).copy()
+    starts = starts + np.repeat(base, [len(r["starts"]) // 8 for r in rows])
+    runs[:, 0] += np.repeat(base, [len(r["windows"]) // 16 for r in rows])
+    shard.add(np.repeat([r["doc_id"] for r in rows], sizes),
+              _joined([r["hashes"] for r in rows], np.uint64), starts, runs)
+
+
+def _covered_readers(shard: _Shard, rows: list[dict], side: int) -> list[tuple]:
+    """doc_id, text_hash and the covered stretches of every reader that has some."""
+    sizes = np.array([len(r["hashes"]) // 8 for r in rows])
+    spans = np.array(shard.covered(np.repeat([r["doc_id"] for r in rows], sizes),
+                                   _joined([r["hashes"] for r in rows], np.uint64)))
+    if not len(spans):
+        return []
+    # From the stretches of all readers to the words of each one's document.
+    begins, lengths = _joined([r["starts"] for r in rows], np.int64).reshape(-1, 2).T
+    places = np.cumsum(lengths + side) - (lengths + side)
+    move = (begins - places)[np.searchsorted(places, spans[:, 0], "right") - 1]
+    bounds = np.searchsorted(spans[:, 0], np.concatenate([[0], np.cumsum(sizes)]))
+    spans = spans + move[:, None]
+    return [(r["doc_id"], r["text_hash"], spans[a:b, 0], spans[a:b, 1])
+            for r, a, b in zip(rows, bounds.tolist(), bounds[1:].tolist()) if a < b]
+
+
 def _located(size: int, phrase: int):
-    def run(batches):
+    names = ["shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts", "windows"]
+
+    def runs(batch):
+        """Rows of one shard, copy and kind, of at most _RUN_WORDS words or one row."""
+        run, key, held = [], None, 0
+        for row in zip(*(batch.column(n).to_pylist() for n in names)):
+            n = len(row[5]) // 8
+            if run and (row[:3] != key or held + n > _RUN_WORDS):
+                yield key, run
+                run, held = [], 0
+            key, held = row[:3], held + n
+            run.append(dict(zip(names, row)))
+        if run:
+            yield key, run
+
+    def located(batches):
         current, shard = None, None
         for batch in batches:
             out = []
-            cols = [batch.column(n).to_pylist() for n in
-                    ("shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts", "windows")]
-            for s, c, kind, doc, text_hash, hashes, starts, runs in zip(*cols):
+            for (s, c, kind), rows in runs(batch):
                 if (s, c) != current:
                     current, shard = (s, c), _Shard(size, phrase)
-                own = np.frombuffer(hashes, np.uint64)
                 if kind == 0:
-                    shard.add(doc, own, np.frombuffer(starts, np.int64),
-                              np.frombuffer(runs, np.int64).reshape(-1, 2))
+                    _add_originals(shard, rows)
                     continue
                 if shard.automaton is None:
                     if not shard.parts:
                         continue
                     shard.compiled()
-                spans = np.array(shard.covered(doc, own), np.int64).reshape(-1, 2)
-                if len(spans):
-                    # From the row's stretches to the document's words.
-                    begins, lengths = np.frombuffer(starts, np.int64).reshape(-1, 2).T
-                    rows = np.cumsum(lengths + size - phrase) - (lengths + size - phrase)
-                    move = (begins - rows)[np.searchsorted(rows, spans[:, 0], "right") - 1]
-                    out.append((doc, text_hash, spans[:, 0] + move, spans[:, 1] + move))
+                out += _covered_readers(shard, rows, size - phrase)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), [
                         pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])],
                     names=["doc_id", "text_hash", "starts", "ends"])
-    return run
+    return located
 
 
 def _keep_words(text: str, starts: list, ends: list) -> tuple[bytes, int]:

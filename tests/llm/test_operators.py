@@ -20,6 +20,7 @@ from repograph.llm.hot import join_counted
 from repograph.llm.language_id import Parser, identify, suffix_automaton
 from repograph.llm.ngram_join import least_agreements, ngram_join
 from repograph.llm.packing import pack, place
+from repograph.llm import pieces
 from repograph.llm.pieces import decode, encode
 from repograph.llm.pivot_search import top_k
 from repograph.llm import substrings
@@ -83,6 +84,43 @@ def test_removal_matches_brute_force(spark):
     assert remove_repeats(_docs(spark, [])).count() == 0
 
 
+def test_readers_looked_up_together_are_those_looked_up_alone(monkeypatch):
+    """Many originals and readers in one batch, whatever the number of words worked on at once."""
+    rnd = np.random.default_rng(6)
+    word = lambda n: rnd.integers(2, 1 << 63, n).astype(np.uint64)
+    own = [word(60) for _ in range(30)]
+    whole = np.array([[0, 60]]).tobytes()
+    gap = np.full(32, substrings._GAP, np.uint64)
+    rows = [(s, 0, 0, d, 0, own[d].tobytes(), np.array([20]).tobytes(),
+             np.array([[0, 11]]).tobytes()) for s in (0, 1) for d in range(s, 30, 2)]
+    for r in range(60):
+        part = own[r % 30] if r % 4 else word(60)
+        rows.append((r % 2, 0, 1, r % 30 + 100 * (r % 3 > 0), r,
+                     np.concatenate([part, gap]).tobytes(), whole, None))
+    rows.sort(key=lambda x: x[:3])
+    names = ["shard", "copy", "kind", "doc_id", "text_hash", "hashes", "starts", "windows"]
+    kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.binary()] * 3
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    want = {(r, 0, 60) for r in range(60) if r % 4 and r % 3}
+    for words_at_once in (1, 500, 1 << 20):
+        monkeypatch.setattr(substrings, "_RUN_WORDS", words_at_once)
+        for batches in ([batch], [batch.slice(i, 1) for i in range(len(batch))]):
+            found = [r for out in substrings._located(50, 18)(batches) for r in out.to_pylist()]
+            assert {(r["text_hash"], *r["starts"], *r["ends"]) for r in found} == want
+
+
+def test_matches_lie_on_word_borders():
+    """The letters of neighbouring words never read as another word."""
+    rnd = np.random.default_rng(7)
+    hashes = rnd.integers(0, 1 << 63, 500).astype(np.uint64)
+    text = substrings._letters(hashes)
+    n = substrings._WORD_LETTERS
+    assert len(text) == 500 * n
+    for i in range(490):
+        assert text.find(text[i * n:(i + 6) * n]) % n == 0
+
+
 # --- n-gram join
 
 def test_one_phrase_in_many_first_documents_is_kept_once():
@@ -247,6 +285,22 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert encode(_docs(spark, []), _PIECES, ["doc_id"]).count() == 0
 
 
+def test_pieces_with_full_caches(monkeypatch):
+    """Whatever is dropped between words, stretches and runs of rows, the ids stay the library's."""
+    for name in ("_KEPT_WORDS", "_KEPT_PATHS", "_KEPT_JOINS", "_LONGEST_KEPT"):
+        monkeypatch.setattr(pieces, name, 3)
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(("the", "theory", "é漢", "of", "ofte", "🙂x"))
+                      + rnd.choice(("", ",", "ing", " ", "\n")) for _ in range(20))
+             for _ in range(60)]
+    own = pieces.PieceModel(_PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=_PIECES)
+    for first, flat, offsets in own.encode(pa.array(texts), limit=200):
+        for r, (a, b) in enumerate(zip(offsets, offsets[1:])):
+            assert flat[a:b].tolist() == library.encode(texts[first + r])
+    assert len(own.paths) <= 3 and len(own.older) <= 3 and len(own.joins) <= 3
+
+
 # --- vectors
 
 @pytest.mark.parametrize("scale", [1.0, 3e6])
