@@ -62,10 +62,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _prepare(spark)
     first = (ngram_join(docs).filter(F.col("doc_id") == F.col("class_id"))
              .select("doc_id").distinct())
-    same = F.xxhash64("text")
-    kept = (docs.join(first, "doc_id", "left_semi").withColumn("_same", same)
-            .dropDuplicates(["doc_id", "_same"]).drop("_same"))
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id",
+                       F.xxhash64("text").alias("_same"))
+    kept = (rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "_same"])
+            .select("_row.*"))
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,12 +78,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = (remove_repeats(docs).filter("n_removed > 0")
                .select("doc_id", F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"))
                .dropDuplicates(["doc_id", "_hash"]))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(changed, ["doc_id", "_hash"], "left")
-    changes = {"text": F.coalesce("_kept", "text")}
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id",
+                       F.xxhash64("text").alias("_hash"))
+    joined = rows.join(changed, ["doc_id", "_hash"], "left")
+    changes = {"text": F.coalesce("_kept", "_row.text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
+        changes["n_chars"] = F.when(F.col("_kept").isNull(), F.col("_row.n_chars")).otherwise(
             F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changes).select(*docs.columns)
+    return joined.select(*[changes.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
