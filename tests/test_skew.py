@@ -3,7 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import views
+from repograph.operators import findings as ops, graph
 from repograph.operators.skew import salted_join, split_join
+from repograph.stage import staged
+
+
+def executed(df):
+    """The plan as run, without what was planned first."""
+    plan = df._jdf.queryExecution()
+    plan.executedPlan().execute().count()
+    return plan.executedPlan().toString().split("== Initial Plan ==")[0]
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +72,33 @@ def test_salted_join_is_the_plain_join(tables):
     rows, lookup = tables
     got = salted_join(rows, lookup, ["k", "j"], ["id"], "left")
     assert got.count() == 30_000
+
+
+def test_salted_join_does_not_broadcast_the_copies_of_a_long_lookup(spark):
+    # 120,000 entries are a small file, but 1.9 million copies.
+    lookup = staged(spark.range(120_000).select(F.concat(F.lit("src/m"), "id").alias("k")))
+    rows = spark.range(400_000).select("id", F.concat(F.lit("src/m"), F.col("id") % 150_000).alias("k"))
+    joined = salted_join(rows, lookup, ["k"], ["id"], "left")
+    assert joined.count() == 400_000
+    assert "BroadcastHashJoin" not in executed(joined)
+
+
+def test_salted_join_still_broadcasts_a_short_lookup(spark):
+    lookup = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, "a").otherwise("c").alias("k"))
+    joined = salted_join(rows, lookup, ["k"], ["id"])
+    assert joined.count() == 90 and "BroadcastHashJoin" in executed(joined)
+
+
+def test_findings_and_files_are_not_broadcast(spark, tmp_path):
+    """However short their files are: both tables grow."""
+    spark.sql("SELECT id AS event_id, id % 9 AS user_id, 'view' AS event_type, 1.0D AS value FROM range(500)"
+              ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS doc_id, 'import a.b' AS text, 'en' AS lang, 'src1' AS source FROM range(64)"
+              ).write.parquet(f"{tmp_path}/documents.parquet")
+    placed = views.file_findings(spark, str(tmp_path))
+    assert placed.count() == 500 and "BroadcastHashJoin" not in executed(placed)
+    known = staged(ops.file_nodes(placed))
+    edges = graph.import_edges(views.code_files(spark, str(tmp_path)), known)
+    assert edges.count() == 8 * 3
+    assert "SortMergeJoin" in executed(edges)
