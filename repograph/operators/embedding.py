@@ -20,6 +20,8 @@ Embedder = Callable[[list[str]], list[list[float]]]
 # Texts per call and vector size of the default embedder.
 BATCH_TEXTS = 500
 VECTOR_SIZE = 256
+# Words whose position a worker keeps, about 30 MB.
+KEPT_WORDS = 200_000
 
 _EMBEDDED = (T.StructType().add("vector", T.ArrayType(T.FloatType()))
              .add("error", T.StringType()).add("batch", T.StringType()))
@@ -35,7 +37,7 @@ class HashingEmbedder:
     def _bucket(self, word: str) -> int:
         found = self._buckets.get(word)
         if found is None:
-            if len(self._buckets) > 1_000_000:  # bounds the memory of a long-lived worker
+            if len(self._buckets) >= KEPT_WORDS:  # bounds the memory of a long-lived worker
                 self._buckets.clear()
             digest = hashlib.md5(word.encode()).digest()
             found = self._buckets[word] = int.from_bytes(digest[:4], "big") % self.size
@@ -65,7 +67,7 @@ def embed(chunks: DataFrame, embedder: Embedder | None = None, text: str = "text
     """Add `vector`, `embed_error` and `batch`.
 
     Only the text column travels to Python. A batch whose call fails gets empty vectors and the
-    error, and the job goes on.
+    error, and the job goes on. A worker holds the vectors of one batch at a time.
     """
     call = embedder or get_embedder()
 
@@ -73,7 +75,6 @@ def embed(chunks: DataFrame, embedder: Embedder | None = None, text: str = "text
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         context, number = TaskContext.get(), 0
         for part in parts:
-            rows = []
             for start in range(0, len(part), batch_texts):
                 texts = part.iloc[start:start + batch_texts].tolist()
                 name = f"{context.partitionId() if context else 0}-{number}"
@@ -83,8 +84,8 @@ def embed(chunks: DataFrame, embedder: Embedder | None = None, text: str = "text
                 except Exception as e:  # a provider may fail in any way
                     got, error = [], str(e) or type(e).__name__
                 got = got[:len(texts)] + [[] for _ in range(len(texts) - len(got))]
-                rows += [(v, error, name) for v in got]
-            yield pd.DataFrame(rows, columns=["vector", "error", "batch"])
+                yield pd.DataFrame([(v, error, name) for v in got],
+                                   columns=["vector", "error", "batch"])
 
     # Marked as not deterministic, so that a filter on the vector does not call it again.
     call_once = vectors.asNondeterministic()

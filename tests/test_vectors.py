@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from repograph.operators import embedding, vectors
 from repograph.operators.chunks import split_documents
@@ -143,3 +144,27 @@ def test_questions_reach_every_source(spark, tmp_path):
     spark.createDataFrame([(i, "a") for i in range(8)], "item_id bigint, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet")
     assert len({r.repo for r in retrieved_chunks_all(spark, str(tmp_path)).collect()}) == 8
+
+
+def test_a_worker_holds_the_vectors_of_one_batch(spark):
+    class Watching:
+        def __call__(self, texts):
+            import tracemalloc
+            if not tracemalloc.is_tracing():
+                tracemalloc.start()
+            if tracemalloc.get_traced_memory()[0] > 30 << 20:
+                raise MemoryError("vectors of earlier batches are still held")
+            return [[len(t) + k / 7 for k in range(1000)] for t in texts]
+
+    texts = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("text "), "id").alias("text"))
+    out = embedding.embed(texts, Watching(), batch_texts=100)
+    stats = out.select(F.size("vector").alias("n"), "embed_error").groupBy("n", "embed_error").count().collect()
+    assert [tuple(r) for r in stats] == [(1000, None, 3000)]
+
+
+def test_words_kept_by_the_embedder_are_bounded(monkeypatch):
+    monkeypatch.setattr(embedding, "KEPT_WORDS", 50)
+    own = embedding.HashingEmbedder()
+    plain = [embedding.HashingEmbedder()([f"w{k} w{k + 1}"])[0] for k in range(200)]
+    assert own([f"w{k} w{k + 1}" for k in range(200)]) == plain
+    assert len(own._buckets) <= 50
