@@ -21,12 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repograph.llm import words
+from repograph.llm import held, words
 
 _STRETCH = 1024              # letters per lane; a phrase ends where a stretch ends
 _MOST_LETTERS = 96
 _NONE, _SPACE, _OTHER = 0, 1, 2
-_shared: dict[str, Parser] = {}
 
 
 class Alphabet:
@@ -101,12 +100,13 @@ def parser_table(automaton: np.ndarray) -> np.ndarray:
     """
     states, letters = automaton.shape
     fresh = automaton[0]
-    ended = np.where(automaton >= 0, 0, np.where(fresh >= 0, 1, 2))
-    ended[0] = np.where(fresh >= 0, 0, 1)
-    to = np.where(automaton >= 0, automaton, np.maximum(fresh, 0))
-    out = to * letters * 4 + ended
+    # In 32 bits from the start: every worker builds one for each language.
+    out = automaton * np.int32(letters * 4)
+    anew = np.maximum(fresh, 0) * (letters * 4) + np.where(fresh >= 0, 1, 2)
+    np.copyto(out, anew.astype(np.int32), where=automaton < 0)
+    out[0, fresh < 0] = 1
     out[:, _NONE] = np.arange(states) * letters * 4          # beyond a lane's end nothing moves
-    return out.astype(np.int32).ravel()
+    return out.ravel()
 
 
 class Parser:
@@ -124,12 +124,13 @@ class Parser:
 
     @classmethod
     def shared(cls, samples: dict[str, list[str]]) -> Parser:
-        """One per worker process and set of samples."""
+        """One per worker process and set of samples, until other work takes the process."""
         mark = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-        if mark not in _shared:
-            _shared.clear()
-            _shared[mark] = cls(samples)
-        return _shared[mark]
+        kept = held.tables("language")
+        if mark not in kept:
+            kept.clear()
+            kept[mark] = cls(samples)
+        return kept[mark]
 
     def phrases(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and letters by text."""

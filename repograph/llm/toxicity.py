@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repograph.llm import words
+from repograph.llm import held, words
 from repograph.stage import staged
 
 #: Look-alike characters and the letters they stand for.
@@ -162,6 +162,7 @@ def _features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray],
 
 def _with_features(docs: DataFrame, keep: list[str], text: str, lexicon, seconds) -> DataFrame:
     def run(batches):
+        held.tables("toxicity")
         for batch in batches:
             found = _features(batch.column(len(keep)), lexicon, seconds)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(_FEATURES))
