@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +88,12 @@ class PieceModel:
                       if k in (_NORMAL, _USER, _UNUSED)}
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds))
                         if k == _BYTE}
-        # Beginnings of pieces; with the piece's id where one ends that the merges can make.
-        self.arcs = {p[:n]: -1 for p in self.id_of for n in range(1, len(p) + 1)}
-        self.arcs |= {p: i for p, i in self.id_of.items() if self._merged(p) == [p]}
+        # Pieces that the merges can make; by last character the length of the longest.
+        self.whole = {p: i for p, i in self.id_of.items() if self._merged(p) == [p]}
+        self.reach = {p: 1 for p in self.id_of if len(p) == 1}
+        for p in self.whole:
+            if p[-1] in self.reach:
+                self.reach[p[-1]] = max(self.reach[p[-1]], len(p))
         self.inner = {p[i:i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.plain = not any(p[i] != _MARK and p[i + 1] == _MARK
                              for p in self.id_of for i in range(len(p) - 1))
@@ -113,6 +118,7 @@ class PieceModel:
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.joins: dict[int, bool] = {}
+        self.text, self.last, self.before = "", [_SPELLED], [0]
         self._forget_words()
 
     def _forget_words(self):
@@ -145,21 +151,28 @@ class PieceModel:
         """Ids on the best path of a stretch.
 
         Costs are 0 or infinite, and of all states at a position only the last piece of the merges
-        of what lies before has a path of cost 0: one state per position is kept.
+        of what lies before has a path of cost 0: one state per position is kept. It depends on what
+        lies before only, so the states of the last text are used as far as this one begins alike.
         """
-        n, joins, arcs = len(text), self.joins, self.arcs
-        last, before = [_DEAD] * (n + 1), [0] * (n + 1)
-        last[0] = _SPELLED
-        for i in range(n):
-            p = last[i]
-            if p == _DEAD:
+        joins, whole, reach = self.joins, self.whole, self.reach
+        same = 0
+        for x, y in zip(self.text, text):
+            if x != y:
+                break
+            same += 1
+        last, before = self.last[:same + 1], self.before[:same + 1]
+        for j in range(same + 1, len(text) + 1):
+            most = reach.get(text[j - 1])
+            if most is None:
+                # Byte pieces take part in no merge.
+                last.append(_DEAD if last[j - 1] == _DEAD else _SPELLED)
+                before.append(j - 1)
                 continue
-            for j in range(i + 1, n + 1):
-                piece = arcs.get(text[i:j])
+            for i in range(j - most if j > most else 0, j):
+                piece = whole.get(text[i:j])
                 if piece is None:
-                    break
-                if piece < 0:
                     continue
+                p = last[i]
                 if p >= 0:
                     key = p << 20 | piece
                     joined = joins.get(key)
@@ -167,22 +180,30 @@ class PieceModel:
                         joined = self._joined(key)
                     if joined:
                         continue
-                last[j], before[j] = piece, i
-            if text[i] not in self.id_of:
-                # Byte pieces take part in no merge.
-                last[i + 1], before[i + 1] = _SPELLED, i
-        at, out = n, []
+                elif p == _DEAD:
+                    continue
+                last.append(piece)
+                before.append(i)
+                break
+            else:
+                last.append(_DEAD)
+                before.append(0)
+        if len(text) <= _LONGEST_KEPT:
+            self.text, self.last, self.before = text, last, before
+        at, out = len(text), []
         while at:
-            out.append([last[at]] if last[at] >= 0 else
-                       [self.byte_id[b] for b in text[before[at]:at].encode()])
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += [self.byte_id[b] for b in reversed(text[before[at]:at].encode())]
             at = before[at]
-        return [i for ids in reversed(out) for i in ids]
+        return out[::-1]
 
     def _kept_path(self, part: str) -> bytes:
         """The path of a stretch as 32-bit ids. Paths not met for two generations are dropped."""
         ids = self.older.get(part)
         if ids is None:
-            ids = np.array(self.shortest(part), np.int32).tobytes()
+            ids = array("i", self.shortest(part)).tobytes()
         if len(self.paths) >= _KEPT_PATHS:
             self.older, self.paths = self.paths, {}
         if len(part) <= _LONGEST_KEPT:
@@ -190,6 +211,9 @@ class PieceModel:
         return ids
 
     def _path(self, word: str) -> bytes:
+        if self.inner.issuperset(map(add, word, word[1:])):
+            ids = self.paths.get(word)
+            return self._kept_path(word) if ids is None else ids
         out, paths, a = [], self.paths, 0
         for b in range(1, len(word) + 1):
             if b == len(word) or word[b - 1:b + 1] not in self.inner:
@@ -238,7 +262,7 @@ class PieceModel:
         # and rows without a mark in front, are read as a whole.
         empty = np.array([n == "" for n in names], bool)[codes]
         odd = np.add.reduceat((empty & ~opening) | (opening & ~empty), row_ends - parts) > 0
-        new = [w for w in names if w not in self.words]
+        new = sorted(w for w in names if w not in self.words)     # alike beginnings in turn
         self._store([_MARK + w for w in new], new)
         place = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[codes]
         counts = np.where(opening, 0, self.counts[place])
