@@ -22,6 +22,7 @@ from repograph.llm.ngram_join import least_agreements, ngram_join
 from repograph.llm.packing import pack, place
 from repograph.llm import pieces
 from repograph.llm.pieces import decode, encode
+from repograph.llm import pivot_search
 from repograph.llm.pivot_search import top_k
 from repograph.llm import substrings
 from repograph.llm.substrings import remove_repeats
@@ -332,6 +333,63 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in top_k(two, F.col("vec_id") == 0, 5).collect()] == [(0, 1, 1, 131072)]
 
 
+def _check_top_k(rows, n, got):
+    """got against all pairs; rows with ids divisible by n ask."""
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for i, q in {i: min(v for j, v in good if j == i) for i, _ in good if i % n == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def _with_settings(spark, settings, act):
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        act()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+def test_top_k_broadcasts_no_vectors(spark):
+    # One copy of the 100 queries a shuffle partition takes about 8 MB.
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rnd.normal(size=64)]) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    _with_settings(
+        spark, {"spark.sql.shuffle.partitions": "150", "spark.sql.maxBroadcastTableSize": "2m"},
+        lambda: _check_top_k(rows, 5, top_k(table, F.col("vec_id") % 5 == 0, 5, pivots=5, block=64)))
+
+
+@pytest.mark.parametrize("scale, held", [(1.0, 1), (1.0, 200), (40.0, 64), (1e5, 64)])
+def test_top_k_over_many_rings_and_repeated_rows(spark, scale, held):
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.normal(size=6) * scale]) for i in range(150)]
+    rows += rows[:40] + [(10, rows[3][1])] * 30
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    _check_top_k(rows, 10, top_k(table, F.col("vec_id") % 10 == 0, 5, pivots=3, block=4,
+                                 query_block=3, held=held))
+
+
+def test_top_k_of_one_row_repeated(spark):
+    # No hash is among the smallest few, and no vector is away from the first.
+    rows = [(2, [1.0, 0.5])] * 100 + [(1, [1.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    _check_top_k(rows, 2, top_k(table, F.col("vec_id") % 2 == 0, 5, sample=1, block=8))
+    _check_top_k(rows, 1, top_k(table, F.lit(True), 5, sample=1, block=8))
+
+
+def test_pivots_are_chosen_by_one_task(spark):
+    table = spark.createDataFrame([(i, [i, 1000 - i]) for i in range(1000)],
+                                  "id bigint, v array<bigint>").repartition(20)
+    got = pivot_search._pivots(table, 1000, 2, 2e6, 4, 10)
+    assert got.shape == (4, 3) and len({tuple(r) for r in got}) == 4
+    assert all(a + b == 1000 for a, b, _ in got.tolist())
+
+
 # --- learned filters
 
 def test_toxicity_learns_and_handles_edges(spark):
