@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from repograph.stage import staged
 
@@ -108,9 +108,13 @@ def _stored(top: int) -> type:
     return next(t for t in (np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)
 
 
-def _exact(width: int, top: int) -> type:
-    """A type in which inner products of such components are exact, in floating point if they can be."""
-    most = width * (top + 1) ** 2
+def _top(rows: np.ndarray) -> int:
+    return max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
+
+
+def _exact(width: int, most: int) -> type:
+    """A type for exact sums of `width` products of at most `most`; floating point where it can be."""
+    most *= width
     return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 52 else np.int64
 
 
@@ -188,12 +192,12 @@ def _with_hits(best: np.ndarray, owner: np.ndarray, row: np.ndarray, score: np.n
     return scores[kept].reshape(n, k), owners[kept].reshape(n, k)
 
 
-def _searcher(k: int, centres: np.ndarray, largest: float, stored: type, exact: type):
+def _searcher(k: int, centres: np.ndarray, largest: float, stored: type):
     """Runs over the annuli of a ring, then the query blocks that meet it."""
     width = centres.shape[1] - 1
 
     def search(ids, q, floor, annuli):
-        d, product = _to_pivots(q, centres), q.astype(exact)
+        d, top = _to_pivots(q, centres), _top(q)
         pivot, lo, hi = (np.array([a[i] for a in annuli]) for i in range(3))
         away = np.maximum(np.maximum(lo - d[:, pivot], d[:, pivot] - hi), 0)
         bound = _reachable((q.astype(np.float64) ** 2).sum(1)[:, None], largest, away)
@@ -202,8 +206,9 @@ def _searcher(k: int, centres: np.ndarray, largest: float, stored: type, exact:
             live = np.flatnonzero(bound[:, a] >= floor)
             if not len(live):
                 continue
-            others, rows = annuli[a][3:]
-            scores = product[live] @ rows.T
+            others, rows_top, rows = annuli[a][3:]
+            exact = _exact(width, top * rows_top)
+            scores = q[live].astype(exact) @ rows.astype(exact, copy=False).T
             least = floor[live].astype(np.result_type(scores, np.float32))
             r, c = np.divmod(np.flatnonzero(scores >= least[:, None]), len(others))
             own = ids[live[r]] == others[c]
@@ -227,7 +232,9 @@ def _searcher(k: int, centres: np.ndarray, largest: float, stored: type, exact:
                 ids = np.array(batch.column(5)[i].values)
                 v = np.frombuffer(batch.column(6)[i].as_buffer(), stored).reshape(-1, width)
                 if pivot[i] is not None:
-                    annuli.append((pivot[i], lo[i], hi[i], ids, v.astype(exact)))
+                    top = _top(v)
+                    annuli.append((pivot[i], lo[i], hi[i], ids, top,
+                                   v.astype(_exact(width, top * top))))
                     continue
                 if not annuli:
                     continue
@@ -240,16 +247,19 @@ def _searcher(k: int, centres: np.ndarray, largest: float, stored: type, exact:
     return run
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _met(annuli: DataFrame, asking: DataFrame, search) -> DataFrame:
     """The best of each `ring`: its annuli come to one task and are held, then its query blocks."""
-    tasks = int(annuli.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     null = lambda kind: F.lit(None).cast(kind)
     held = annuli.select("ring", F.col("block").alias("number"), "pivot", "lo", "hi", "ids",
                          "vectors", null("array<double>").alias("floors"))
     asked = asking.select("ring", F.col("query_block").alias("number"), null("int").alias("pivot"),
                           null("double").alias("lo"), null("double").alias("hi"), "ids", "vectors",
                           "floors")
-    return (held.unionByName(asked).repartition(tasks, "ring")
+    return (held.unionByName(asked).repartition(_tasks(annuli.sparkSession), "ring")
             .sortWithinPartitions("ring", F.col("pivot").isNull(), "number")
             .mapInArrow(search, _FOUND))
 
@@ -290,7 +300,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id",
     The pivots are chosen among the `sample` rows with the smallest hashes; every row is indexed.
     Queries are a stated set, matched with all rows in blocks. A task holds about `held` components
     of vectors at once, fewer where there are few queries; a query gets at most k rows from each
-    such ring, of which there is one per `held` components and pivot.
+    such ring; there is at least one for each pivot.
     """
     spark = rows.sparkSession
     vectors = staged(integer_vectors(rows, is_query, key, vector, scale))
@@ -300,10 +310,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id",
         F.max(F.greatest(F.array_max("v"), -1 - F.array_min("v"))).alias("top")).first()
     if facts["w"] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width, largest, top = max(facts["w"], 1), facts["m"], facts["top"] or 0
+    width, largest = max(facts["w"], 1), facts["m"]
     centres = _pivots(vectors, facts["n"], width, largest, pivots, sample)
-    stored = _stored(top)
-    search = _searcher(k, centres, largest, stored, _exact(width, top))
+    stored = _stored(facts["top"] or 0)
+    search = _searcher(k, centres, largest, stored)
 
     index = staged(_blocks(vectors, centres, largest, block, False, stored)
                    .select("pivot", "lo", "hi", "n", "ids", "vectors")
@@ -340,8 +350,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id",
                       F.get("near", F.col("pivot")) - F.col("hi"), F.lit(0.0))
     reach = F.greatest(away * (1 - _SLACK) - _SLACK, F.lit(0.0))
     bound = (F.col("q_norm") + F.lit(largest) - reach * reach) / 2
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asking = (floored.repartition(shards, "query_block")
+    asking = (floored.repartition(_tasks(spark), "query_block")
               .join(F.broadcast(rings.select("pivot", "ring", "lo", "hi")),
                     bound + F.abs(bound) * _SLACK + 1 >= F.array_min("floors")))
     within = F.struct("lo", "block").between(F.col("first"), F.col("last"))

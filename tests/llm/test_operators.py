@@ -380,6 +380,15 @@ def test_top_k_of_one_row_repeated(spark):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     _check_top_k(rows, 2, top_k(table, F.col("vec_id") % 2 == 0, 5, sample=1, block=8))
     _check_top_k(rows, 1, top_k(table, F.lit(True), 5, sample=1, block=8))
+    assert top_k(table, F.lit(False), 5).count() == 0
+
+
+def test_top_k_is_exact_beside_very_large_vectors(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rnd.normal(size=6) * (1e6 if i % 25 == 0 else 1)])
+            for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    _check_top_k(rows, 10, top_k(table, F.col("vec_id") % 10 == 0, 5, pivots=4, block=8))
 
 
 def test_pivots_are_chosen_by_one_task(spark):
